@@ -40,7 +40,7 @@ def sniffed_number(c) -> Column:
 
     A lone comma is a decimal comma, a lone dot a decimal point.
     """
-    text = F.trim(F.translate(as_col(c), "  ", "  "))
+    text = F.trim(F.translate(as_col(c), "\u00a0\u202f", "  "))
     body = F.regexp_replace(text, r"[^0-9,.\-]", "")
     from_end = F.reverse(body)
     comma, dot = F.instr(from_end, ","), F.instr(from_end, ".")
