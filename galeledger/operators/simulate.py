@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import spread
 from ..functions.draws import pick, standard_normal
 from .forecast import ar_path
 
@@ -22,9 +23,9 @@ def simulate_ar_paths(
     ``models`` has one row per (series, scenario): ``last_month``, ``y_last`` (last
     deviation from the mean path), ``phi``, ``mu_start`` (log mean at ``last_month``),
     ``mu_step`` (its monthly drift), ``sigma`` and ``season`` (maps month -> value).
-    Draws, recursion and output of a path stay in one row: nothing is shuffled.
+    Paths are spread evenly first; draws, recursion and output of a path then stay in its row.
     """
-    rows = models.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1))))
+    rows = spread(models.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(n_paths - 1)))), series, scenario, "path")
     draw = lambda kind, t: standard_normal(F.lit(seed), F.col(series), F.col(scenario), F.col("path"), t, F.lit(kind))
     month_of = lambda t: F.month(F.add_months("last_month", t))
     steps = F.sequence(F.lit(1), F.lit(n_months))
@@ -48,7 +49,7 @@ def bootstrap_by_month(hist: DataFrame, keys: Sequence[str], n_sims: int, start_
         F.transform(F.array_sort(F.collect_list(F.struct("year", value))), lambda s: s[value]).alias("_pool")
     )
     sims = F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))
-    rows = pools.withColumn("sim", sims).withColumn("year", F.explode(F.sequence(F.lit(start_year), F.lit(start_year + years - 1))))
+    rows = spread(pools.withColumn("sim", sims), *keys, "sim").withColumn("year", F.explode(F.sequence(F.lit(start_year), F.lit(start_year + years - 1))))
     key_text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     index = pick(F.size("_pool"), F.lit(seed), key_text, F.col("sim"), F.col("year"), F.col("month"))
     return rows.select(*keys, "sim", F.make_date("year", "month", F.lit(1)).alias("ts"), F.get("_pool", index.cast("int")).alias(value))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import spread
 from ..functions.calendar import ceil_to, floor_to, from_micros, hour_start, micros, month_start, quarter_start
 
 TEN_MINUTES = 10
@@ -59,10 +60,10 @@ def tick_rows(span: DataFrame, keys: Sequence[str], start: str, end: str, minute
     day, step = 86_400_000_000, minutes * 60_000_000
     a, b = micros(start), micros(end)
     days = span.select(*keys, a.alias("_a"), b.alias("_b"), F.explode(F.sequence(F.floor(a / day), F.floor(b / day))).alias("_day"))
-    spread = days.repartition(*keys, "_day")
+    wide = spread(days, *keys, "_day")
     lo = F.greatest(F.col("_a"), F.col("_day") * day + F.pmod(F.col("_a") - F.col("_day") * day, F.lit(step)))
     hi = F.least(F.col("_b"), (F.col("_day") + 1) * day - 1)
-    return spread.where(lo <= hi).select(*keys, from_micros(F.explode(F.sequence(lo, hi, F.lit(step)))).alias(name))
+    return wide.where(lo <= hi).select(*keys, from_micros(F.explode(F.sequence(lo, hi, F.lit(step)))).alias(name))
 
 
 def hourly_dense(df: DataFrame, keys: Sequence[str], time: str, aggregates: dict[str, Column], defaults: dict[str, float]) -> DataFrame:

@@ -58,3 +58,12 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash rows over the configured number of shuffle partitions.
+
+    Used in front of a step that emits many rows per input row: the count is
+    explicit, so adaptive execution does not merge the small inputs into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
