@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.calendar import month_start
 from ..functions.parse import (
@@ -16,6 +16,7 @@ from ..functions.parse import (
 )
 from ..operators.checks import require_columns
 from ..operators.ordered import keep_last
+from .lines import ROW_ORDER, header_of_files, numbered_lines, pick_columns
 
 START = "Start date"
 # Labels and the switch date of the hourly price export.
@@ -30,37 +31,14 @@ REPORT_ROW = r"(?i)^MW\s+Wind\s+(Onshore|an\s+Land)$"
 TSO_IN_NAME = {"tennet": "TenneT", "amprion": "Amprion", "50hertz": "50Hertz", "transnet": "TransnetBW"}
 
 
-def read_export(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] | None = None, sep: str = ";") -> DataFrame:
-    """All files of a glob as text columns plus ``source_file`` and ``source_row``.
+def read_export(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str], required: Sequence[str] = (START,), sep: str = ";") -> DataFrame:
+    """The named text columns of all files of a glob, plus file and row order.
 
-    An empty glob fails in the reader. Files may order or lack columns differently:
-    each distinct header is read by its own scan and the scans are unioned by name.
-    ``source_row`` orders rows inside a file.
+    A file that lacks a non-required column has NULL there (labels change over the years).
     """
-    listed = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(listed).where(F.length(F.trim("value")) > 0).select(
-        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b")
-    )
-    heads = (
-        lines.where("_b = 0").withColumn("_m", F.monotonically_increasing_id())
-        .groupBy("_f").agg(F.min_by("value", "_m").alias("header"))
-    )
-    # One row per distinct header text: a handful of layouts, however many files.
-    layouts = heads.groupBy("header").agg(F.collect_list("_f").alias("files")).collect()
-    out = None
-    for layout in layouts:
-        names = [n.strip().strip('"').lstrip("﻿") for n in layout["header"].split(sep)]
-        names = [n or f"Unnamed: {i}" for i, n in enumerate(names)]
-        schema = ", ".join(f"`{n}` string" for n in names)
-        part = spark.read.schema(schema).options(sep=sep, header=True, enforceSchema=True, quote='"').csv(layout["files"])
-        keep = [n for n in names if columns is None or n in columns]
-        part = part.select(
-            *[F.col(f"`{n}`") for n in keep],
-            F.col("_metadata.file_name").alias("source_file"),
-            (F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % 8_589_934_592).alias("source_row"),
-        )
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+    lines = numbered_lines(spark, paths).where(F.length(F.trim("line")) > 0)
+    headers = header_of_files(lines, F.col("source_block") == 0)
+    return pick_columns(lines, headers, {c: c for c in columns}, sep, required)
 
 
 def tso_of_file(name) -> Column:
@@ -71,8 +49,6 @@ def tso_of_file(name) -> Column:
 
 def numbered_turbines(df: DataFrame, site: str, file: str = "source_file") -> DataFrame:
     """Synthetic ``<site>_T<ii>`` from the file's position among the site's sorted files."""
-    from pyspark.sql import Window
-
     files = df.select(site, file).distinct()
     rank = F.row_number().over(Window.partitionBy(site).orderBy(file))
     named = files.select(site, file, F.format_string("%s_T%02d", F.col(site), rank).alias("turbine_id"))
@@ -84,14 +60,16 @@ def price_by_regime(ts, old, new, switch: str = PRICE_SWITCH) -> Column:
     return F.when(F.col(ts) < F.lit(switch).cast("timestamp_ntz"), old).otherwise(new)
 
 
+def _keep_last_row(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Greatest file and row wins where an hour occurs twice (file overlap, clock change)."""
+    return keep_last(rows.na.drop(subset=[*keys, value]), keys, ROW_ORDER).select(*keys, value)
+
+
 def hourly_prices(raw: DataFrame) -> DataFrame:
-    """(ts, price_eur_mwh) from price exports, last file and row winning per hour."""
-    require_columns(raw, [START])
-    col = lambda n: sniffed_number(F.col(f"`{n}`")) if n in raw.columns else F.lit(None).cast("double")
-    typed = raw.select(export_time(f"`{START}`" if False else F.col(f"`{START}`")).alias("ts"), col(PRICE_OLD).alias("_old"), col(PRICE_NEW).alias("_new"), "source_file", "source_row")
-    typed = typed.withColumn("price_eur_mwh", price_by_regime("ts", F.col("_old"), F.col("_new")))
-    rows = typed.na.drop(subset=["ts", "price_eur_mwh"])
-    return keep_last(rows.select("ts", "price_eur_mwh", "source_file", "source_row"), ["ts"], ["source_file", "source_row"]).select("ts", "price_eur_mwh")
+    """(ts, price_eur_mwh) from price exports that carry the old and/or the new column."""
+    typed = raw.select(export_time(F.col(f"`{START}`")).alias("ts"), F.col(f"`{PRICE_OLD}`").alias("_old"), F.col(f"`{PRICE_NEW}`").alias("_new"), *ROW_ORDER)
+    price = price_by_regime("ts", sniffed_number("_old"), sniffed_number("_new"))
+    return _keep_last_row(typed.select("ts", price.alias("price_eur_mwh"), *ROW_ORDER), ["ts"], "price_eur_mwh")
 
 
 def export_series(
@@ -99,9 +77,8 @@ def export_series(
 ) -> DataFrame:
     """(keys, ts, <name>) of one value column, parsed, deduplicated keep-last."""
     require_columns(raw, [START, value])
-    rows = raw.select(*keys, export_time(F.col(f"`{START}`"), fmt).alias("ts"), parse(F.col(f"`{value}`")).alias(name), "source_file", "source_row")
-    rows = rows.na.drop(subset=["ts", name])
-    return keep_last(rows, [*keys, "ts"], ["source_file", "source_row"]).select(*keys, "ts", name)
+    rows = raw.select(*keys, export_time(F.col(f"`{START}`"), fmt).alias("ts"), parse(F.col(f"`{value}`")).alias(name), *ROW_ORDER)
+    return _keep_last_row(rows, [*keys, "ts"], name)
 
 
 def monthly_grid_load(raw: DataFrame) -> DataFrame:
@@ -124,7 +101,7 @@ def read_transposed_report(spark: SparkSession, paths, row_pattern: str = REPORT
 
 
 def transposed_report_rows(files: DataFrame, row_pattern: str = REPORT_ROW) -> DataFrame:
-    body = F.regexp_replace("value", "\r|﻿", "")
+    body = F.regexp_replace("value", "\r|\ufeff", "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(F.translate(x, ";", ""))) > 0)
     cells = lambda line: F.transform(F.slice(F.split(line, ";"), 2, 12), F.trim)
     wanted = F.filter("_lines", lambda x: F.rlike(F.trim(F.element_at(F.split(x, ";"), 1)), F.lit(row_pattern)))
