@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators.checks import assert_none
 
 ROW_ORDER = ["source_file", "source_block", "source_row"]
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -53,7 +53,7 @@ def pick_columns(
     width = headers.agg(F.max(F.size(F.split("header", f"[{sep}]")))).first()[0] or 1
     schema = ", ".join(f"c{i} string" for i in range(width))
     cells = lambda text: F.array(*[F.from_csv(text, schema, {"sep": sep, "quote": '"'})[f"c{i}"] for i in range(width)])
-    names = F.transform(cells(F.col("header")), lambda n: F.trim(F.translate(n, " ", " ")))
+    names = F.transform(cells(F.col("header")), lambda n: F.trim(F.translate(n, "\u00a0", " ")))
     heads = headers.select("source_file", "header_line", names.alias("_names"))
     for name in required:
         assert_none(heads.where(~F.array_contains("_names", name)).select("source_file"), f"column {name!r} not found")
