@@ -41,6 +41,10 @@ def read_export(spark: SparkSession, paths: str | Sequence[str], columns: Sequen
     return pick_columns(lines, headers, {c: c for c in columns}, sep, required)
 
 
+def file_name(path: str = "source_file") -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def tso_of_file(name) -> Column:
     """Grid operator named in a file name (any case), NULL when none is."""
     low = F.lower(name if isinstance(name, Column) else F.col(name))
@@ -84,7 +88,7 @@ def export_series(
 def monthly_grid_load(raw: DataFrame) -> DataFrame:
     """(tso, month, load_mwh) from monthly exports whose file name carries the operator."""
     rows = raw.select(
-        tso_of_file("source_file").alias("tso"), month_start(export_time(F.col(f"`{START}`"), "MMM d, yyyy")).alias("month"),
+        tso_of_file(file_name()).alias("tso"), month_start(export_time(F.col(f"`{START}`"), "MMM d, yyyy")).alias("month"),
         thousands_comma_number(F.col(f"`{LOAD_VALUE}`")).alias("load_mwh"),
     )
     return rows.groupBy("tso", "month").agg(F.coalesce(F.sum("load_mwh"), F.lit(0.0)).alias("load_mwh"))

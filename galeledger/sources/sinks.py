@@ -73,14 +73,16 @@ def json_rows(df: DataFrame, name: str = "record") -> DataFrame:
     return safe.select(F.to_json(F.struct(*safe.columns), {"ignoreNullFields": "false"}).alias(name))
 
 
-def revenue_summary(monthly: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, metric, value as text): support flag, first month, strike, total and yearly mean."""
+def revenue_summary(monthly: DataFrame, keys: Sequence[str], tso: str = "tso") -> DataFrame:
+    """(keys, metric, value as text): operator, support flag, first month, strike, total, yearly mean."""
+    text = lambda c, n: F.format_string(f"%.{n}f", c)
     one = monthly.groupBy(*keys).agg(
-        F.max("eeg_on").cast("string").alias("eeg_on"),
-        F.min("date").cast("string").alias("cod"),
-        F.format_string("%.4f", F.max("strike_cod_fixed")).alias("strike_eur_mwh"),
-        F.format_string("%.2f", F.sum("revenue_eur")).alias("total_revenue_eur"),
-        F.format_string("%.2f", F.sum("revenue_eur") / (F.count(F.lit(1)) / 12.0)).alias("mean_annual_revenue_eur"),
+        F.max(tso).alias("TSO"),
+        F.max("eeg_on").cast("string").alias("EEG_ON"),
+        F.min("date").cast("string").alias("COD"),
+        text(F.max("strike_cod_fixed"), 4).alias("EEG_strike_fixed_eur_mwh"),
+        text(F.sum("revenue_eur"), 2).alias("Total_revenue_eur"),
+        text(F.sum("revenue_eur") / (F.count(F.lit(1)) / 12.0), 2).alias("Average_annual_revenue_eur"),
     )
-    names = ["eeg_on", "cod", "strike_eur_mwh", "total_revenue_eur", "mean_annual_revenue_eur"]
-    return one.unpivot(list(keys), names, "metric", "value")
+    metrics = [c for c in one.columns if c not in keys]
+    return one.unpivot(list(keys), metrics, "metric", "value")

@@ -17,7 +17,7 @@ FULL_PERFORMANCE = "Full Performance"
 
 def turbine_of_file(prefix: str) -> Column:
     """``Turbine_Data_<id>_...csv`` / ``Status_<id>_...csv`` -> id."""
-    return F.regexp_extract(F.element_at(F.split("source_file", "/"), -1), rf"^{prefix}_(.+?)_[^_]*\.csv$", 1)
+    return F.regexp_extract("source_file", rf"{prefix}_([^/]+?)_[^_/]*\.csv", 1)
 
 
 def read_telemetry(spark: SparkSession, paths: str | Sequence[str], columns: dict[str, str] = TELEMETRY_COLUMNS) -> DataFrame:
