@@ -85,9 +85,9 @@ def a6(t: Tables) -> DataFrame:
     return rounded(rounded(out, ["curtailed_mwh", "production_mwh"], 2), ["curtailment_rate"])
 
 
-@query("a7_auction_mean", sql("SELECT tso, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, round(avg(o_totalprice), 4) AS strike FROM region_orders WHERE o_orderpriority <> '5-LOW' GROUP BY ALL", "region_orders"))
+@query("a7_auction_mean", sql("SELECT tso, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, round(avg(o_totalprice / 6.997::DOUBLE), 4) AS strike FROM region_orders WHERE o_orderpriority <> '5-LOW' GROUP BY ALL", "region_orders"))
 def a7(t: Tables) -> DataFrame:
-    rows = t.region_orders().select("tso", F.col("o_orderdate").cast("date").alias("d"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice")).alias("s"))
+    rows = t.region_orders().select("tso", F.col("o_orderdate").cast("date").alias("d"), F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice") / 6.997).alias("s"))
     return rounded(auction_months(rows, ["tso"], "d", "s"), ["strike"], 4)
 
 
@@ -135,7 +135,7 @@ def a11(t: Tables) -> DataFrame:
 def a12(t: Tables) -> DataFrame:
     status = _status(t).withColumn("site_id", F.concat(F.lit("S"), (F.substring("turbine_id", 2, 9).cast("int") % 2).cast("string")))
     keys = ["site_id", "turbine_id"]
-    turbines = rounded(turbine_hourly(t.telemetry(), status, keys), ["wind_speed_ms", "energy_kwh"])
+    turbines = turbine_hourly(t.telemetry(), status, keys)
     return rounded(aggregate.park_hourly(turbines), ["wind_speed_ms_mean", "energy_kwh_mean", "availability_fraction"])
 
 
@@ -182,7 +182,7 @@ def a18(t: Tables) -> DataFrame:
     return out.select("tso", r("p1").alias("lo"), r("p99").alias("hi"))
 
 
-SIMS = """SELECT tso, s.sim, b.y, b.m, h.v AS energy_kwh FROM (SELECT tso, unnest(range(20)) AS sim FROM (SELECT DISTINCT tso FROM region_month)) s,
+SIMS = """SELECT tso, s.sim, b.y, b.m, h.v AS energy_kwh FROM (SELECT tso, unnest(range(20)) AS sim FROM (SELECT DISTINCT tso FROM region_month)) s CROSS JOIN
     (SELECT y, m FROM range(2026, 2031) AS a(y), range(1, 13) AS c(m)) b
     JOIN (SELECT tso, month(month) AS m, wind_mwh AS v, row_number() OVER (PARTITION BY tso, month(month) ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY tso, month(month)) AS n FROM region_month) h USING (tso, m)
     WHERE h.i = CAST('0x' || substr(md5('42|' || tso || '|' || s.sim || '|' || b.y || '|' || b.m), 1, 8) AS BIGINT) % h.n"""

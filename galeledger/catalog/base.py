@@ -2,6 +2,8 @@
 
 Each stand-in exists twice: as a DataFrame method of :class:`Tables` and as the SQL
 text of a CTE in :data:`CTE`, so an operator and its SQL twin start from equal rows.
+Scale divisors are primes: a mean of cents over 4000 can end in an exact 5, where
+engines round differently; over 3997 it cannot.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ class Tables:
         )
         return rows.select(
             F.col("n_name").alias("zone"), F.col("l_shipdate").alias("ts"),
-            (F.col("l_extendedprice") / F.col("l_quantity")).alias("price_eur_mwh"), F.col("l_quantity").alias("wind_mwh"),
+            (F.col("l_extendedprice") / F.col("l_quantity") / 6.997).alias("price_eur_mwh"), F.col("l_quantity").alias("wind_mwh"),
         )
 
     def region_orders(self) -> DataFrame:
@@ -74,7 +76,7 @@ class Tables:
     def region_month(self) -> DataFrame:
         """Monthly price and volume per operator."""
         return self.region_orders().groupBy("tso", month_start("o_orderdate").alias("month")).agg(
-            (F.avg("o_totalprice") / 4000).alias("price"), (F.sum("o_totalprice") / 1000).alias("wind_mwh"),
+            (F.avg("o_totalprice") / 3997).alias("price"), (F.sum("o_totalprice") / 997).alias("wind_mwh"),
             (F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(0.0)) / F.sum("o_totalprice") + 0.5).alias("capture_factor"),
         )
 
@@ -93,7 +95,7 @@ class Tables:
         return self.events.select(
             F.concat(F.lit("S"), (c("user_id") % 2).cast("string")).alias("site_id"),
             F.concat(F.lit("T"), (c("user_id") % 10).cast("string")).alias("turbine_id"),
-            "ts", "event_id", "event_type", (c("value") * 10 - 20).alias("power_kw"), (c("value") % 25).alias("wind_speed_ms"),
+            "ts", "event_id", "event_type", (c("value") * 10 / 0.997 - 20).alias("power_kw"), (c("value") / 0.997 % 25).alias("wind_speed_ms"),
             F.element_at(F.array(*[F.lit(x) for x in TYPES]), (c("user_id") % 10 % 3 + 1).cast("int")).alias("turbine_type"),
         )
 
@@ -108,9 +110,9 @@ class Tables:
             (c("user_id") % 3 + 200).cast("int").alias("lat_i"), (F.floor(c("user_id") / 3) % 3 + 40).cast("int").alias("lon_i"),
         ).agg(F.avg("value").alias("a"), F.max("value").alias("b"), F.min("value").alias("m"), F.count(F.lit(1)).alias("k"))
         return rows.select(
-            "time", "lat_i", "lon_i", (c("a") / 10 - 2).alias("u10"), (c("b") / 50 - 1).alias("v10"),
-            (c("a") / 8 - 2).alias("u100"), (c("b") / 40 - 1).alias("v100"), (275 + c("a") / 10).alias("t2m"),
-            (101325 - c("b") * 10).alias("sp"), (271 + c("a") / 20).alias("d2m"), (0.1 + c("k") * 0.001).alias("fsr"), (c("m") / 10).alias("zust"),
+            "time", "lat_i", "lon_i", (c("a") / 9.7 - 2).alias("u10"), (c("b") / 50 - 1).alias("v10"),
+            (c("a") / 7.9 - 2).alias("u100"), (c("b") / 40 - 1).alias("v100"), (275 + c("a") / 9.7).alias("t2m"),
+            (101325 - c("b") * 10).alias("sp"), (271 + c("a") / 19.7).alias("d2m"), (0.1 + c("k") * 0.001).alias("fsr"), (c("m") / 10).alias("zust"),
         )
 
     def sites(self) -> DataFrame:
@@ -127,14 +129,14 @@ class Tables:
             (100.0 + 10 * (k % 9)).alias("hub_height_m"), (k % 4).cast("int").alias("tso_id"),
             F.element_at(F.array(*[F.lit(TSO_NAMES[i]) for i in range(4)]), (k % 4 + 1).cast("int")).alias("tso"),
             F.make_date((1996 + k % 3).cast("int"), (1 + k % 12).cast("int"), F.lit(1)).alias("cod"),
-            (k % 2).cast("int").alias("eeg_on"), F.when(k % 5 == 0, 60 + c("s_acctbal") / 1000).alias("manual_eeg_strike"),
+            (k % 2).cast("int").alias("eeg_on"), F.when(k % 5 == 0, 60 + c("s_acctbal") / 997).alias("manual_eeg_strike"),
             F.when(k % 7 != 0, F.abs(c("s_acctbal")) * 2000).alias("equity_eur"), (2000.0 + (k % 20) * 1100).alias("mwh_constant"),
             (0.03 + (k % 4) * 0.005).alias("debt_rate"), F.lit(0.085).alias("equity_return"), (15 + k % 8).cast("int").alias("debt_tenor_years"),
         )
 
     def market_price(self) -> DataFrame:
         """Monthly price for 24 years: actual where known, else the last 36-month mean."""
-        actual = self.orders.groupBy(month_start("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / 4000).alias("p"))
+        actual = self.orders.groupBy(month_start("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / 3997).alias("p"))
         level = actual.orderBy(F.desc("date")).limit(36).agg(F.avg("p")).scalar()
         spine = actual.agg(F.min("date").alias("_a")).select(
             F.explode(F.sequence(F.col("_a"), F.add_months("_a", 287), F.expr("interval 1 month"))).alias("date")
@@ -155,7 +157,7 @@ class Tables:
 
     def strike_series(self) -> DataFrame:
         """Sparse monthly strikes."""
-        rows = self.lineitem.groupBy(month_start("l_shipdate").alias("date")).agg((F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 40).alias("strike"))
+        rows = self.lineitem.groupBy(month_start("l_shipdate").alias("date")).agg((F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 41).alias("strike"))
         return rows.where(F.month("date") % 3 == 1)
 
 
@@ -178,12 +180,12 @@ def query(name: str, sql: str | None = None):
 _TYPE = "CASE {k} % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END"
 
 CTE: dict[str, str] = {
-    "zone_hourly": """SELECT n_name AS zone, l_shipdate AS ts, l_extendedprice / l_quantity AS price_eur_mwh, l_quantity AS wind_mwh
+    "zone_hourly": """SELECT n_name AS zone, l_shipdate AS ts, l_extendedprice / l_quantity / 6.997::DOUBLE AS price_eur_mwh, l_quantity AS wind_mwh
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
     "region_orders": """SELECT r_name AS tso, n_name AS zone, o_orderkey, o_orderdate, o_totalprice, o_orderstatus, o_orderpriority
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
-    "region_month": """SELECT tso, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) / 4000 AS price,
-        sum(o_totalprice) / 1000 AS wind_mwh,
+    "region_month": """SELECT tso, CAST(date_trunc('month', o_orderdate) AS DATE) AS month, avg(o_totalprice) / 3997 AS price,
+        sum(o_totalprice) / 997 AS wind_mwh,
         sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE 0 END) / sum(o_totalprice) + 0.5 AS capture_factor
         FROM region_orders GROUP BY ALL""",
     "tso_quarter": """SELECT *, curt_mwh / (curt_mwh + prod_mwh) AS cr, wind_mwh / load_mwh AS S FROM (
@@ -193,13 +195,13 @@ CTE: dict[str, str] = {
         coalesce(sum(o_totalprice) FILTER (o_orderpriority IN ('1-URGENT', '2-HIGH')), 0) AS wind_mwh,
         sum(o_totalprice) AS load_mwh FROM region_orders GROUP BY ALL)""",
     "telemetry": f"""SELECT 'S' || (user_id % 2) AS site_id, 'T' || (user_id % 10) AS turbine_id, ts, event_id, event_type,
-        value * 10 - 20 AS power_kw, value % 25 AS wind_speed_ms, {_TYPE.format(k='(user_id % 10)')} AS turbine_type FROM events""",
+        value * 10 / 0.997::DOUBLE - 20 AS power_kw, value / 0.997::DOUBLE % 25 AS wind_speed_ms, {_TYPE.format(k='(user_id % 10)')} AS turbine_type FROM events""",
     "curve": """SELECT * FROM (VALUES ('alpha', 0, 3.0::DOUBLE, 0.0::DOUBLE), ('alpha', 1, 5, 200), ('alpha', 2, 8, 800), ('alpha', 3, 12, 1990), ('alpha', 4, 25, 2000), ('alpha', 5, 25.5, 0),
         ('beta', 0, 2.5, 0), ('beta', 1, 4, 120), ('beta', 2, 7.3, 900), ('beta', 3, 11, 2700), ('beta', 4, 13, 3000), ('beta', 5, 24, 3000),
         ('gamma', 0, 3.5, 18), ('gamma', 1, 6, 300), ('gamma', 2, 9, 980), ('gamma', 3, 14, 1480)) AS c(turbine_type, i, v, p)""",
     "spec": """SELECT * FROM (VALUES ('alpha', 2000.0::DOUBLE, 90.0::DOUBLE, 3.0::DOUBLE), ('beta', 3000, 112, 3.5), ('gamma', 1500, 77, 3.5)) AS s(turbine_type, rated_power_kw, rotor_diameter_m, cut_in_ws)""",
-    "climate": """SELECT time, lat_i, lon_i, a / 10 - 2 AS u10, b / 50 - 1 AS v10, a / 8 - 2 AS u100, b / 40 - 1 AS v100, 275 + a / 10 AS t2m,
-        101325 - b * 10 AS sp, 271 + a / 20 AS d2m, 0.1 + k * 0.001::DOUBLE AS fsr, m / 10 AS zust FROM (
+    "climate": """SELECT time, lat_i, lon_i, a / 9.7::DOUBLE - 2 AS u10, b / 50 - 1 AS v10, a / 7.9::DOUBLE - 2 AS u100, b / 40 - 1 AS v100, 275 + a / 9.7::DOUBLE AS t2m,
+        101325 - b * 10 AS sp, 271 + a / 19.7::DOUBLE AS d2m, 0.1 + k * 0.001::DOUBLE AS fsr, m / 10 AS zust FROM (
         SELECT date_trunc('day', ts)::TIMESTAMP AS time, CAST(user_id % 3 + 200 AS INT) AS lat_i, CAST((user_id // 3) % 3 + 40 AS INT) AS lon_i,
         avg(value) AS a, max(value) AS b, min(value) AS m, count(*) AS k FROM events GROUP BY ALL)""",
     "sites": f"""SELECT s_suppkey AS site_id, 50 + (s_suppkey % 11) * 0.05::DOUBLE AS lat, 10 + (s_suppkey % 13) * 0.05::DOUBLE AS lon,
@@ -216,10 +218,10 @@ CTE: dict[str, str] = {
         100.0::DOUBLE + 10 * (s_suppkey % 9) AS hub_height_m, CAST(s_suppkey % 4 AS INT) AS tso_id,
         CASE s_suppkey % 4 WHEN 0 THEN '50Hertz' WHEN 1 THEN 'TenneT' WHEN 2 THEN 'Amprion' ELSE 'TransnetBW' END AS tso,
         make_date(1996 + s_suppkey % 3, 1 + s_suppkey % 12, 1) AS cod, CAST(s_suppkey % 2 AS INT) AS eeg_on,
-        CASE WHEN s_suppkey % 5 = 0 THEN 60 + s_acctbal / 1000 END AS manual_eeg_strike,
+        CASE WHEN s_suppkey % 5 = 0 THEN 60 + s_acctbal / 997 END AS manual_eeg_strike,
         CASE WHEN s_suppkey % 7 <> 0 THEN abs(s_acctbal) * 2000 END AS equity_eur, 2000.0::DOUBLE + (s_suppkey % 20) * 1100 AS mwh_constant,
         0.03::DOUBLE + (s_suppkey % 4) * 0.005::DOUBLE AS debt_rate, 0.085::DOUBLE AS equity_return, CAST(15 + s_suppkey % 8 AS INT) AS debt_tenor_years FROM supplier""",
-    "market_actual": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, avg(o_totalprice) / 4000 AS p FROM orders GROUP BY ALL",
+    "market_actual": "SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, avg(o_totalprice) / 3997 AS p FROM orders GROUP BY ALL",
     "market_price": """SELECT CAST(m AS DATE) AS date, coalesce(p, (SELECT avg(p) FROM (SELECT p FROM market_actual ORDER BY date DESC LIMIT 36))) AS p_market
         FROM (SELECT unnest(generate_series((SELECT min(date) FROM market_actual)::TIMESTAMP, ((SELECT min(date) FROM market_actual) + INTERVAL 287 MONTH)::TIMESTAMP, INTERVAL 1 MONTH)) AS m)
         LEFT JOIN market_actual a ON a.date = CAST(m AS DATE)""",
@@ -228,7 +230,7 @@ CTE: dict[str, str] = {
         FROM lineitem WHERE month(l_shipdate) % 2 = 1 GROUP BY ALL""",
     "curtailment_series": """SELECT CASE tso WHEN 'AFRICA' THEN '50Hertz' WHEN 'AMERICA' THEN 'TenneT' WHEN 'ASIA' THEN 'Amprion' WHEN 'EUROPE' THEN 'TransnetBW' END AS tso,
         quarter, cr * 0.3::DOUBLE AS cr_hat FROM tso_quarter WHERE tso IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')""",
-    "strike_series": """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_extendedprice / l_quantity) / 40 AS strike
+    "strike_series": """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_extendedprice / l_quantity) / 41 AS strike
         FROM lineitem WHERE month(l_shipdate) % 3 = 1 GROUP BY ALL""",
 }
 NEEDS = {

@@ -87,13 +87,13 @@ def d8(t: Tables) -> DataFrame:
     return timeline.ten_minute_timeline(t.telemetry(), ["turbine_id"], "ts", "ts")
 
 
-DENSE = """SELECT s.site_id, s.turbine_id, s.ts, round(h.wind, 6) AS wind_speed_ms, round(coalesce(h.power, 0) / 6, 6) AS energy_kwh FROM (
-    SELECT site_id, turbine_id, unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS ts FROM telemetry GROUP BY ALL) s
+DENSE = """SELECT s.site_id, s.turbine_id, s.ts, h.wind AS wind_speed_ms, coalesce(h.power, 0) / 6 AS energy_kwh FROM (
+    SELECT site_id, turbine_id, unnest(generate_series(date_trunc('hour', a), date_trunc('hour', b), INTERVAL 1 HOUR)) AS ts FROM (SELECT site_id, turbine_id, min(ts) AS a, max(ts) AS b FROM telemetry GROUP BY ALL)) s
     LEFT JOIN (SELECT site_id, turbine_id, date_trunc('hour', ts) AS ts, avg(wind_speed_ms) AS wind, sum(power_kw) AS power FROM telemetry GROUP BY ALL) h
     USING (site_id, turbine_id, ts)"""
 
 
-@query("d9_hourly_dense", sql(DENSE, "telemetry"))
+@query("d9_hourly_dense", sql("SELECT site_id, turbine_id, ts, round(wind_speed_ms, 6) AS wind_speed_ms, round(energy_kwh, 6) AS energy_kwh FROM d", "telemetry", d=DENSE))
 def d9(t: Tables) -> DataFrame:
     return rounded(plain_hourly(t.telemetry(), ["site_id", "turbine_id"]), ["wind_speed_ms", "energy_kwh"])
 

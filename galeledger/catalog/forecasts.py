@@ -107,7 +107,7 @@ def f6b(t: Tables) -> DataFrame:
 
 
 STRIKES = {
-    "au": "SELECT tso, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, avg(o_totalprice) / 3000 AS strike FROM region_orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate < '1998-07-01' GROUP BY ALL",
+    "au": "SELECT tso, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, avg(o_totalprice) / 2999 AS strike FROM region_orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate < '1998-07-01' GROUP BY ALL",
     "an": "SELECT tso, max(date) AS anchor FROM au GROUP BY tso",
     "fu": """SELECT tso, month AS date, price, CASE WHEN y > 0 THEN 1.02::DOUBLE + 0.13::DOUBLE * exp(-ln(2) / 12 * y) ELSE 1.15 END AS mk FROM (
         SELECT r.tso, month, price, ((year(month) - year(anchor)) * 12 + month(month) - month(anchor)) / 12 AS y FROM region_month r JOIN an USING (tso) WHERE month >= '1998-01-01')""",
@@ -118,7 +118,7 @@ STRIKES = {
     UNION ALL SELECT tso, date, round(price, 4), round(mk, 6), round(mk * price, 4) FROM fu""", "region_month", **STRIKES))
 def f7(t: Tables) -> DataFrame:
     rows = t.region_orders().where("o_orderpriority = '1-URGENT' AND o_orderdate < timestamp_ntz'1998-07-01'")
-    auctions = market.auction_months(rows.select("tso", F.col("o_orderdate").cast("date").alias("d"), (F.col("o_totalprice") / 3000).alias("s")), ["tso"], "d", "s")
+    auctions = market.auction_months(rows.select("tso", F.col("o_orderdate").cast("date").alias("d"), (F.col("o_totalprice") / 2999).alias("s")), ["tso"], "d", "s")
     prices = t.region_month().where("month >= date'1998-01-01'").select("tso", F.col("month").alias("date"), "price")
     out = market.strike_path(prices, auctions, ["tso"])
     return out.select("tso", "date", r("market_price", 4).alias("market_price"), r("markup_path").alias("markup_path"), r("eeg_strike_used", 4).alias("eeg_strike_used"))

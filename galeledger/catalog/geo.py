@@ -67,8 +67,8 @@ def g3(t: Tables) -> DataFrame:
     return rounded(raster.density_raster(points(t), frame_for(vertices(t), WIDTH), RADIUS), ["intensity"])
 
 
-@query("g4_colour_ramp", sql(f"""SELECT px, py, round(n, 6) AS norm, CAST(CASE WHEN n < 0.5 THEN floor(255 * (n / 0.5::DOUBLE) + 0.5) ELSE 255 END AS INT) AS r,
-    CAST(CASE WHEN n < 0.5 THEN 255 ELSE floor(255 * (1 - (n - 0.5) / 0.5::DOUBLE) + 0.5) END AS INT) AS g, 0 AS b FROM (SELECT px, py, round({_NORM}, 9) AS n FROM ra)""", **CANVAS))
+@query("g4_colour_ramp", sql(f"""SELECT px, py, round(n0, 6) AS norm, CAST(CASE WHEN n < 0.5 THEN floor(255 * (n / 0.5::DOUBLE) + 0.5) ELSE 255 END AS INT) AS r,
+    CAST(CASE WHEN n < 0.5 THEN 255 ELSE floor(255 * (1 - (n - 0.5) / 0.5::DOUBLE) + 0.5) END AS INT) AS g, 0 AS b FROM (SELECT px, py, {_NORM} AS n0, round({_NORM}, 9) AS n FROM ra)""", **CANVAS))
 def g4(t: Tables) -> DataFrame:
     out = raster.coloured(raster.density_raster(points(t), frame_for(vertices(t), WIDTH), RADIUS))
     red, green, blue = geo.ramp(r("norm", 9))

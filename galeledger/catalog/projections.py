@@ -29,7 +29,7 @@ def p3(t: Tables) -> DataFrame:
     return t.region_orders().where(F.col("tso") == "ASIA").groupBy("zone").agg(F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("p4_positive_only", "SELECT event_type, count(*) AS n FROM events WHERE value * 10 - 20 > 0 GROUP BY ALL")
+@query("p4_positive_only", sql("SELECT event_type, count(*) AS n FROM telemetry WHERE power_kw > 0 GROUP BY ALL", "telemetry"))
 def p4(t: Tables) -> DataFrame:
     return t.telemetry().where(F.col("power_kw") > 0).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -81,25 +81,25 @@ def p11(t: Tables) -> DataFrame:
 
 
 _TARGETS = """SELECT event_id, coalesce(e IS NOT NULL AND x IS NOT NULL AND w >= 3 + 0.5 AND w <= 0.9 * 20 AND x >= 50, false) AS valid, e, x FROM (
-    SELECT event_id, CASE WHEN event_type <> 'error' THEN value * 10 - 20 END AS e, CASE WHEN event_type <> 'view' THEN value * 9 END AS x, value % 25 AS w FROM events)"""
+    SELECT event_id, CASE WHEN event_type <> 'error' THEN power_kw END AS e, CASE WHEN event_type <> 'view' THEN (power_kw + 20) * 0.9::DOUBLE END AS x, wind_speed_ms AS w FROM telemetry)"""
 
 
 def _masked(t: Tables) -> DataFrame:
     rows = t.telemetry().select(
         "event_id", F.when(F.col("event_type") != "error", F.col("power_kw")).alias("energy_kwh"), F.col("wind_speed_ms").alias("era5_ws_hub"),
-        F.when(F.col("event_type") != "view", (F.col("power_kw") + 20) / 10 * 9).alias("expected_energy_kwh"),
+        F.when(F.col("event_type") != "view", (F.col("power_kw") + 20) * 0.9).alias("expected_energy_kwh"),
         F.lit(3.0).alias("_cut_in"), F.lit(20.0).alias("_rated_ws"),
     )
     return with_targets(rows)
 
 
-@query("p12_validity_mask", sql("SELECT event_id, valid AS target_is_valid FROM m", m=_TARGETS))
+@query("p12_validity_mask", sql("SELECT event_id, valid AS target_is_valid FROM m", "telemetry", m=_TARGETS))
 def p12(t: Tables) -> DataFrame:
     return _masked(t).select("event_id", "target_is_valid")
 
 
 @query("p13_conditional_columns", sql("""SELECT event_id, round(CASE WHEN valid THEN e / x END, 6) AS factor,
-    round(CASE WHEN valid AND e / x > 0 THEN ln(e / x) END, 6) AS log_factor FROM m""", m=_TARGETS))
+    round(CASE WHEN valid AND e / x > 0 THEN ln(e / x) END, 6) AS log_factor FROM m""", "telemetry", m=_TARGETS))
 def p13(t: Tables) -> DataFrame:
     return _masked(t).select("event_id", r("target_correction_factor").alias("factor"), r("target_log_correction_factor").alias("log_factor"))
 

@@ -31,7 +31,7 @@ def k1(t: Tables) -> DataFrame:
 @query("k2_partitioned", "SELECT 'T' || (user_id % 10) AS turbine_id, count(*) AS n, round(sum(value), 2) AS power FROM events GROUP BY ALL")
 def k2(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "k2")
-    rows = t.telemetry().select("turbine_id", "ts", ((F.col("power_kw") + 20) / 10).alias("value"))
+    rows = t.events.select(F.concat(F.lit("T"), (F.col("user_id") % 10).cast("string")).alias("turbine_id"), "ts", "value")
     sinks.write_by_key(rows, ["turbine_id"], path)
     back = t.spark.read.parquet(path)
     return back.groupBy("turbine_id").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 2).alias("power"))

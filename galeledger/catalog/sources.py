@@ -183,7 +183,7 @@ def s11(t: Tables) -> DataFrame:
 
 
 @query("s12_parameter_tables", sql("""SELECT tso, CASE turbine_type_id WHEN 0 THEN 'LOW_WIND' WHEN 1 THEN 'BALANCED' ELSE 'HIGH_WIND' END AS turbine_type,
-    count(*) AS n, round(sum(n_turbines * CASE turbine_type_id WHEN 0 THEN 6.0 WHEN 1 THEN 5.6 ELSE 4.2 END), 6) AS park_mw FROM scenarios GROUP BY ALL""", "scenarios"))
+    count(*) AS n, round(sum(n_turbines * CASE turbine_type_id WHEN 0 THEN 6.0 WHEN 1 THEN 5.6 ELSE 4.2 END)::DOUBLE, 6) AS park_mw FROM scenarios GROUP BY ALL""", "scenarios"))
 def s12(t: Tables) -> DataFrame:
     rows = t.scenarios().drop("tso")
     rows = rows.join(F.broadcast(cat.tso_table(t.spark)), "tso_id").join(F.broadcast(cat.archetype_table(t.spark)), "turbine_type_id")

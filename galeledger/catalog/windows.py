@@ -76,7 +76,7 @@ def w8(t: Tables) -> DataFrame:
 
 
 @query("w9_first_over_threshold", """SELECT k, coalesce(min(l_quantity) FILTER (p >= 0.99::DOUBLE * top), max(l_quantity)) AS speed FROM (
-    SELECT l_suppkey AS k, l_quantity, max(l_extendedprice) AS p, max(max(l_extendedprice)) OVER (PARTITION BY l_suppkey) AS top FROM lineitem GROUP BY ALL) GROUP BY ALL""")
+    SELECT *, max(p) OVER (PARTITION BY k) AS top FROM (SELECT l_suppkey AS k, l_quantity, max(l_extendedprice) AS p FROM lineitem GROUP BY ALL)) GROUP BY k""")
 def w9(t: Tables) -> DataFrame:
     from ..operators.curves import rated_speed
 

@@ -62,13 +62,17 @@ def months_without_history(hist: DataFrame, keys: Sequence[str], value: str = "e
 
 
 def representative_sim(sims: DataFrame, keys: Sequence[str], value: str = "energy_kwh") -> DataFrame:
-    """The simulation whose total is closest to the median total; first one wins ties."""
+    """The simulation whose total is closest to the median total; first one wins ties.
+
+    With an even number of simulations the two middle ones are equally far from the
+    median; distances are compared to 1e-6 so that summation order cannot decide.
+    """
     totals = sims.groupBy(*keys, "sim").agg(F.sum(value).alias("total"))
     middle = totals.groupBy(*keys).agg(F.percentile("total", 0.5).alias("median_total"))
     return (
         totals.join(middle, list(keys))
         .groupBy(*keys)
-        .agg(F.min_by(F.struct("sim", "total", "median_total"), F.struct(F.abs(F.col("total") - F.col("median_total")), "sim")).alias("_b"))
+        .agg(F.min_by(F.struct("sim", "total", "median_total"), F.struct(F.round(F.abs(F.col("total") - F.col("median_total")), 6), "sim")).alias("_b"))
         .select(*keys, "_b.*")
     )
 

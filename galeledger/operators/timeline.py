@@ -63,7 +63,8 @@ def tick_rows(span: DataFrame, keys: Sequence[str], start: str, end: str, minute
     wide = spread(days, *keys, "_day")
     lo = F.greatest(F.col("_a"), F.col("_day") * day + F.pmod(F.col("_a") - F.col("_day") * day, F.lit(step)))
     hi = F.least(F.col("_b"), (F.col("_day") + 1) * day - 1)
-    return wide.where(lo <= hi).select(*keys, from_micros(F.explode(F.sequence(lo, hi, F.lit(step)))).alias(name))
+    ticks = wide.where(lo <= hi).select(*keys, F.explode(F.sequence(lo, hi, F.lit(step))).alias("_m"))
+    return ticks.select(*keys, from_micros("_m").alias(name))
 
 
 def hourly_dense(df: DataFrame, keys: Sequence[str], time: str, aggregates: dict[str, Column], defaults: dict[str, float]) -> DataFrame:

@@ -29,7 +29,7 @@ PRICE_DRIFTS = {"low": 0.03, "base": 0.05, "high": 0.07}
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """One row per turbine type with its nested power curve."""
-    doc = spark.read.option("wholetext", True).text(path)
+    doc = spark.read.text(path, wholetext=True)
     return catalogue_rows(doc.select(F.col("value").alias("json")))
 
 

@@ -37,8 +37,8 @@ def header_of_files(lines: DataFrame, is_header: Column, clean: Callable[[Column
     return (
         lines.where(is_header)
         .groupBy("source_file")
-        .agg(F.min_by(F.struct(F.col("line").alias("raw"), clean(F.col("line")).alias("header")), F.struct("source_block", "source_row")).alias("_h"))
-        .select("source_file", F.col("_h.raw").alias("header_line"), F.col("_h.header").alias("header"))
+        .agg(F.min(F.struct("source_block", "source_row", clean(F.col("line")).alias("header"))).alias("_h"))
+        .select("source_file", F.struct("_h.source_block", "_h.source_row").alias("header_at"), F.col("_h.header").alias("header"))
     )
 
 
@@ -47,18 +47,18 @@ def pick_columns(
 ) -> DataFrame:
     """Data lines as text columns: ``wanted`` maps header name -> output name.
 
-    The header line itself is left out. A file without a ``required`` column raises;
+    Only lines after the header count. A file without a ``required`` column raises;
     other missing columns are NULL for that file.
     """
     width = headers.agg(F.max(F.size(F.split("header", f"[{sep}]")))).first()[0] or 1
     schema = ", ".join(f"c{i} string" for i in range(width))
     cells = lambda text: F.array(*[F.from_csv(text, schema, {"sep": sep, "quote": '"'})[f"c{i}"] for i in range(width)])
     names = F.transform(cells(F.col("header")), lambda n: F.trim(F.translate(n, "\u00a0", " ")))
-    heads = headers.select("source_file", "header_line", names.alias("_names"))
+    heads = headers.select("source_file", "header_at", names.alias("_names"))
     for name in required:
         assert_none(heads.where(~F.array_contains("_names", name)).select("source_file"), f"column {name!r} not found")
-    places = heads.select("source_file", "header_line", *[F.array_position("_names", n).alias(f"_p{i}") for i, n in enumerate(wanted)])
-    data = lines.join(places, "source_file").where(F.col("line") != F.col("header_line"))
+    places = heads.select("source_file", "header_at", *[F.array_position("_names", n).alias(f"_p{i}") for i, n in enumerate(wanted)])
+    data = lines.join(places, "source_file").where(F.struct("source_block", "source_row") > F.col("header_at"))
     data = data.withColumn("_cells", cells(F.col("line")))
     text = [
         F.when(F.col(f"_p{i}") > 0, F.get("_cells", (F.col(f"_p{i}") - 1).cast("int"))).alias(out) for i, out in enumerate(wanted.values())

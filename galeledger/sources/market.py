@@ -100,14 +100,14 @@ def read_transposed_report(spark: SparkSession, paths, row_pattern: str = REPORT
     A report is a page of text, so a file is one row: header and the first line
     whose label matches are split and zipped in place.
     """
-    files = spark.read.option("wholetext", True).text(paths).select("value", F.col("_metadata.file_name").alias("source_file"))
+    files = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_name").alias("source_file"))
     return transposed_report_rows(files, row_pattern)
 
 
 def transposed_report_rows(files: DataFrame, row_pattern: str = REPORT_ROW) -> DataFrame:
     body = F.regexp_replace("value", "\r|\ufeff", "")
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.trim(F.translate(x, ";", ""))) > 0)
-    cells = lambda line: F.transform(F.slice(F.split(line, ";"), 2, 12), F.trim)
+    cells = lambda line: F.transform(F.slice(F.split(line, ";"), 2, 12), lambda x: F.trim(x))
     wanted = F.filter("_lines", lambda x: F.rlike(F.trim(F.element_at(F.split(x, ";"), 1)), F.lit(row_pattern)))
     pages = files.withColumn("_lines", lines).select("source_file", cells(F.get("_lines", F.lit(0))).alias("_m"), cells(F.get(wanted, F.lit(0))).alias("_v"))
     rows = pages.select("source_file", F.explode(F.arrays_zip("_m", "_v")).alias("_c"))
