@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.calendar import month_start, quarter_start
+from ..session import settle
 from ..sources.catalogue import TSO_NAMES, catalogue_rows
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,7 +137,7 @@ class Tables:
 
     def market_price(self) -> DataFrame:
         """Monthly price for 24 years: actual where known, else the last 36-month mean."""
-        actual = self.orders.groupBy(month_start("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / 3997).alias("p"))
+        actual = settle(self.orders.groupBy(month_start("o_orderdate").alias("date")).agg((F.avg("o_totalprice") / 3997).alias("p")), "actual")
         level = actual.orderBy(F.desc("date")).limit(36).agg(F.avg("p")).scalar()
         spine = actual.agg(F.min("date").alias("_a")).select(
             F.explode(F.sequence(F.col("_a"), F.add_months("_a", 287), F.expr("interval 1 month"))).alias("date")

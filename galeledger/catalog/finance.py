@@ -48,7 +48,7 @@ NEWTON = """/*rec*/ SELECT scenario_id, cfs, 0.08::DOUBLE AS r, 0 AS i, CASE WHE
 
 
 def panel_of(t: Tables) -> DataFrame:
-    return revenue.driver_panel(t.scenarios(), t.market_price(), t.capture_series(), t.curtailment_series(), t.strike_series(), MONTHS)
+    return settle(revenue.driver_panel(t.scenarios(), t.market_price(), t.capture_series(), t.curtailment_series(), t.strike_series(), MONTHS), "panel")
 
 
 def revenue_of(t: Tables) -> DataFrame:
@@ -107,7 +107,7 @@ def c6(t: Tables) -> DataFrame:
 def c6c(t: Tables) -> DataFrame:
     production = t.lineitem.select(F.col("l_suppkey").alias("scenario_id"), F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("date"), F.col("l_quantity").alias("mwh"))
     production = production.groupBy("scenario_id", "date").agg(F.sum("mwh").alias("mwh"))
-    panel = revenue.driver_panel(t.scenarios(), t.market_price(), t.capture_series(), t.curtailment_series(), t.strike_series(), 60)
+    panel = settle(revenue.driver_panel(t.scenarios(), t.market_price(), t.capture_series(), t.curtailment_series(), t.strike_series(), 60), "panel")
     return revenue.rejected_scenarios(t.scenarios(), production, panel, months=60)
 
 

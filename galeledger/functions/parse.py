@@ -7,9 +7,6 @@ from pyspark.sql import Column, functions as F
 
 from .expr import as_col
 
-# Texts that mean "missing" in the market exports.
-MISSING_TEXT = ["", "-", "–", "nan", "None"]
-
 # German month abbreviations as printed in the yearly reports
 # (March appears in two spellings).
 GERMAN_MONTHS = {
@@ -38,19 +35,21 @@ def number(c) -> Column:
 def sniffed_number(c) -> Column:
     """Number in unknown locale: of ``,`` and ``.`` the last one is the decimal mark.
 
-    A lone comma is a decimal comma, a lone dot a decimal point.
+    A lone comma is a decimal comma, a lone dot a decimal point. Everything but
+    digits, marks and minus is dropped, so the texts that mean "missing" (blank,
+    dashes, ``nan``, ``None``) keep nothing a number could be read from.
     """
-    text = F.trim(F.translate(as_col(c), "\u00a0\u202f", "  "))
-    body = F.regexp_replace(text, r"[^0-9,.\-]", "")
+    body = F.regexp_replace(as_col(c), r"[^0-9,.\-]", "")
+    # 0 when absent; otherwise the distance from the end, so the smaller one is the last.
     from_end = F.reverse(body)
     comma, dot = F.instr(from_end, ","), F.instr(from_end, ".")
     plain = (
-        F.when((comma > 0) & (dot > 0) & (comma < dot), F.replace(F.replace(body, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when((comma > 0) & (dot > 0), F.replace(body, F.lit(","), F.lit("")))
-        .when(comma > 0, F.replace(body, F.lit(","), F.lit(".")))
-        .otherwise(body)
+        F.when((comma == 0), body)
+        .when(dot == 0, F.translate(body, ",", "."))
+        .when(comma < dot, F.translate(body, ",.", "."))
+        .otherwise(F.translate(body, ",", ""))
     )
-    return F.when(~text.isin(MISSING_TEXT), number(plain))
+    return plain.try_cast("double")
 
 
 def thousands_comma_number(c) -> Column:

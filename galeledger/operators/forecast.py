@@ -1,5 +1,9 @@
 """Deterministic forecasts. A recursion along one series' horizon is a fold over an
-array inside that series' row; series are what scales out."""
+array inside that series' row; series are what scales out.
+
+Fits read a monthly table several times. Such a table holds at most one row per series
+and month, so it is settled first: the raw data behind it is scanned once.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import settle
 from ..functions.calendar import month_index, months_between_starts
 from ..functions.expr import as_col, clip
 from .aggregate import seasonal_profile
@@ -54,7 +59,7 @@ def fit_price_model(
     """
     z = F.log(F.col(price) + shift) - drift(F.col(month), anchor, mu0, growth, history_offset)
     rows = monthly.withColumn("z", z).withColumn("season", F.month(month))
-    rows = rows.withColumn("z_lag", lag_row("z", keys, month))
+    rows = settle(rows.withColumn("z_lag", lag_row("z", keys, month)), "price-rows")
     fit = season_map(fit_within(rows, keys, "season", "z", ["z_lag"]), keys, "season", ["b_z_lag"])
     last = rows.groupBy(*keys).agg(F.max(month).alias("last_month"), F.max_by("z", month).alias("z_last"))
     return fit.join(last, list(keys)).withColumnRenamed("b_z_lag", "phi")
@@ -80,7 +85,7 @@ def fit_capture_model(monthly: DataFrame, keys: Sequence[str], *, month="month",
     """log CF on its own lag, log wind and month effects; phi clamped to be stable."""
     rows = monthly.na.drop(subset=[cf, wind]).where(F.col(cf) > 0)
     rows = rows.withColumn("z", F.log(cf)).withColumn("log_wind", F.log(F.greatest(F.col(wind), F.lit(1.0)))).withColumn("season", F.month(month))
-    rows = rows.withColumn("z_lag", lag_row("z", keys, month))
+    rows = settle(rows.withColumn("z_lag", lag_row("z", keys, month)), "capture-rows")
     fit = season_map(fit_within(rows, keys, "season", "z", ["z_lag", "log_wind"]), keys, "season", ["b_z_lag", "b_log_wind"])
     last = rows.groupBy(*keys).agg(F.max(month).alias("last_month"), F.max_by("z", month).alias("z_last"))
     return fit.join(last, list(keys)).withColumn("phi", clip("b_z_lag", 0.0, 0.98))

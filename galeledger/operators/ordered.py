@@ -88,6 +88,17 @@ def filled(value: str, keys: Keys, time: str, backward: bool = True) -> Column:
     return F.coalesce(forward, earliest)
 
 
+def monthly_steps(df: DataFrame, keys: Keys, month: str, values: Sequence[str], until: Column) -> DataFrame:
+    """Dense monthly form of a sparse calendar table: each row repeats every month until
+    the next row, the last one through ``until``. An equi-join with it is an as-of
+    backward join on months. Rows with an unknown value are removed first.
+    """
+    w = Window.partitionBy(*keys).orderBy(month)
+    last = F.coalesce(F.add_months(F.lead(month).over(w), -1), F.greatest(F.col(month), until))
+    known = df.na.drop(subset=list(values)).withColumn("_last", last)
+    return known.withColumn(month, F.explode(F.sequence(month, "_last", F.expr("interval 1 month")))).drop("_last")
+
+
 def row_trend(keys: Keys, time: str) -> Column:
     """0, 1, 2, ... in time order."""
     return F.row_number().over(Window.partitionBy(*keys).orderBy(time)) - 1

@@ -17,17 +17,34 @@ from ..session import settle
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-    large_group: int = 200_000, ranges: int = 256,
+    large_group: int = 1_000_000, ranges: int = 256,
 ) -> DataFrame:
-    """One row per key with a column per entry of ``probs`` (name -> probability)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    # Range borders for large groups only. They are written once: a recomputed
-    # sketch could differ, and both uses below must see the same borders.
+    """One row per key with a column per entry of ``probs`` (name -> probability).
+
+    Group sizes are counted first (a map-side combined count). Groups of up to
+    ``large_group`` rows use the built-in aggregate, larger ones the ranged form.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    # At most rows / large_group keys; written once, so that both halves agree.
+    large = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large_group).select(*keys), "large-groups")
+    plain = F.percentile("_v", [float(p) for p in probs.values()])
+    builtin = lambda part: part.groupBy(*keys).agg(plain.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    if large.isEmpty():
+        return builtin(rows)
+    small = builtin(rows.join(large, list(keys), "left_anti"))
+    return small.unionByName(_ranged_quantiles(rows.join(large, list(keys), "left_semi"), keys, probs, ranges))
+
+
+def _ranged_quantiles(rows: DataFrame, keys: Sequence[str], probs: dict[str, float], ranges: int) -> DataFrame:
+    """Distinct values with counts, cut into value ranges; running counts inside a range
+    plus the sizes of the ranges before it give every value's rank."""
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # The borders are written once: a recomputed sketch could differ, and every use
+    # below must see the same ones.
     grid = [i / ranges for i in range(1, ranges)]
     borders = settle(
-        counts.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_distinct"), F.percentile_approx("_v", grid, 10_000).alias("_cuts"))
-        .where(F.col("_distinct") > large_group)
+        rows.groupBy(*keys)
+        .agg(F.percentile_approx("_v", grid, 10 * ranges).alias("_cuts"))
         .select(*keys, F.array_distinct("_cuts").alias("_cuts")),
         "quantile-borders",
     )

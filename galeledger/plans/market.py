@@ -16,6 +16,7 @@ from ..operators.ordered import filled, lag_row, rolling_mean, trailing_mean
 from ..operators.reshape import union_all
 from ..operators.simulate import simulate_ar_paths
 from ..operators.timeline import month_horizon
+from ..session import settle
 from ..sources.catalogue import LOAD_GROWTH, PRICE_DRIFTS, WIND_GROWTH
 
 
@@ -31,6 +32,7 @@ def curtailment_forecast(panel: DataFrame, start: Column, end: Column, tso: str
     ``panel`` has tso, quarter, cr, wind_mwh, load_mwh. The rate is a line in
     S = wind / load per operator; wind and load are projected seasonally.
     """
+    panel = settle(panel, "curtailment-panel")
     hist = panel.withColumn("S", F.col("wind_mwh") / F.col("load_mwh"))
     fit = fit_line(hist, [tso], "cr", "S")
     wind = project_quarters(panel, [tso], "wind_mwh", WIND_GROWTH, start, end)
@@ -84,14 +86,15 @@ def price_simulation_models(
     the damped season; AR(1) and month-wise spread come from what is left under the
     base drift.
     """
-    rows = monthly.where(F.col(price) > 0).withColumn("log_price", F.log(price)).withColumn("season", F.month("month"))
+    rows = settle(monthly.where(F.col(price) > 0).withColumn("log_price", F.log(price)).withColumn("season", F.month("month")), "prices")
     inside = F.col("month").between(anchor_from, anchor_to)
     anchor = rows.where(inside).groupBy(series).agg(F.median(price).alias("_level"), F.max("month").alias("_anchor"))
-    season = fit_fourier(rows, [series], "season", "log_price", harmonics, shrink)
+    season = settle(fit_fourier(rows, [series], "season", "log_price", harmonics, shrink), "season")
     rows = rows.join(anchor, series).join(season, [series, "season"])
     rows = rows.withColumn("deseasoned", F.col("log_price") - F.col("season_effect"))
     mu = drift("month", "_anchor", F.log("_level"), drifts[fit_scenario])
     rows = rows.withColumn("resid", F.col("deseasoned") - mu).withColumn("resid_lag", lag_row("resid", [series], "month"))
+    rows = settle(rows, "residuals")
     ar = fit_ar_residual(rows, [series], "resid", "resid_lag").select(series, "phi", F.col("sigma").alias("sigma_global"))
     sigma = spread_by_season(rows, [series], F.col("season"), "resid")
     maps = sigma.groupBy(series).agg(F.map_from_entries(F.collect_list(F.struct("season", "sigma"))).alias("sigma"))

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calendar import project_month, project_year
 from ..functions.expr import clip, floored_price, support_premium
-from ..operators.asof import asof_backward
 from ..operators.checks import first_missing, missing_from_spine
-from ..operators.ordered import filled
+from ..operators.ordered import filled, monthly_steps
 from ..operators.timeline import month_horizon, quarter_to_months
+from ..session import settle
 
 FORECAST_MONTHS = 240
 CF_BOUNDS = (0.50, 1.05)
@@ -32,17 +32,21 @@ def driver_panel(
 
     market (date, p_market); capture (date, cf_raw); curtailment (tso, quarter, cr_hat);
     strikes (date, strike).
+
+    All series are calendar tables by month start. The distinct starts are written
+    once, so that no join below scans the scenario table again. Settle the result when it is used more
+    than once; it is small, and its file sizes let the planner broadcast it.
     """
-    starts = scenarios.select(*PANEL_KEYS).distinct()
+    starts = settle(scenarios.select(*PANEL_KEYS).distinct(), "starts")
+    until = starts.agg(F.add_months(F.max("cod"), months)).scalar()
     panel = month_horizon(starts, "cod", months, "date")
     panel = panel.join(market.select("date", "p_market"), "date", "left")
-    dates = panel.select("date").distinct()
-    cf = asof_backward(dates, capture.select("date", "cf_raw"), [], "date", ["cf_raw"])
+    cf = monthly_steps(capture.select("date", "cf_raw"), [], "date", ["cf_raw"], until)
     panel = panel.join(cf, "date", "left").withColumn("cf", clip("cf_raw", *CF_BOUNDS))
     cr = quarter_to_months(curtailment, ["tso"], "quarter", "cr_hat", "mean").withColumnRenamed("month", "date")
     panel = panel.join(cr, ["tso", "date"], "left").withColumn("cr", clip(filled("cr_hat", PANEL_KEYS, "date"), *CR_BOUNDS))
-    at_start = asof_backward(starts.select("cod").distinct(), strikes.select(F.col("date").alias("cod"), "strike"), [], "cod", ["strike"])
-    panel = panel.join(at_start.withColumnRenamed("strike", "strike_series"), "cod", "left")
+    at_start = monthly_steps(strikes.select(F.col("date").alias("cod"), F.col("strike").alias("strike_series")), [], "cod", ["strike_series"], until)
+    panel = panel.join(at_start, "cod", "left")
     return panel.select(*PANEL_KEYS, "date", "p_market", "cf", "cr", "strike_series")
 
 

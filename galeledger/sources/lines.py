@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.checks import assert_none
+from ..session import settle
 
 ROW_ORDER = ["source_file", "source_block", "source_row"]
 BOM = "\ufeff"
@@ -33,13 +34,18 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 
 def header_of_files(lines: DataFrame, is_header: Column, clean: Callable[[Column], Column] = F.trim) -> DataFrame:
-    """First line per file that satisfies ``is_header``."""
-    return (
+    """First line per file that satisfies ``is_header``.
+
+    One small row per file, written to the shared folder because the column checks and
+    the join below would each scan the files again for it.
+    """
+    heads = (
         lines.where(is_header)
         .groupBy("source_file")
         .agg(F.min(F.struct("source_block", "source_row", clean(F.col("line")).alias("header"))).alias("_h"))
         .select("source_file", F.struct("_h.source_block", "_h.source_row").alias("header_at"), F.col("_h.header").alias("header"))
     )
+    return settle(heads, "headers")
 
 
 def pick_columns(
