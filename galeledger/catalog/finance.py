@@ -121,7 +121,19 @@ def c8(t: Tables) -> DataFrame:
     return flows_of(t).select("scenario_id", r(finance.npv("cash_flow", "wacc"), 2).alias("npv_eur"))
 
 
-@query("c9_irr", sql("SELECT scenario_id, round(CASE WHEN s = 'ok' THEN r END, 6) AS irr, CASE WHEN s = 'run' THEN 'no convergence' ELSE s END AS irr_reason FROM nw QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY i DESC) = 1", *NAMES, **FLOWS, nw=NEWTON))
+NPV_AT = "list_sum(list_transform(range(len(cfs)), lambda t: cfs[t + 1] / pow(1 + {r}, t)))"
+FALLBACK = {
+    "res": "SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY i DESC) = 1",
+    "gr": f"SELECT *, {NPV_AT.format(r='rt')} AS v FROM (SELECT scenario_id, cfs, k, pow(600.0::DOUBLE, k / 128) * 0.01::DOUBLE - 1 AS rt FROM res, range(129) AS h(k) WHERE s NOT IN ('ok', 'no sign change'))",
+    "br": """SELECT scenario_id, cfs, lo, hi, vlo FROM (SELECT *, lag(rt) OVER w AS lo, rt AS hi, lag(v) OVER w AS vlo FROM gr WINDOW w AS (PARTITION BY scenario_id ORDER BY k))
+        WHERE sign(vlo) * sign(v) <= 0 QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY least(abs(lo), abs(hi))) = 1""",
+    "bi": f"""/*rec*/ SELECT *, 0 AS j FROM br UNION ALL SELECT scenario_id, cfs, CASE WHEN same THEN mid ELSE lo END, CASE WHEN same THEN hi ELSE mid END, vlo, j + 1
+        FROM (SELECT *, sign({NPV_AT.format(r='mid')}) = sign(vlo) AS same FROM (SELECT *, (lo + hi) / 2 AS mid FROM bi WHERE j < 60))""",
+}
+
+
+@query("c9_irr", sql("""SELECT scenario_id, round(CASE WHEN s = 'ok' THEN r ELSE (lo + hi) / 2 END, 6) AS irr, CASE WHEN s IN ('ok', 'no sign change') THEN s WHEN lo IS NULL THEN 'no root in bounds' ELSE 'ok' END AS irr_reason
+    FROM res LEFT JOIN (SELECT scenario_id, lo, hi FROM bi WHERE j = 60) USING (scenario_id)""", *NAMES, **FLOWS, nw=NEWTON, **FALLBACK))
 def c9(t: Tables) -> DataFrame:
     return finance.valued(flows_of(t)).select("scenario_id", r("irr").alias("irr"), "irr_reason")
 

@@ -11,6 +11,7 @@ from ..functions.units import mw_to_kw
 
 RESIDUAL_SHARE = 0.30
 IRR_GUESS, IRR_STEPS, IRR_BOUNDS = 0.08, 200, (-0.99, 5.0)
+IRR_GRID, BISECTIONS = 128, 60
 
 
 def financed(scenarios: DataFrame) -> DataFrame:
@@ -45,10 +46,12 @@ def npv(cash_flow, rate) -> Column:
 
 
 def irr(cash_flow) -> Column:
-    """Struct(rate, reason): Newton's method as a fold in the row.
+    """Struct(rate, reason), folded inside the row.
 
-    No sign change -> NULL ("no sign change"); a step outside the bounds -> NULL
-    ("out of bounds"); a flat slope or too many steps -> NULL ("no convergence").
+    Newton's method first. Where it leaves the bounds or stalls (loss-making projects,
+    flat slopes), the sign changes of NPV on a grid of rates are bracketed and the one
+    nearest to zero is bisected. NULL with reason "no sign change" when all flows have
+    one sign, and "no root in bounds" when NPV keeps its sign over the bounds.
     """
     flow = as_col(cash_flow)
     times = F.sequence(F.lit(0), F.size(flow) - 1)
@@ -76,10 +79,35 @@ def irr(cash_flow) -> Column:
         return F.when(acc["s"] == "run", nxt).otherwise(acc)
 
     solved = F.aggregate(F.sequence(F.lit(1), F.lit(IRR_STEPS)), state(F.lit(IRR_GUESS), "run"), step)
-    reason = F.when(solved["s"] == "run", "no convergence").otherwise(solved["s"])
-    result = F.struct(F.when(reason == "ok", solved["r"]).alias("rate"), reason.alias("reason"))
-    none = F.struct(F.lit(None).cast("double").alias("rate"), F.lit("no sign change").alias("reason"))
-    return F.when(same_sign, none).otherwise(result)
+    outcome = lambda rate, reason: F.struct(rate.alias("rate"), reason.alias("reason"))
+    none = F.lit(None).cast("double")
+
+    def finish(s: Column) -> Column:
+        bisected = F.transform(F.array(_bisected(flow)), lambda b: outcome(b, F.when(b.isNull(), "no root in bounds").otherwise("ok")))[0]
+        return F.when(s["s"] == "ok", outcome(s["r"], F.lit("ok"))).otherwise(bisected)
+
+    # One-element transforms keep the folds from being evaluated once per use.
+    result = F.transform(F.array(solved), finish)[0]
+    return F.when(same_sign, outcome(none, F.lit("no sign change"))).otherwise(result)
+
+
+def _bisected(flow: Column) -> Column:
+    """Root of NPV nearest to zero between the bounds, or NULL. The grid is even in log(1 + rate)."""
+    low, high = 1.0 + IRR_BOUNDS[0], 1.0 + IRR_BOUNDS[1]
+    rate_at = lambda i: F.pow(F.lit(high / low), i / float(IRR_GRID)) * low - 1.0
+    grid = F.transform(F.sequence(F.lit(0), F.lit(IRR_GRID)), lambda i: F.struct(rate_at(i).alias("r"), npv(flow, rate_at(i)).alias("v")))
+    pairs = F.transform(F.array(grid), lambda g: F.zip_with(F.slice(g, 1, IRR_GRID), F.slice(g, 2, IRR_GRID), lambda a, b: F.struct(
+        F.least(F.abs(a["r"]), F.abs(b["r"])).alias("near"), a["r"].alias("lo"), b["r"].alias("hi"), a["v"].alias("v"), (F.signum(a["v"]) * F.signum(b["v"]) <= 0).alias("cross")
+    )))[0]
+    best = F.array_min(F.filter(pairs, lambda p: p["cross"]))
+
+    def halve(acc: Column, _i: Column) -> Column:
+        mid = (acc["lo"] + acc["hi"]) / 2
+        same = F.signum(npv(flow, mid)) == F.signum(acc["v"])
+        return F.struct(F.when(same, mid).otherwise(acc["lo"]).alias("lo"), F.when(same, acc["hi"]).otherwise(mid).alias("hi"), acc["v"].alias("v"))
+
+    narrowed = lambda b: F.aggregate(F.sequence(F.lit(1), F.lit(BISECTIONS)), F.struct(b["lo"].alias("lo"), b["hi"].alias("hi"), b["v"].alias("v")), halve, lambda a: (a["lo"] + a["hi"]) / 2)
+    return F.transform(F.array(best), lambda b: F.when(b.isNotNull(), narrowed(b)))[0]
 
 
 def valued(flows: DataFrame) -> DataFrame:
