@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.draws import uniform
 from ..functions.expr import finite
+from ..session import settle
 from .checks import require_columns
 
 # The feature columns, in model order.
@@ -78,12 +79,12 @@ def log_metrics(scored: DataFrame, truth: str = TARGET, pred: str = "pred_log_cf
 def leave_one_group_out(df: DataFrame, group: str, row_keys: Sequence[str], features: Sequence[str] = FEATURES, n_folds: int | None = None, **params) -> DataFrame:
     """One fold per group: train on the others, score on the group.
 
-    The loop runs over fold labels, each iteration being a distributed fit. With many
+    The rows are settled once; the loop runs over fold labels, each a distributed fit. With many
     groups, ``n_folds`` hashes whole groups into that many folds; without it every
     group is its own fold.
     """
     label = F.col(group).cast("string") if n_folds is None else F.pmod(F.xxhash64(group), F.lit(n_folds)).cast("string")
-    rows = training_rows(df, features).withColumn("_fold", label).persist()
+    rows = settle(training_rows(df, features).withColumn("_fold", label), "folds")
     counts = {r["_fold"]: r["n"] for r in rows.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_all, out = sum(counts.values()), None
     if len(counts) < 2:

@@ -106,22 +106,22 @@ def row_trend(keys: Keys, time: str) -> Column:
 
 # --- raw tables: windows per time slice, with carry --------------------------
 
-def sliced(df: DataFrame, keys: Keys, time: str, seconds: int) -> DataFrame:
-    """Hash rows by (key, slice). The exchange is shared by every later step."""
-    return df.withColumn("_slice", time_slice(time, seconds)).repartition(*keys, "_slice")
+#
+# The rows pass one exchange, by (key, slice). The carry table is aggregated straight
+# from the input on the map side: a second, narrow scan instead of a second shuffle.
+
+def sliced(df: DataFrame, time: str, seconds: int) -> DataFrame:
+    return df.withColumn("_slice", time_slice(time, seconds))
 
 
 def lag_raw(df: DataFrame, keys: Keys, time: str, value: str, name: str, seconds: int = DAY) -> DataFrame:
     """Previous value per key on a raw table of any per-key size."""
-    rows = sliced(df, keys, time, seconds)
+    rows = sliced(df, time, seconds)
     per_slice = Window.partitionBy(*keys, "_slice").orderBy(time, value)
-    ends = rows.groupBy(*keys, "_slice").agg(
-        F.max(F.struct(F.col(time).alias("_t"), F.col(value).alias("_v"))).alias("_end")
-    )
-    carry = ends.select(
-        *keys, "_slice",
-        F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")).getField("_v").alias("_carry"),
-    )
+    # The plain maximum hashes; only a value beside the time needs the ordered pair.
+    last = F.max(time) if value == time else F.max(F.struct(F.col(time).alias("_t"), F.col(value).alias("_v"))).getField("_v")
+    ends = rows.groupBy(*keys, "_slice").agg(last.alias("_end"))
+    carry = ends.select(*keys, "_slice", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry"))
     return (
         rows.withColumn("_rn", F.row_number().over(per_slice))
         .withColumn("_prev", F.lag(value).over(per_slice))
@@ -133,7 +133,7 @@ def lag_raw(df: DataFrame, keys: Keys, time: str, value: str, name: str, seconds
 
 def running_total_raw(df: DataFrame, keys: Keys, time: str, value: str, name: str, seconds: int = DAY) -> DataFrame:
     """Running sum per key up to and including all rows at the same time."""
-    rows = sliced(df, keys, time, seconds)
+    rows = sliced(df, time, seconds)
     sums = rows.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
     before = sums.select(
         *keys, "_slice",
@@ -153,7 +153,7 @@ def running_total_raw(df: DataFrame, keys: Keys, time: str, value: str, name: st
 
 def row_number_raw(df: DataFrame, keys: Keys, time: str, name: str, tie: Sequence[str] = (), seconds: int = DAY) -> DataFrame:
     """0-based position per key on a raw table."""
-    rows = sliced(df, keys, time, seconds)
+    rows = sliced(df, time, seconds)
     sizes = rows.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(
         *keys, "_slice",

@@ -17,68 +17,68 @@ from ..session import settle
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-    large_group: int = 1_000_000, ranges: int = 256,
+    large_group: int = 1_000_000, ranges: int | None = None,
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs`` (name -> probability).
 
     Group sizes are counted first (a map-side combined count). Groups of up to
-    ``large_group`` rows use the built-in aggregate, larger ones the ranged form.
+    ``large_group`` rows use the built-in aggregate, larger ones the ranged form, cut
+    so that a range of the largest group holds about ``large_group`` rows.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     # At most rows / large_group keys; written once, so that both halves agree.
-    large = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large_group).select(*keys), "large-groups")
+    large = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large_group), "large-groups")
     plain = F.percentile("_v", [float(p) for p in probs.values()])
     builtin = lambda part: part.groupBy(*keys).agg(plain.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-    if large.isEmpty():
+    largest = large.agg(F.max("_n")).first()[0]
+    if largest is None:
         return builtin(rows)
+    ranges = ranges or max(2, min(4096, -(-largest // large_group)))
     small = builtin(rows.join(large, list(keys), "left_anti"))
     return small.unionByName(_ranged_quantiles(rows.join(large, list(keys), "left_semi"), keys, probs, ranges))
 
 
+def _with_range(rows: DataFrame, keys: Sequence[str], borders: DataFrame) -> DataFrame:
+    """``_range`` = number of borders below the value, by a two-step search: every
+    ``_step``-th border first, then the stretch between two of those."""
+    joined = rows.join(borders, list(keys)).withColumn("_q", F.size(F.filter("_coarse", lambda c: c < F.col("_v"))))
+    stretch = F.slice("_cuts", F.col("_q") * F.col("_step") + 1, F.col("_step"))
+    below = F.col("_q") * F.col("_step") + F.size(F.filter(stretch, lambda c: c < F.col("_v")))
+    return joined.select(*keys, "_v", below.alias("_range"))
+
+
 def _ranged_quantiles(rows: DataFrame, keys: Sequence[str], probs: dict[str, float], ranges: int) -> DataFrame:
     """Distinct values with counts, cut into value ranges; running counts inside a range
     plus the sizes of the ranges before it give every value's rank."""
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    # The borders are written once: a recomputed sketch could differ, and every use
+    # The borders are written once: a recomputed sketch could differ, and both uses
     # below must see the same ones.
     grid = [i / ranges for i in range(1, ranges)]
-    borders = settle(
-        rows.groupBy(*keys)
-        .agg(F.percentile_approx("_v", grid, 10 * ranges).alias("_cuts"))
-        .select(*keys, F.array_distinct("_cuts").alias("_cuts")),
-        "quantile-borders",
-    )
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    ranged = (
-        counts.join(borders, list(keys), "left")
-        .withColumn("_range", F.coalesce(below, F.lit(0)))
-        .drop("_cuts")
-        .repartition(*keys, "_range")
-    )
-    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_n").alias("_size"))
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", grid, 10 * ranges)).alias("_cuts"))
+    cuts = cuts.withColumn("_step", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
+    every = F.filter("_cuts", lambda _c, i: (i + 1) % F.col("_step") == 0)
+    ranged = _with_range(rows, keys, settle(cuts.withColumn("_coarse", every), "quantile-borders"))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
     per_key = Window.partitionBy(*keys)
     offsets = sizes.select(
         *keys, "_range",
         F.coalesce(F.sum("_size").over(per_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_size").over(per_key).alias("_total"),
     )
+    counts = ranged.groupBy(*keys, "_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
     inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
-        ranged.withColumn("_upto", F.sum("_n").over(inside))
+        counts.withColumn("_upto", F.sum("_n").over(inside))
         .join(offsets, [*keys, "_range"])
         .withColumn("_upto", F.col("_upto") + F.col("_before"))
     )
-    picks = []
+    picks, out = [], []
     for name, p in probs.items():
         rank = F.lit(float(p)) * (F.col("_total") - 1)
         picks += [
             F.min(F.when(F.col("_upto") > F.floor(rank), F.col("_v"))).alias(f"_lo_{name}"),
             F.min(F.when(F.col("_upto") > F.ceil(rank), F.col("_v"))).alias(f"_hi_{name}"),
         ]
-    found = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    out = []
-    for name, p in probs.items():
-        rank = F.lit(float(p)) * (F.col("_total") - 1)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo + (hi - lo) * (rank - F.floor(rank))).alias(name))
+    found = placed.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
     return found.select(*keys, *out)

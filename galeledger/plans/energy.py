@@ -108,9 +108,10 @@ def site_climate(sites: DataFrame, grid: DataFrame, key: str, step: float) -> Da
 def training_matrix(telemetry: DataFrame, climate: DataFrame, catalogue: DataFrame, key: str = "turbine_id", tolerance_s: int = MERGE_TOLERANCE_S) -> DataFrame:
     """Standard hourly telemetry with climate features, expected energy and targets.
 
-    telemetry: key, ts, energy_kwh, turbine_type and turbine constants; climate: key, ts, features.
+    telemetry: key, ts (unique per key), energy_kwh, turbine_type and turbine constants;
+    climate: key, ts, features.
     """
-    merged = asof_nearest(telemetry, climate, [key], "ts", FEATURE_COLUMNS, tolerance_s)
+    merged = asof_nearest(telemetry, climate, [key], "ts", FEATURE_COLUMNS, tolerance_s, unique=True)
     points = curve_points(catalogue)
     merged = expected_power(merged, points, "era5_ws_hub", "expected_energy_kwh")
     limits = catalogue.select("turbine_type", "cut_in_ws").join(

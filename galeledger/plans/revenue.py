@@ -12,9 +12,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.calendar import project_month, project_year
+from ..functions.calendar import month_index, project_month, project_year
 from ..functions.expr import clip, floored_price, support_premium
-from ..operators.checks import first_missing, missing_from_spine
+from ..operators.checks import first_missing
 from ..operators.ordered import filled, monthly_steps
 from ..operators.timeline import month_horizon, quarter_to_months
 from ..session import settle
@@ -61,9 +61,15 @@ def rejected_scenarios(scenarios: DataFrame, production: DataFrame | None, panel
     no_strike = no_strike.select(key, F.lit("no strike at or before start").alias("reject_reason"), F.col("cod").alias("first_missing"))
     out = no_price.unionByName(no_rate).unionByName(no_strike)
     if production is not None:
-        spine = month_horizon(scenarios.select(key, "cod"), "cod", months, "date").select(key, "date")
-        gaps = missing_from_spine(spine, production.where("mwh IS NOT NULL"), [key], "date")
-        out = out.unionByName(gaps.select(key, F.lit("production month missing").alias("reject_reason"), "first_missing"))
+        # A scenario's known months fit in one small array, so production is shuffled once
+        # (combined on the map side) and no horizon spine is built.
+        have = production.where("mwh IS NOT NULL").groupBy(key).agg(F.collect_set(month_index("date")).alias("_have"))
+        first = month_index("cod")
+        wanted = F.sequence(first, first + (months - 1))
+        gap = F.array_min(F.array_except(wanted, F.coalesce("_have", F.array().cast("array<int>"))))
+        gaps = scenarios.join(have, key, "left").withColumn("_gap", gap).where("_gap IS NOT NULL")
+        missing = F.make_date(F.floor(F.col("_gap") / 12).cast("int"), F.col("_gap") % 12 + 1, F.lit(1))
+        out = out.unionByName(gaps.select(key, F.lit("production month missing").alias("reject_reason"), missing.alias("first_missing")))
     return out
 
 
@@ -76,11 +82,11 @@ def monthly_revenue(
     monthly ``production`` (key, date, mwh) is given. The strike is fixed at the start
     month for the whole horizon.
     """
-    rows = scenarios.join(panel, PANEL_KEYS)
     if production is not None:
-        rows = rows.join(production.select(key, "date", F.col("mwh").alias("mwh_gross_park")), [key, "date"])
+        # Production meets its scenario first: one shuffle by key, which the yearly sums reuse.
+        rows = scenarios.join(production.select(key, "date", F.col("mwh").alias("mwh_gross_park")), key).join(panel, [*PANEL_KEYS, "date"])
     else:
-        rows = rows.withColumn("mwh_gross_park", F.col("mwh_constant"))
+        rows = scenarios.join(panel, PANEL_KEYS).withColumn("mwh_gross_park", F.col("mwh_constant"))
     on = F.col("eeg_on") == 1
     rows = rows.withColumns({
         "strike_cod_fixed": F.when(on, F.coalesce("manual_eeg_strike", "strike_series")),

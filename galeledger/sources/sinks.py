@@ -23,11 +23,11 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_by_key(df: DataFrame, keys: Sequence[str], path: str, max_rows_per_file: int = 5_000_000) -> None:
     """One folder per key. Overwriting replaces only the keys present in ``df``.
 
-    Rows are not gathered by key first: each task writes its share of a key, so a
-    very large key is written by many tasks.
+    The rebalance hint brings a key's rows together so that small keys make one file,
+    and lets adaptive execution split a very large key over many tasks.
     """
     (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_rows_per_file).partitionBy(*keys).parquet(path)
     )
 
@@ -45,7 +45,7 @@ def append_new_keys(df: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         fresh = df
-    fresh.write.mode("append").partitionBy(*keys).parquet(path)
+    fresh.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(path)
     return fresh
 
 

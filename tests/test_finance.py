@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from conftest import rows
 from galeledger.functions.expr import clip
 from galeledger.operators import checks
+from galeledger.operators.timeline import month_horizon
 from galeledger.plans import costs, finance, revenue
 from galeledger.sources import sinks
 
@@ -123,7 +124,7 @@ def test_rejects(spark, scenarios, drivers):
     market, cf, cr, strikes = drivers
     bad = scenarios.unionByName(spark.createDataFrame([scenario(7, tso="TenneT"), scenario(8, cod=dt.date(2025, 1, 1))], SCHEMA))
     panel = revenue.driver_panel(bad, market.where("date <> date'2030-05-01'"), cf, cr, strikes)
-    production = revenue.month_horizon(bad.select("scenario_id", "cod"), "cod", 240, "date").withColumn("mwh", F.lit(1.0)).where("NOT (scenario_id = 1 AND date = date'2027-03-01')")
+    production = month_horizon(bad.select("scenario_id", "cod"), "cod", 240, "date").withColumn("mwh", F.lit(1.0)).where("NOT (scenario_id = 1 AND date = date'2027-03-01')")
     got = {}
     for r in revenue.rejected_scenarios(bad, production, panel).collect():
         got.setdefault(r["reject_reason"], {})[r["scenario_id"]] = r["first_missing"]

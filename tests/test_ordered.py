@@ -63,24 +63,24 @@ def test_rolling_mean_has_short_start(spark):
     assert [r[0] for r in rows(df.orderBy("t").select(ordered.rolling_mean("v", ["k"], "t", 3)))] == [0.0, 0.5, 1.0, 2.0, 3.0]
 
 
-@pytest.mark.parametrize("slice_s", [900, 86400, 30 * 86400])
-def test_asof_backward_matches_pandas(spark, skewed, slice_s):
+@pytest.mark.parametrize("slice_s, unique", [(900, False), (86400, True), (30 * 86400, False), (900, True)])
+def test_asof_backward_matches_pandas(spark, skewed, slice_s, unique):
     right = skewed.sample(frac=0.2, random_state=1).rename(columns={"v": "w"}).sort_values("ts")
     right.loc[right.index[::5], "w"] = np.nan
     left = skewed.sort_values("ts")
     want = pd.merge_asof(left, right.dropna(), on="ts", by="k", direction="backward").sort_values(["k", "ts"])
     l, r = spark_df(spark, left, "k long, ts timestamp_ntz, v double"), spark_df(spark, right, "k long, ts timestamp_ntz, w double")
-    got = asof.asof_backward(l, r, ["k"], "ts", ["w"], slice_seconds=slice_s).toPandas().sort_values(["k", "ts"])
+    got = asof.asof_backward(l, r, ["k"], "ts", ["w"], slice_seconds=slice_s, unique=unique).toPandas().sort_values(["k", "ts"])
     assert len(got) == len(want) and np.allclose(got.w.to_numpy(float), want.w.to_numpy(float), equal_nan=True)
 
 
-@pytest.mark.parametrize("slice_s", [60, 7200, 86400])
-def test_asof_nearest_matches_pandas(spark, skewed, slice_s):
+@pytest.mark.parametrize("slice_s, unique", [(60, False), (7200, True), (86400, False), (86400, True)])
+def test_asof_nearest_matches_pandas(spark, skewed, slice_s, unique):
     right = skewed.sample(frac=0.3, random_state=2).rename(columns={"v": "w"}).sort_values("ts")
     left = skewed.sort_values("ts")
     want = pd.merge_asof(left, right, on="ts", by="k", direction="nearest", tolerance=pd.Timedelta("45min")).sort_values(["k", "ts"])
     l, r = spark_df(spark, left, "k long, ts timestamp_ntz, v double"), spark_df(spark, right, "k long, ts timestamp_ntz, w double")
-    got = asof.asof_nearest(l, r, ["k"], "ts", ["w"], 45 * 60, slice_seconds=slice_s).toPandas().sort_values(["k", "ts"])
+    got = asof.asof_nearest(l, r, ["k"], "ts", ["w"], 45 * 60, slice_seconds=slice_s, unique=unique).toPandas().sort_values(["k", "ts"])
     assert np.allclose(got.w.to_numpy(float), want.w.to_numpy(float), equal_nan=True)
 
 
@@ -91,6 +91,7 @@ def test_asof_nearest_edges(spark):
         "k string, ts timestamp_ntz, v double",
     )
     got = dict((r[0], r[2]) for r in rows(asof.asof_nearest(left, right, ["k"], "ts", ["v"], 45 * 60)))
+    assert got == dict((r[0], r[2]) for r in rows(asof.asof_nearest(left, right, ["k"], "ts", ["v"], 45 * 60, unique=True)))
     # Tie: earlier row. 45:00 matches, 45:01 does not. A matched row may itself be unknown.
     assert got == {"a": 1.0, "b": 3.0, "c": None, "d": None, "e": 7.0, "f": None}
 
