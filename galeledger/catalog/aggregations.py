@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calendar import month_start, quarter_start
 from ..functions.expr import row_sum, total, weighted_mean
-from ..operators import aggregate, quantiles, reshape, simulate
+from ..operators import aggregate, quantiles, simulate
 from ..operators.ordered import trailing_mean
 from ..plans import costs
 from ..plans.energy import availability, plain_hourly, status_hourly, status_ticks, turbine_hourly

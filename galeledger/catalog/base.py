@@ -145,10 +145,9 @@ class Tables:
         return spine.join(actual, "date", "left").withColumn("_l", level).select("date", F.coalesce("p", "_l").alias("p_market"))
 
     def capture_series(self) -> DataFrame:
-        """Monthly capture factor over all zones, every second month."""
+        """Monthly capture factor over all zones."""
         p, w = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_quantity")
-        rows = self.lineitem.groupBy(month_start("l_shipdate").alias("date")).agg((F.sum(p * w) / F.sum(w) / F.avg(p)).alias("cf_raw"))
-        return rows.where(F.month("date") % 2 == 1)
+        return self.lineitem.groupBy(month_start("l_shipdate").alias("date")).agg((F.sum(p * w) / F.sum(w) / F.avg(p)).alias("cf_raw"))
 
     def curtailment_series(self) -> DataFrame:
         names = {"AFRICA": "50Hertz", "AMERICA": "TenneT", "ASIA": "Amprion", "EUROPE": "TransnetBW"}
@@ -157,9 +156,9 @@ class Tables:
         return rows.where("tso IS NOT NULL")
 
     def strike_series(self) -> DataFrame:
-        """Sparse monthly strikes."""
-        rows = self.lineitem.groupBy(month_start("l_shipdate").alias("date")).agg((F.avg(F.col("l_extendedprice") / F.col("l_quantity")) / 41).alias("strike"))
-        return rows.where(F.month("date") % 3 == 1)
+        """Monthly strikes, known in the four auction months of a year only."""
+        price = F.when(F.month("l_shipdate").isin(1, 4, 7, 10), F.col("l_extendedprice") / F.col("l_quantity"))
+        return self.lineitem.groupBy(month_start("l_shipdate").alias("date")).agg((F.avg(price) / 41).alias("strike"))
 
 
 def query(name: str, sql: str | None = None):
@@ -228,11 +227,11 @@ CTE: dict[str, str] = {
         LEFT JOIN market_actual a ON a.date = CAST(m AS DATE)""",
     "capture_series": """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
         sum(l_extendedprice / l_quantity * l_quantity) / sum(l_quantity) / avg(l_extendedprice / l_quantity) AS cf_raw
-        FROM lineitem WHERE month(l_shipdate) % 2 = 1 GROUP BY ALL""",
+        FROM lineitem GROUP BY ALL""",
     "curtailment_series": """SELECT CASE tso WHEN 'AFRICA' THEN '50Hertz' WHEN 'AMERICA' THEN 'TenneT' WHEN 'ASIA' THEN 'Amprion' WHEN 'EUROPE' THEN 'TransnetBW' END AS tso,
         quarter, cr * 0.3::DOUBLE AS cr_hat FROM tso_quarter WHERE tso IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')""",
-    "strike_series": """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(l_extendedprice / l_quantity) / 41 AS strike
-        FROM lineitem WHERE month(l_shipdate) % 3 = 1 GROUP BY ALL""",
+    "strike_series": """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(CASE WHEN month(l_shipdate) IN (1, 4, 7, 10) THEN l_extendedprice / l_quantity END) / 41 AS strike
+        FROM lineitem GROUP BY ALL""",
 }
 NEEDS = {
     "region_month": ["region_orders"], "tso_quarter": ["region_orders"], "corners": ["sites"], "site_grid": ["sites", "corners", "climate"],

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.units import mw_to_kw
 from ..operators import aggregate
 from ..plans import costs, finance, revenue
 from ..session import settle
@@ -27,7 +26,7 @@ PANEL = {
     "cm": "SELECT tso, CAST(quarter + INTERVAL (k) MONTH AS DATE) AS date, avg(cr_hat) AS cr FROM curtailment_series, range(3) AS h(k) GROUP BY ALL",
     "raw": "SELECT s.*, p_market, greatest(0.5, least(1.05, cf_raw)) AS cf, cm.cr AS cr0 FROM spine s LEFT JOIN market_price USING (date) ASOF LEFT JOIN capture_series c ON c.date <= s.date LEFT JOIN cm ON cm.tso = s.tso AND cm.date = s.date",
     "panel": """SELECT r.tso, r.cod, r.date, p_market, cf, greatest(0, least(0.3, coalesce(last_value(cr0 IGNORE NULLS) OVER (PARTITION BY tso, cod ORDER BY r.date),
-        first_value(cr0 IGNORE NULLS) OVER (PARTITION BY tso, cod ORDER BY r.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))) AS cr, k.strike FROM raw r ASOF LEFT JOIN strike_series k ON k.date <= r.cod""",
+        first_value(cr0 IGNORE NULLS) OVER (PARTITION BY tso, cod ORDER BY r.date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)))) AS cr, k.strike FROM raw r ASOF LEFT JOIN (SELECT * FROM strike_series WHERE strike IS NOT NULL) k ON k.date <= r.cod""",
     "rev": """SELECT *, delivered * realised AS revenue_eur, CASE WHEN eeg_on = 1 THEN greatest(0, st - merchant) * delivered ELSE 0 END AS eeg_premium_eur FROM (
         SELECT *, CASE WHEN eeg_on = 1 THEN greatest(merchant, st) ELSE merchant END AS realised FROM (
         SELECT scenario_id, tso, cod, date, eeg_on, CAST(floor(((year(date) - year(cod)) * 12 + month(date) - month(cod)) / 12) + 1 AS INT) AS py, mwh_constant, cr, mwh_constant * (1 - cr) AS delivered, p_market, cf, p_market * cf AS merchant,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.calendar import month_start
 from ..operators import aggregate, forecast, learn, simulate
 from ..plans import energy, market
 from ..sources.catalogue import WIND_SCENARIOS
@@ -98,7 +97,7 @@ def f6(t: Tables) -> DataFrame:
     return t.region_month().select("tso", "month", r(forecast.markup("month", F.lit("1998-06-01").cast("date"), 1.15)).alias("markup"))
 
 
-@query("f6_markup_from_overlap", sql("""SELECT tso, round(avg(x), 6) AS m0, max(month) AS anchor FROM (SELECT tso, month, strike / price AS x FROM region_month JOIN strike_series ON date = month
+@query("f6_markup_from_overlap", sql("""SELECT tso, round(avg(x), 6) AS m0, max(month) AS anchor FROM (SELECT tso, month, strike / price AS x FROM region_month JOIN strike_series ON date = month WHERE strike IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY tso ORDER BY month DESC) <= 24) GROUP BY tso""", "region_month", "strike_series"))
 def f6b(t: Tables) -> DataFrame:
     prices = t.region_month().select("tso", F.col("month").alias("date"), "price")
@@ -124,7 +123,7 @@ def f7(t: Tables) -> DataFrame:
     return out.select("tso", "date", r("market_price", 4).alias("market_price"), r("markup_path").alias("markup_path"), r("eeg_strike_used", 4).alias("eeg_strike_used"))
 
 
-PANEL = "SELECT tso, month, price, last_value(st IGNORE NULLS) OVER (PARTITION BY tso ORDER BY month) AS strike FROM (SELECT m.*, CASE WHEN month(month) % 4 = 2 THEN price + 10 END AS st FROM region_month m)"
+PANEL = "SELECT tso, month, price, last_value(st IGNORE NULLS) OVER (PARTITION BY tso ORDER BY month) AS strike FROM (SELECT m.*, CASE WHEN month(month) IN (2, 6, 10) THEN price + 10 END AS st FROM region_month m)"
 
 
 @query("f8_flat_baselines", sql("""SELECT tso, round(avg(price) FILTER (i <= 36), 6) AS price_36m, round(avg(strike) FILTER (j <= 24), 6) AS strike_24m, round(arg_max(strike, month) FILTER (strike IS NOT NULL), 6) AS strike_last FROM (
@@ -132,7 +131,7 @@ PANEL = "SELECT tso, month, price, last_value(st IGNORE NULLS) OVER (PARTITION B
 def f8(t: Tables) -> DataFrame:
     from ..operators.ordered import filled
 
-    rows = t.region_month().withColumn("st", F.when(F.month("month") % 4 == 2, F.col("price") + 10))
+    rows = t.region_month().withColumn("st", F.when(F.month("month").isin(2, 6, 10), F.col("price") + 10))
     panel = rows.withColumn("strike", filled("st", ["tso"], "month", backward=False))
     return rounded(forecast.flat_baselines(panel, ["tso"], "month", "price", "strike"), ["price_36m", "strike_24m", "strike_last"])
 

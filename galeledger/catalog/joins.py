@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.calendar import ceil_to, floor_to, month_start
-from ..operators import aggregate, asof, checks, curves, grid, intervals, timeline
+from ..functions.calendar import month_start
+from ..operators import aggregate, asof, checks, curves, grid, timeline
 from ..plans.energy import status_ticks
 from ..sources.catalogue import attach_turbines
 from .base import GRID_STEP, Tables, query, r, rounded, sql
@@ -155,9 +155,9 @@ def j15(t: Tables) -> DataFrame:
     return rows.select("tso", "month", r("price").alias("price"), r("strike").alias("strike"), r(F.col("strike") / F.col("price")).alias("markup"))
 
 
-@query("j16_semi_join", sql("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE CAST(date_trunc('month', o_orderdate) AS DATE) IN (SELECT date FROM strike_series)", "strike_series"))
+@query("j16_semi_join", sql("SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE CAST(date_trunc('month', o_orderdate) AS DATE) IN (SELECT date FROM strike_series WHERE strike IS NOT NULL)", "strike_series"))
 def j16(t: Tables) -> DataFrame:
-    rows = t.orders.withColumn("date", month_start("o_orderdate")).join(t.strike_series(), "date", "left_semi")
+    rows = t.orders.withColumn("date", month_start("o_orderdate")).join(t.strike_series().where("strike IS NOT NULL"), "date", "left_semi")
     return rows.agg(F.count(F.lit(1)).alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
 
 

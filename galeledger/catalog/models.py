@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.calendar import hour_start
 from ..functions.expr import clip
 from ..operators import checks, forecast, learn, ols, score
 from ..operators.aggregate import telemetry_hourly

@@ -6,9 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calendar import month_start
-from ..functions.parse import GERMAN_MONTHS, german_number, number, quarter_label, thousands_comma_number
-from ..operators.checks import first_existing
-from ..operators.grid import with_grid_index
+from ..functions.parse import german_number, quarter_label, thousands_comma_number
 from ..session import scratch_path
 from ..sources import catalogue as cat, climate, market, telemetry
 from .base import GRID_STEP, Tables, query, r, sql
@@ -159,13 +157,13 @@ def s9(t: Tables) -> DataFrame:
     )
 
 
-@query("s10_climate_grid", sql("""SELECT lat_i, lon_i, count(*) AS n, round(avg(u10), 6) AS u10, round(avg(CASE WHEN day(time) % 2 = 0 THEN d2m END), 6) AS d2m
+@query("s10_climate_grid", sql("""SELECT lat_i, lon_i, count(*) AS n, round(avg(u10), 6) AS u10, round(avg(CASE WHEN day(time) <= 15 THEN d2m END), 6) AS d2m
     FROM climate GROUP BY ALL""", "climate"))
 def s10(t: Tables) -> DataFrame:
     main, dew = scratch_path(t.spark, "grid"), scratch_path(t.spark, "dew")
     g = t.climate().withColumn("latitude", F.col("lat_i") * GRID_STEP).withColumn("longitude", F.col("lon_i") * GRID_STEP)
     climate.write_grid(g.drop("d2m", "lat_i", "lon_i"), main)
-    g.where(F.dayofmonth("time") % 2 == 0).select(F.col("time").alias("valid_time"), "latitude", "longitude", "d2m").write.parquet(dew)
+    g.where(F.dayofmonth("time") <= 15).select(F.col("time").alias("valid_time"), "latitude", "longitude", "d2m").write.parquet(dew)
     both = climate.combine_grids(climate.read_grid(t.spark, main), climate.read_grid(t.spark, dew))
     rows = climate.indexed_grid(both, GRID_STEP)
     return rows.groupBy("lat_i", "lon_i").agg(F.count(F.lit(1)).alias("n"), r(F.avg("u10")).alias("u10"), r(F.avg("d2m")).alias("d2m"))

@@ -39,18 +39,18 @@ def w3(t: Tables) -> DataFrame:
 
 
 @query("w4_rolling_24_filled", sql("""SELECT m.tso, m.month, round(last_value(roll IGNORE NULLS) OVER (PARTITION BY m.tso ORDER BY m.month), 6) AS strike FROM region_month m
-    LEFT JOIN (SELECT tso, month, avg(price) OVER (PARTITION BY tso ORDER BY month ROWS 23 PRECEDING) AS roll FROM region_month WHERE month(month) % 3 = 2) a USING (tso, month)""", "region_month"))
+    LEFT JOIN (SELECT tso, month, avg(price) OVER (PARTITION BY tso ORDER BY month ROWS 23 PRECEDING) AS roll FROM region_month WHERE month(month) IN (2, 5, 8, 11)) a USING (tso, month)""", "region_month"))
 def w4(t: Tables) -> DataFrame:
     months = t.region_month()
-    sparse = months.where(F.month("month") % 3 == 2).select("tso", "month", ordered.rolling_mean("price", ["tso"], "month", 24).alias("roll"))
+    sparse = months.where(F.month("month").isin(2, 5, 8, 11)).select("tso", "month", ordered.rolling_mean("price", ["tso"], "month", 24).alias("roll"))
     return months.select("tso", "month").join(sparse, ["tso", "month"], "left").select("tso", "month", r(ordered.filled("roll", ["tso"], "month", backward=False)).alias("strike"))
 
 
 @query("w5_fill_both_ways", sql("""SELECT tso, month, round(coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY tso ORDER BY month),
     first_value(v IGNORE NULLS) OVER (PARTITION BY tso ORDER BY month ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS v
-    FROM (SELECT tso, month, CASE WHEN month(month) % 4 = 3 THEN price END AS v FROM region_month)""", "region_month"))
+    FROM (SELECT tso, month, CASE WHEN month(month) IN (3, 7, 11) THEN price END AS v FROM region_month)""", "region_month"))
 def w5(t: Tables) -> DataFrame:
-    rows = t.region_month().select("tso", "month", F.when(F.month("month") % 4 == 3, F.col("price")).alias("v"))
+    rows = t.region_month().select("tso", "month", F.when(F.month("month").isin(3, 7, 11), F.col("price")).alias("v"))
     return rows.select("tso", "month", r(ordered.filled("v", ["tso"], "month")).alias("v"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.calendar import cyclical, floor_to
+from ..functions.calendar import cyclical
 from ..functions.wind import air_density, at_hub, direction_from, shear_exponent, specific_power, speed
 from ..operators.aggregate import park_hourly
 from ..operators.asof import asof_nearest

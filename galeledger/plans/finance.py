@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expr import as_col, total, weighted_mean
-from ..functions.calendar import month_index
-from .costs import debt_service, opex_by_year, opex_rate, with_capex, with_financing
+from .costs import debt_service, opex_rate, with_capex, with_financing
 from ..functions.units import mw_to_kw
 
 RESIDUAL_SHARE = 0.30

@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from galeledger.functions.expr import clip
 from galeledger.operators import checks
 from galeledger.operators.timeline import month_horizon
 from galeledger.plans import costs, finance, revenue

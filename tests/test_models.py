@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from galeledger.functions.expr import clip
 from galeledger.operators import aggregate, forecast, ols, score, simulate
 from galeledger.plans import market
 
