@@ -33,14 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     A machine-local folder is only ever chosen in local mode with nothing set;
     on a cluster a missing setting is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    named = tempfile.mkdtemp(prefix="galeledger-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="galeledger-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
