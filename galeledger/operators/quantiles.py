@@ -17,18 +17,22 @@ from ..session import settle
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
-    large_group: int = 1_000_000, ranges: int | None = None,
+    large_group: int = 1_000_000, ranges: int | None = None, weight: str | None = None,
 ) -> DataFrame:
     """One row per key with a column per entry of ``probs`` (name -> probability).
 
+    ``weight`` is an integer number of copies per row, for data whose copies are
+    already combined.
+
     Group sizes are counted first (a map-side combined count). Groups of up to
     ``large_group`` rows use the built-in aggregate, larger ones the ranged form, cut
     so that a range of the largest group holds about ``large_group`` rows.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    copies = F.lit(1) if weight is None else F.col(weight)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), copies.cast("bigint").alias("_w"))
     # At most rows / large_group keys; written once, so that both halves agree.
     large = settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > large_group), "large-groups")
-    plain = F.percentile("_v", [float(p) for p in probs.values()])
+    plain = F.percentile("_v", [float(p) for p in probs.values()], F.col("_w"))
     builtin = lambda part: part.groupBy(*keys).agg(plain.alias("_q")).select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
     largest = large.agg(F.max("_n")).first()[0]
     if largest is None:
@@ -44,7 +48,7 @@ def _with_range(rows: DataFrame, keys: Sequence[str], borders: DataFrame) -> Dat
     joined = rows.join(borders, list(keys)).withColumn("_q", F.size(F.filter("_coarse", lambda c: c < F.col("_v"))))
     stretch = F.slice("_cuts", F.col("_q") * F.col("_step") + 1, F.col("_step"))
     below = F.col("_q") * F.col("_step") + F.size(F.filter(stretch, lambda c: c < F.col("_v")))
-    return joined.select(*keys, "_v", below.alias("_range"))
+    return joined.select(*keys, "_v", "_w", below.alias("_range"))
 
 
 def _ranged_quantiles(rows: DataFrame, keys: Sequence[str], probs: dict[str, float], ranges: int) -> DataFrame:
@@ -57,14 +61,14 @@ def _ranged_quantiles(rows: DataFrame, keys: Sequence[str], probs: dict[str, flo
     cuts = cuts.withColumn("_step", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
     every = F.filter("_cuts", lambda _c, i: (i + 1) % F.col("_step") == 0)
     ranged = _with_range(rows, keys, settle(cuts.withColumn("_coarse", every), "quantile-borders"))
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum("_w").alias("_size"))
     per_key = Window.partitionBy(*keys)
     offsets = sizes.select(
         *keys, "_range",
         F.coalesce(F.sum("_size").over(per_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_size").over(per_key).alias("_total"),
     )
-    counts = ranged.groupBy(*keys, "_range", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = ranged.groupBy(*keys, "_range", "_v").agg(F.sum("_w").alias("_n"))
     inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         counts.withColumn("_upto", F.sum("_n").over(inside))

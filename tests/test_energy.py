@@ -102,8 +102,9 @@ def test_month_needs_enough_hours(spark):
 
 def test_cadence_classes(spark):
     data = [(k, at(step * i)) for k, step in (("a", 10), ("b", 60), ("c", 25)) for i in range(50)]
-    got = dict(rows(checks.cadence(spark.createDataFrame(data, "k string, ts timestamp_ntz"), ["k"], "ts").select("k", "cadence")))
-    assert got == {"a": "10min", "b": "hourly", "c": "unclassified"}
+    data += [("d", at(10 * (i // 4))) for i in range(80)]  # four copies of each time: three steps of zero, one of ten
+    got = {r[0]: r[1:] for r in rows(checks.cadence(spark.createDataFrame(data, "k string, ts timestamp_ntz"), ["k"], "ts").select("k", "cadence", "median_minutes"))}
+    assert {k: v[0] for k, v in got.items()} == {"a": "10min", "b": "hourly", "c": "unclassified", "d": "unclassified"} and got["d"][1] == 0.0
 
 
 def test_validation_report(spark):

@@ -129,6 +129,9 @@ def test_exact_quantiles_match_numpy(spark, skewed, large):
     got = {r[0]: r[1:] for r in rows(quantiles.exact_quantiles(df, ["k"], "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.95, "e": 1.0}, large_group=large, ranges=8))}
     for k, g in pdf.groupby("k"):
         assert np.allclose(got[k], np.percentile(g.v, [0, 37, 50, 95, 100]))
+    counted = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    again = {r[0]: r[1] for r in rows(quantiles.exact_quantiles(counted, ["k"], "v", {"p": 0.37}, large_group=large, ranges=8, weight="n"))}
+    assert all(np.isclose(again[k], got[k][1]) for k in got)
 
 
 def test_timeline_spans_days(spark):
