@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lm, pieces, simhash, tokenfile
+from . import lm, pages, pieces, simhash, tokenfile, urls
 from .common import table
 from .quality import quality
 from .secrets import secrets, shown
@@ -29,6 +29,11 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = table(spark, sf_dir, "documents").select(F.col("text").alias("t"))
+    return urls.judged(table(spark, sf_dir, "pages"), texts).select("page_id", "host", "path", "rule", "verdict", "log_odds")
+
+
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -46,5 +51,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_quality_rules, op3_simhash_near_dedup, op6_sentence_pieces, op7_secret_scan, op8_token_files)}
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_lm_scores, op2_quality_rules, op3_simhash_near_dedup, op5_url_filter, op6_sentence_pieces, op7_secret_scan, op8_token_files, op10_page_text)}
 ORACLES: dict[str, str] = {}
