@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import lm, pages, pieces, simhash, tokenfile, urls
+from . import decontaminate, lm, pages, paragraphs, pieces, simhash, tokenfile, urls
 from .common import table
 from .quality import quality
 from .secrets import secrets, shown
@@ -29,6 +29,10 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").select(F.col("text").alias("t"))
     return urls.judged(table(spark, sf_dir, "pages"), texts).select("page_id", "host", "path", "rule", "verdict", "log_odds")
@@ -51,10 +55,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+
+
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_lm_scores, op2_quality_rules, op3_simhash_near_dedup, op5_url_filter, op6_sentence_pieces, op7_secret_scan, op8_token_files, op10_page_text)}
+    op1_lm_scores, op2_quality_rules, op3_simhash_near_dedup, op4_decontamination, op5_url_filter, op6_sentence_pieces, op7_secret_scan, op8_token_files,
+    op9_paragraph_dedup, op10_page_text)}
+# No SQL twins: hash functions, splits by code point classes and models have no equal in DuckDB. tests/llm holds every query against a brute-force version.
 ORACLES: dict[str, str] = {}

@@ -61,23 +61,24 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def linked(rows: DataFrame, keys: list[str], payload: list[str], links: Callable, block: int = BLOCK) -> DataFrame:
+def linked(rows: DataFrame, keys: list[str], columns: list[str], links: Callable, block: int = BLOCK, more: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between rows that share a bucket and that ``links`` accepts.
 
-    ``rows``: key columns, ``id`` long and payload columns. ``links(ids, columns)`` gets the rows of one
-    block and returns two index arrays of linked rows. A bucket of any size is cut into blocks of about
-    ``block`` rows and each pair of blocks is one unit of work, so every pair is looked at while no task
-    holds more than a few blocks; only a spanning forest of a unit's links leaves it.
+    ``rows``: key columns, ``id`` long and some of ``columns``; the others come from ``more``, by id, for rows with company only.
+    ``links(ids, columns)`` gets the rows of one block and returns two index arrays of linked rows. A bucket of any size is
+    cut into blocks of about ``block`` rows and each pair of blocks is one unit of work, so every pair is looked at while no
+    task holds more than a few blocks; only a spanning forest of a unit's links leaves it.
     """
     spark = rows.sparkSession
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     cut = rows.join(n, keys).withColumn("_c", F.ceil(F.col("_n") / block)).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_c")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)).alias("_o")
-    dealt = cut.select(*keys, "id", *payload, "_b", other).select(
-        F.xxhash64(*keys, F.least("_b", "_o"), F.greatest("_b", "_o")).alias("_u"), *keys,
-        F.least("_b", "_o").alias("_i"), F.greatest("_b", "_o").alias("_j"), "id", *payload)
+    dealt = cut.select(*keys, *rows.drop(*keys).columns, "_b", other).withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
+    dealt = dealt.withColumn("_u", F.xxhash64(*keys, "_i", "_j"))
+    dealt = dealt if more is None else dealt.join(more, "id")
+    payload = columns
     unit = ["_u", *keys, "_i", "_j"]
-    sent = dealt.repartition(parts(spark), *unit).sortWithinPartitions(*unit).select("_u", "id", *payload)
+    sent = dealt.select(*unit, "id", *payload).repartition(parts(spark), *unit).sortWithinPartitions(*unit).select("_u", "id", *payload)
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def edges(t: pa.Table) -> pa.RecordBatch:
