@@ -8,13 +8,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
 from .common import WORD_HASHES, ready, shingle_hashes, slices
 from .graph import components, linked
+from .paragraphs import alike
 
 BITS = 64
 # Estimated cost of sending one probe, in candidates verified.
@@ -23,41 +23,41 @@ PROBE_COST = 4.0
 HISTOGRAM_BITS = 14
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, distinct: bool = False) -> DataFrame:
-    """(doc_id, fp long): a bit is 1 where over half the shingles' XXH64 values (seed 42) have a 1.
+def hashes(body: bytes, words: int, distinct: bool) -> np.ndarray:
+    """XXH64 values (seed 42) of a text's shingles: A-Z lower-cased, split at ASCII white space, joined by spaces. A text with
+    fewer words is one shingle."""
+    found = body.lower().split()
+    if not found:
+        return np.empty(0, dtype=np.uint64)
+    whole = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    k = min(words, len(found))
+    n = len(found) - k + 1
+    digest = xxhash.xxh64_intdigest
+    h = np.fromiter((digest(whole[s:e], 42) for s, e in zip(begins[:n].tolist(), ends[k - 1:].tolist())), dtype=np.uint64, count=n)
+    return np.unique(h) if distinct else h
+
+
+def majority(h: np.ndarray) -> int:
+    """Fingerprint (signed) with a 1 where over half the values have one; 0 of no values."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for s in range(0, len(h), 1 << 16):
+        piece = np.ascontiguousarray(h[s:s + (1 << 16)]).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(piece, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
 
-    Text is lower-cased in A-Z and split at ASCII white space; repeated shingles count as often as they
-    occur, or once if ``distinct``. A text with fewer words is one shingle; without words (or null) the fingerprint is 0.
-    """
-    ready(docs.sparkSession)
 
-    def per_text(body: bytes) -> np.ndarray:
-        found = body.lower().split()
-        if not found:
-            return np.empty(0, dtype=np.uint64)
-        if distinct:
-            found = list(set(found)) if words == 1 else found
-        whole = b" ".join(found)
-        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) + 1) - 1
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        k = min(words, len(found))
-        n = len(found) - k + 1
-        digest = xxhash.xxh64_intdigest
-        h = np.fromiter([digest(whole[s:e], 42) for s, e in zip(begins[:n].tolist(), ends[k - 1:].tolist())], dtype=np.uint64, count=n)
-        return np.unique(h) if distinct and words > 1 else h
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp long) of every row: the majority bits of the shingles' hashes, counted as often as they occur or, if
+    ``distinct``, once. Without words (or null) the fingerprint is 0."""
+    ready(docs.sparkSession)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                values = []
-                for body in part.column("t").to_pylist():
-                    h = per_text(body or b"")
-                    ones = np.zeros(BITS, dtype=np.int64)
-                    for s in range(0, len(h), 1 << 16):
-                        piece = np.ascontiguousarray(h[s:s + (1 << 16)]).view(np.uint8).reshape(-1, 8)
-                        ones += np.unpackbits(piece, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                    values.append(np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0])
-                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(np.array(values, dtype=np.int64))], ["d", "fp"])
+                values = [majority(hashes(body or b"", words, distinct)) for body in part.column("t").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("d"), pa.array(values, type=pa.int64())], ["d", "fp"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("d"), F.col(text).cast("binary").alias("t")).mapInArrow(marked, f"d {kind}, fp long").withColumnRenamed("d", doc_id)
@@ -229,3 +229,57 @@ def _smallest(own: DataFrame, edges: DataFrame) -> DataFrame:
     least = joined.groupBy("root").agg(F.min("_least").alias("_all"))
     linked_fps = joined.join(least, "root").select("fp", "_all")
     return settle(own.join(linked_fps, "fp", "left").select("fp", F.coalesce("_all", "_least").alias("component_id")), "components")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 5, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when of each group of near-duplicates only the first does.
+
+    Fingerprints here are of the distinct words, which a few edits hardly move; texts whose fingerprints are joined by chains of ``radius`` or fewer
+    bits are candidates, and those with such fingerprints and a Jaccard similarity of ``similarity`` or more on ``shingle``-word shingles are linked.
+    Of each connected group the row with the smallest doc_id stays (nulls last, ties by a hash of the text); of rows alike in id and text, one. Texts
+    without words are alike.
+    """
+    spark = ready(docs.sparkSession)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                fps, sets = [], []
+                for body in part.column("t").to_pylist():
+                    fps.append(majority(hashes(body or b"", 1, True)))
+                    words = WORD_HASHES.of((body or b"").lower().split())
+                    h, _ = shingle_hashes(words, np.array([0]), np.array([len(words)]), shingle)
+                    sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("th"), pa.array(fps, type=pa.int64()), pa.array(sets, type=pa.binary())], ["d", "th", "fp", "shingles"])
+
+    rows = settle(docs.select(F.col(doc_id).alias("d"), text_hash.alias("th"), F.col(text).cast("binary").alias("t")).mapInArrow(
+        described, f"d {kind}, th long, fp long, shingles binary"), "described")
+    texts = settle(rows.groupBy("th").agg(F.max("fp").alias("fp"), F.min("d").alias("first"), F.count(F.lit(1)).alias("n")), "texts")
+    fps = settle(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
+    chains = components(near_fingerprints(fps, radius))
+    of_fp = fps.join(chains, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("chain"))
+    candidates = texts.join(of_fp, "fp").select("chain", "fp", F.col("th").alias("id"))
+    jaccard = alike(similarity)
+
+    def links(ids: np.ndarray, columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        fp = columns[0].to_numpy().view(np.uint64)
+        close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
+        x, y = jaccard(ids, columns[1:])
+        ok = close[x, y]
+        return x[ok], y[ok]
+
+    edges = linked(candidates, ["chain"], ["fp", "shingles"], links, block=128, more=rows.groupBy("th").agg(F.max("shingles").alias("shingles")).withColumnRenamed("th", "id"))
+    grouped = texts.join(components(edges), F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))
+    # min_by passes over null ids only where there are none else
+    stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "th")).alias("best")).select("best.first", "best.th")
+    stay = settle(stay.withColumnsRenamed({"first": "_first", "th": "_th"}), "stay")
+    keyed = docs.withColumn("_hash", text_hash)
+    kept = keyed.join(stay, (F.col("_hash") == F.col("_th")) & F.col(doc_id).eqNullSafe(F.col("_first")), "left_semi").drop("_hash")
+    again = settle(rows.groupBy("d", "th").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("d").alias("_d"), F.col("th").alias("_t")), "repeated-rows")
+    if again.isEmpty():
+        return kept
+    same = lambda df: F.col(doc_id).eqNullSafe(F.col("_d")) & (text_hash == F.col("_t"))
+    once = kept.join(again, same(kept), "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(again, same(kept), "left_anti").unionByName(once)
