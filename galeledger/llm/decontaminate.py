@@ -35,8 +35,8 @@ def answer_of(text: str, answer: str | None) -> list[bytes]:
     return words_of(answer.encode())
 
 
-def common_order(a: list, b: list) -> tuple[int, int, int]:
-    """Length of the longest common subsequence, and the first and last place in ``b`` of one."""
+def common_order(a: list, b: list) -> list[int]:
+    """Places in ``b`` of a longest common subsequence, ascending."""
     rows = [[0] * (len(b) + 1)]
     for x in a:
         last, row = rows[-1], [0]
@@ -52,7 +52,18 @@ def common_order(a: list, b: list) -> tuple[int, int, int]:
             i -= 1
         else:
             j -= 1
-    return len(used), min(used, default=0), max(used, default=-1)
+    return used[::-1]
+
+
+def compact(places: list[int], most: int) -> list[int]:
+    """``places`` without the outer ones that stretch over more than ``most`` words; the wider gap goes first."""
+    lo, hi = 0, len(places)
+    while hi - lo > 1 and places[hi - 1] - places[lo] + 1 > most:
+        if places[lo + 1] - places[lo] >= places[hi - 1] - places[hi - 2]:
+            lo += 1
+        else:
+            hi -= 1
+    return places[lo:hi]
 
 
 def common_length(masks: dict[int, int], n: int, b: list[int]) -> int:
@@ -225,9 +236,8 @@ class Finder:
             most = common_length(self.masks[item], n, region)
             if most < SHARE_WITH_ANSWER * n:
                 continue
-            size, first, last = common_order(own, region)
-            if last - first + 1 > 1.5 * n + 5:  # words in common order, but scattered
-                continue
+            places = compact(common_order(own, region), 3 * n // 2 + 5)  # words in common order, but scattered, are no copy
+            size, first, last = len(places), places[0], places[-1]
             answer = self.items.answers[item]
             found = bool(answer) and any(region[k:k + len(answer)] == answer for k in range(len(region) - len(answer) + 1))
             if size >= SHARE * n or size >= SHARE_WITH_ANSWER * n and found:

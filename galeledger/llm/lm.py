@@ -107,8 +107,7 @@ class Model:
         spark = self.sections.sparkSession
         own = set(self.segments[i])
         rows = self.sections.where(F.col("section").isin([int(x) for x in own])).select("section", "bits", "data").toArrow()
-        n = 1 + max((max(s) for s in self.segments if s), default=0)
-        start, bits = np.full(n, -1, dtype=np.int64), np.ones(n, dtype=np.uint64)
+        start, bits = np.full(self.n_sections, -1, dtype=np.int64), np.ones(self.n_sections, dtype=np.uint64)
         at, pieces = 0, []
         for s, b, d in zip(rows.column("section").to_pylist(), rows.column("bits").to_pylist(), rows.column("data")):
             start[s], bits[s] = at, b

@@ -122,15 +122,19 @@ def odds(cut: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
 
 
 def judged(pages: DataFrame, texts: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """(page_id, url, host, path, rule, verdict, log_odds) of every page; ``texts`` (column ``t``) teaches the unigram model.
+    """(page_id, url, host, path, rule, verdict, log_odds) of every page; ``texts`` (column ``t``) teaches the unigram model, with
+    the words that hosts and paths set apart by hyphens.
 
     A rule decides where one fits, else the sign of the odds. Pages without host or path have no words and go by the prior.
     Copies of a (host, path) are judged once; repeated rows stay.
     """
     rows = pages.select(F.col(page_id), F.col(url), *[c.alias(k) for k, c in split_url(F.col(url)).items()])
     distinct = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
-    names = rows.select(F.concat_ws(" ", "host", "path").alias("t"))
-    cut = settle(tokens(distinct, unigrams(texts.select("t").unionByName(names))).join(distinct, ["host", "path"]), "url-words")
+    labels = F.filter(F.split(F.concat_ws("/", "host", "path"), "[./]"), lambda x: F.contains(x, F.lit("-")))
+    model = unigrams(texts.select("t").unionByName(distinct.select(F.array_join(labels, " ").alias("t"))))
+    for seed in SEEDS:
+        model[seed] = max(model.get(seed, 0), 2)
+    cut = settle(tokens(distinct, model).join(distinct, ["host", "path"]), "url-words")
     rule, verdict = ruled(F.col("host"), F.col("path"))
     scored = settle(odds(cut), "url-odds")
     return rows.join(scored, ["host", "path"]).select(
