@@ -67,12 +67,11 @@ def asof_backward(
     carry = own.select(*keys, "_slice", F.last("_own", ignorenulls=True).over(earlier).alias("_carry"))
     here = Window.partitionBy(*keys, "_slice").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
     mine = F.when(F.col("_side") == _VALUE_SIDE, F.struct(*values))
-    resolved = (
-        both.withColumn("_here", F.last(mine, ignorenulls=True).over(here))
-        .where(F.col("_side") == _PROBE_SIDE)
-        .join(carry, [*keys, "_slice"], "left")
-        .withColumn("_hit", F.coalesce("_here", "_carry"))
-    )
+    asked = both.withColumn("_here", F.last(mine, ignorenulls=True).over(here)).where(F.col("_side") == _PROBE_SIDE)
+    # Null-safe, like the windows: a NULL key is a key.
+    named = carry.withColumnsRenamed({k: f"_on_{i}" for i, k in enumerate([*keys, "_slice"])})
+    on = [asked[k].eqNullSafe(named[f"_on_{i}"]) for i, k in enumerate([*keys, "_slice"])]
+    resolved = asked.join(named, on, "left").withColumn("_hit", F.coalesce("_here", "_carry"))
     return _reattach(left, resolved, keys, time, values, unique)
 
 

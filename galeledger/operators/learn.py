@@ -40,10 +40,10 @@ def validation_size(n: int) -> int:
     return min(max(2000, int(0.1 * n)), max(1000, n // 5))
 
 
-def mark_validation(df: DataFrame, keys: Sequence[str], n_rows: int, seed: int = 42) -> DataFrame:
+def mark_validation(df: DataFrame, keys: Sequence[str], n_rows: int, seed: int = 42, most: float = 0.5) -> DataFrame:
     """Boolean ``_validate`` by a hash of the row keys; the expected share is
-    validation_size / n, and at most half so that something is left to train on."""
-    share = min(0.5, validation_size(n_rows) / max(n_rows, 1))
+    validation_size / n, and at most ``most`` so that something is left to train on."""
+    share = min(most, validation_size(n_rows) / max(n_rows, 1))
     return df.withColumn("_validate", uniform(F.lit(seed), *[F.col(k) for k in keys]) < share)
 
 

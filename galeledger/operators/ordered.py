@@ -114,26 +114,34 @@ def sliced(df: DataFrame, time: str, seconds: int) -> DataFrame:
     return df.withColumn("_slice", time_slice(time, seconds))
 
 
+def _carried(rows: DataFrame, carry: DataFrame, keys: Keys) -> DataFrame:
+    """Each row with its slice's carry; NULL keys meet like any other."""
+    named = carry.withColumnsRenamed({k: f"_on_{i}" for i, k in enumerate([*keys, "_slice"])})
+    on = [rows[k].eqNullSafe(named[f"_on_{i}"]) for i, k in enumerate([*keys, "_slice"])]
+    return rows.join(named, on).drop(*[f"_on_{i}" for i in range(len(keys) + 1)])
+
+
+def _with_untimed(out: DataFrame, df: DataFrame, time: str) -> DataFrame:
+    """Rows without a time have no place in the order: they stay, with a NULL result."""
+    return out.unionByName(df.where(F.col(time).isNull()), allowMissingColumns=True)
+
+
 def lag_raw(df: DataFrame, keys: Keys, time: str, value: str, name: str, seconds: int = DAY) -> DataFrame:
-    """Previous value per key on a raw table of any per-key size."""
-    rows = sliced(df, time, seconds)
+    """Previous value per key on a raw table of any per-key size; NULL keys form a group, NULL times get NULL."""
+    rows = sliced(df.where(F.col(time).isNotNull()), time, seconds)
     per_slice = Window.partitionBy(*keys, "_slice").orderBy(time, value)
     # The plain maximum hashes; only a value beside the time needs the ordered pair.
     last = F.max(time) if value == time else F.max(F.struct(F.col(time).alias("_t"), F.col(value).alias("_v"))).getField("_v")
     ends = rows.groupBy(*keys, "_slice").agg(last.alias("_end"))
     carry = ends.select(*keys, "_slice", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_carry"))
-    return (
-        rows.withColumn("_rn", F.row_number().over(per_slice))
-        .withColumn("_prev", F.lag(value).over(per_slice))
-        .join(carry, [*keys, "_slice"])
-        .withColumn(name, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev")))
-        .drop("_slice", "_rn", "_prev", "_carry")
-    )
+    here = rows.withColumn("_rn", F.row_number().over(per_slice)).withColumn("_prev", F.lag(value).over(per_slice))
+    out = _carried(here, carry, keys).withColumn(name, F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev")))
+    return _with_untimed(out.drop("_slice", "_rn", "_prev", "_carry"), df, time)
 
 
 def running_total_raw(df: DataFrame, keys: Keys, time: str, value: str, name: str, seconds: int = DAY) -> DataFrame:
-    """Running sum per key up to and including all rows at the same time."""
-    rows = sliced(df, time, seconds)
+    """Running sum per key up to and including all rows at the same time; NULL keys form a group, NULL times get NULL."""
+    rows = sliced(df.where(F.col(time).isNotNull()), time, seconds)
     sums = rows.groupBy(*keys, "_slice").agg(F.sum(value).alias("_sum"))
     before = sums.select(
         *keys, "_slice",
@@ -143,17 +151,14 @@ def running_total_raw(df: DataFrame, keys: Keys, time: str, value: str, name: st
         ).alias("_before"),
     )
     upto = Window.partitionBy(*keys, "_slice").orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.withColumn("_within", F.sum(value).over(upto))
-        .join(before, [*keys, "_slice"])
-        .withColumn(name, F.col("_before") + F.coalesce(F.col("_within"), F.lit(0)))
-        .drop("_slice", "_within", "_before")
-    )
+    out = _carried(rows.withColumn("_within", F.sum(value).over(upto)), before, keys)
+    out = out.withColumn(name, F.col("_before") + F.coalesce(F.col("_within"), F.lit(0)))
+    return _with_untimed(out.drop("_slice", "_within", "_before"), df, time)
 
 
 def row_number_raw(df: DataFrame, keys: Keys, time: str, name: str, tie: Sequence[str] = (), seconds: int = DAY) -> DataFrame:
-    """0-based position per key on a raw table."""
-    rows = sliced(df, time, seconds)
+    """0-based position per key on a raw table; NULL keys form a group, NULL times get NULL."""
+    rows = sliced(df.where(F.col(time).isNotNull()), time, seconds)
     sizes = rows.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(
         *keys, "_slice",
@@ -163,9 +168,5 @@ def row_number_raw(df: DataFrame, keys: Keys, time: str, name: str, tie: Sequenc
         ).alias("_before"),
     )
     w = Window.partitionBy(*keys, "_slice").orderBy(time, *tie)
-    return (
-        rows.withColumn("_rn", F.row_number().over(w))
-        .join(before, [*keys, "_slice"])
-        .withColumn(name, F.col("_before") + F.col("_rn") - 1)
-        .drop("_slice", "_rn", "_before")
-    )
+    out = _carried(rows.withColumn("_rn", F.row_number().over(w)), before, keys).withColumn(name, F.col("_before") + F.col("_rn") - 1)
+    return _with_untimed(out.drop("_slice", "_rn", "_before"), df, time)

@@ -77,7 +77,7 @@ def scanline_crossings(vertices: DataFrame, frame: dict) -> DataFrame:
     v = to_pixels(vertices, frame).select("poly_id", "ring_id", "i", "x", "y")
     ordered = v.groupBy("poly_id", "ring_id").agg(F.array_sort(F.collect_list(F.struct("i", "x", "y"))).alias("_r"))
     edges = ordered.select(F.explode(F.zip_with(
-        "_r", F.concat(F.slice("_r", 2, 1_000_000_000), F.slice("_r", 1, 1)),
+        "_r", F.concat(F.slice(F.col("_r"), F.lit(2), F.size("_r")), F.slice("_r", 1, 1)),
         lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")),
     )).alias("e")).select("e.*").where("y1 <> y2")
     top, bottom = F.least("y1", "y2"), F.greatest("y1", "y2")

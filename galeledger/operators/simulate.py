@@ -43,11 +43,16 @@ def bootstrap_by_month(hist: DataFrame, keys: Sequence[str], n_sims: int, start_
     """Each (simulation, future month) takes one historical value of the same calendar
     month, uniformly. ``hist`` is (keys, year, month, value); a key's values of a
     calendar month (one per history year) are kept as a short array, so drawing
-    is an index lookup in the row and needs no further join.
+    is an index lookup in the row and needs no further join. A key without history for
+    one of the twelve months raises.
     """
     pools = hist.na.drop(subset=[value]).groupBy(*keys, "month").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("year", value))), lambda s: s[value]).alias("_pool")
     )
+    twelve = pools.groupBy(*keys).agg(F.collect_list(F.struct("month", "_pool")).alias("_months"))
+    short = F.raise_error(F.concat(F.lit("calendar months without history: "), F.concat_ws("/", *[F.col(k).cast("string") for k in keys])))
+    checked = F.when(F.size("_months") == 12, F.col("_months")).otherwise(short.cast(twelve.schema["_months"].dataType))
+    pools = twelve.select(*keys, F.explode(checked).alias("_m")).select(*keys, "_m.*")
     sims = F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1)))
     rows = spread(pools.withColumn("sim", sims), *keys, "sim").withColumn("year", F.explode(F.sequence(F.lit(start_year), F.lit(start_year + years - 1))))
     key_text = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])

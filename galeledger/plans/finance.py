@@ -45,9 +45,10 @@ def npv(cash_flow, rate) -> Column:
 
 
 def irr(cash_flow) -> Column:
-    """Struct(rate, reason), folded inside the row.
+    """Struct(rate, reason), folded inside the row: the root nearest to zero.
 
-    Newton's method first. Where it leaves the bounds or stalls (loss-making projects,
+    With one sign change of the flows there is one root and Newton's method comes first; with more the
+    grid below is searched at once, as several roots may lie in the bounds. Where Newton leaves the bounds or stalls (loss-making projects,
     flat slopes), the sign changes of NPV on a grid of rates are bracketed and the one
     nearest to zero is bisected. NULL with reason "no sign change" when all flows have
     one sign, and "no root in bounds" when NPV keeps its sign over the bounds.
@@ -83,13 +84,19 @@ def irr(cash_flow) -> Column:
 
     def finish(s: Column) -> Column:
         bisected = F.transform(F.array(_bisected(flow)), lambda b: outcome(b, F.when(b.isNull(), "no root in bounds").otherwise("ok")))[0]
-        return F.when(s["s"] == "ok", outcome(s["r"], F.lit("ok"))).otherwise(bisected)
+        return F.when((s["s"] == "ok") & (_sign_changes(flow) <= 1), outcome(s["r"], F.lit("ok"))).otherwise(bisected)
 
     # One-element transforms keep the folds from being evaluated once per use.
     result = F.transform(F.array(solved), finish)[0]
     return F.when(same_sign, outcome(none, F.lit("no sign change"))).otherwise(result)
 
 
+def _sign_changes(flow: Column) -> Column:
+    """How often the sign changes along the flows that are not zero."""
+    signs = F.transform(F.filter(flow, lambda c: c != 0), lambda c: F.signum(c))
+    return F.transform(F.array(signs), lambda s: F.size(F.filter(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.slice(s, 2, F.size(s)), lambda a, b: a != b), lambda x: x)))[0]
+
+
 def _bisected(flow: Column) -> Column:
     """Root of NPV nearest to zero between the bounds, or NULL. The grid is even in log(1 + rate)."""
     low, high = 1.0 + IRR_BOUNDS[0], 1.0 + IRR_BOUNDS[1]

@@ -51,7 +51,9 @@ def driver_panel(
 
 
 def rejected_scenarios(scenarios: DataFrame, production: DataFrame | None, panel: DataFrame, key: str = "scenario_id", months: int = FORECAST_MONTHS) -> DataFrame:
-    """(key, reject_reason, first_missing): incomplete production, market price or strike."""
+    """(key, reject_reason, first_missing): no operator or start, incomplete production, market price or strike."""
+    nameless = scenarios.where("tso IS NULL OR cod IS NULL").select(key, F.lit("operator or start missing").alias("reject_reason"), F.col("cod").alias("first_missing"))
+    scenarios = scenarios.where("tso IS NOT NULL AND cod IS NOT NULL")
     price = first_missing(panel, PANEL_KEYS, "date", "p_market").withColumn("reject_reason", F.lit("market price missing"))
     no_price = scenarios.join(price, PANEL_KEYS).select(key, "reject_reason", "first_missing")
     curtail = panel.groupBy(*PANEL_KEYS).agg(F.count("cr").alias("_n")).where("_n = 0")
@@ -59,7 +61,7 @@ def rejected_scenarios(scenarios: DataFrame, production: DataFrame | None, panel
     strike = panel.select(*PANEL_KEYS, "strike_series").distinct().where("strike_series IS NULL")
     no_strike = scenarios.where("eeg_on = 1 AND manual_eeg_strike IS NULL").join(strike, PANEL_KEYS)
     no_strike = no_strike.select(key, F.lit("no strike at or before start").alias("reject_reason"), F.col("cod").alias("first_missing"))
-    out = no_price.unionByName(no_rate).unionByName(no_strike)
+    out = nameless.unionByName(no_price).unionByName(no_rate).unionByName(no_strike)
     if production is not None:
         # A scenario's known months fit in one small array, so production is shuffled once
         # (combined on the map side) and no horizon spine is built.

@@ -2,7 +2,9 @@
 
 Lines of all files are scanned in parallel; the header line of each file is found by
 a small aggregate and joined back by file, and cells are then picked by name. Files
-may order, add or lack columns, and nothing about them is listed on the driver.
+may order, add or lack columns, and nothing about them is listed on the driver. What is
+data is told by content alone: positions of one scan are never compared with those of another,
+because how files are packed into tasks may change between them.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def numbered_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 
 def header_of_files(lines: DataFrame, is_header: Column, clean: Callable[[Column], Column] = F.trim) -> DataFrame:
-    """First line per file that satisfies ``is_header``.
+    """(source_file, header, header_line): the first line per file that satisfies ``is_header``, cleaned and as it stands.
 
     One small row per file, written to the shared folder because the column checks and
     the join below would each scan the files again for it.
@@ -42,8 +44,8 @@ def header_of_files(lines: DataFrame, is_header: Column, clean: Callable[[Column
     heads = (
         lines.where(is_header)
         .groupBy("source_file")
-        .agg(F.min(F.struct("source_block", "source_row", clean(F.col("line")).alias("header"))).alias("_h"))
-        .select("source_file", F.struct("_h.source_block", "_h.source_row").alias("header_at"), F.col("_h.header").alias("header"))
+        .agg(F.min(F.struct("source_block", "source_row", "line")).alias("_h"))
+        .select("source_file", clean(F.col("_h.line")).alias("header"), F.col("_h.line").alias("header_line"))
     )
     return settle(heads, "headers")
 
@@ -53,18 +55,20 @@ def pick_columns(
 ) -> DataFrame:
     """Data lines as text columns: ``wanted`` maps header name -> output name.
 
-    Only lines after the header count. A file without a ``required`` column raises;
-    other missing columns are NULL for that file.
+    ``lines`` holds the data lines and may hold the header line, which is left out wherever it
+    occurs. A file without a header or without a ``required`` column raises; other missing
+    columns are NULL for that file.
     """
     width = headers.agg(F.max(F.size(F.split("header", f"[{sep}]")))).first()[0] or 1
     schema = ", ".join(f"c{i} string" for i in range(width))
     cells = lambda text: F.array(*[F.from_csv(text, schema, {"sep": sep, "quote": '"'})[f"c{i}"] for i in range(width)])
     names = F.transform(cells(F.col("header")), lambda n: F.trim(F.translate(n, "\u00a0", " ")))
-    heads = headers.select("source_file", "header_at", names.alias("_names"))
+    heads = headers.select("source_file", "header_line", names.alias("_names"))
     for name in required:
         assert_none(heads.where(~F.array_contains("_names", name)).select("source_file"), f"column {name!r} not found")
-    places = heads.select("source_file", "header_at", *[F.array_position("_names", n).alias(f"_p{i}") for i, n in enumerate(wanted)])
-    data = lines.join(places, "source_file").where(F.struct("source_block", "source_row") > F.col("header_at"))
+    places = heads.select("source_file", "header_line", *[F.array_position("_names", n).alias(f"_p{i}") for i, n in enumerate(wanted)])
+    no_header = F.raise_error(F.concat(F.lit("no header found in "), F.col("source_file"))).cast("boolean")
+    data = lines.join(places, "source_file", "left").where(F.when(F.col("header_line").isNull(), no_header).otherwise(F.col("line") != F.col("header_line")))
     data = data.withColumn("_cells", cells(F.col("line")))
     text = [
         F.when(F.col(f"_p{i}") > 0, F.get("_cells", (F.col(f"_p{i}") - 1).cast("int"))).alias(out) for i, out in enumerate(wanted.values())

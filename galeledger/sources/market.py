@@ -87,8 +87,9 @@ def export_series(
 
 def monthly_grid_load(raw: DataFrame) -> DataFrame:
     """(tso, month, load_mwh) from monthly exports whose file name carries the operator."""
+    operator = F.coalesce(tso_of_file(file_name()), F.raise_error(F.concat(F.lit("no grid operator in the name of "), F.col("source_file"))).cast("string"))
     rows = raw.select(
-        tso_of_file(file_name()).alias("tso"), month_start(export_time(F.col(f"`{START}`"), "MMM d, yyyy")).alias("month"),
+        operator.alias("tso"), month_start(export_time(F.col(f"`{START}`"), "MMM d, yyyy")).alias("month"),
         thousands_comma_number(F.col(f"`{LOAD_VALUE}`")).alias("load_mwh"),
     )
     return rows.groupBy("tso", "month").agg(F.coalesce(F.sum("load_mwh"), F.lit(0.0)).alias("load_mwh"))
@@ -110,8 +111,10 @@ def transposed_report_rows(files: DataFrame, row_pattern: str = REPORT_ROW) -> D
     cells = lambda line: F.transform(F.slice(F.split(line, ";"), 2, 12), lambda x: F.trim(x))
     wanted = F.filter("_lines", lambda x: F.rlike(F.trim(F.element_at(F.split(x, ";"), 1)), F.lit(row_pattern)))
     pages = files.withColumn("_lines", lines).select("source_file", cells(F.get("_lines", F.lit(0))).alias("_m"), cells(F.get(wanted, F.lit(0))).alias("_v"))
-    rows = pages.select("source_file", F.explode(F.arrays_zip("_m", "_v")).alias("_c"))
-    return rows.select("source_file", german_month("_c._m").alias("month"), cents_per_kwh("_c._v").alias("value")).where("month IS NOT NULL")
+    missing = F.raise_error(F.concat(F.lit("the wanted row is missing in "), F.col("source_file"))).cast("array<string>")
+    rows = pages.withColumn("_v", F.coalesce("_v", missing)).select("source_file", F.explode(F.arrays_zip("_m", "_v")).alias("_c")).where("_c._m != ''")
+    unread = F.raise_error(F.concat(F.lit("cannot read month "), F.col("_c._m"), F.lit(" in "), F.col("source_file"))).cast("date")
+    return rows.select("source_file", F.coalesce(german_month("_c._m").cast("date"), unread).alias("month"), cents_per_kwh("_c._v").alias("value"))
 
 
 def read_quarterly_wide(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:

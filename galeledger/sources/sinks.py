@@ -35,12 +35,13 @@ def write_by_key(df: DataFrame, keys: Sequence[str], path: str, max_rows_per_fil
 def append_new_keys(df: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
     """Write only keys the target does not hold yet; returns what was written.
 
-    Run twice, the second run writes nothing.
+    Run twice, the second run writes nothing. Held keys are read with the types of ``df``, so
+    ``007`` and ``7`` stay apart, and a NULL key equals a held NULL key.
     """
     spark = df.sparkSession
     try:
-        held = spark.read.parquet(path).select(*keys).distinct()
-        fresh = df.join(held, list(keys), "left_anti")
+        held = spark.read.schema(df.schema).parquet(path).select(*[F.col(k).alias(f"_held_{k}") for k in keys]).distinct()
+        fresh = df.join(held, [df[k].eqNullSafe(held[f"_held_{k}"]) for k in keys], "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

@@ -16,8 +16,11 @@ FULL_PERFORMANCE = "Full Performance"
 
 
 def turbine_of_file(prefix: str) -> Column:
-    """``Turbine_Data_<id>_...csv`` / ``Status_<id>_...csv`` -> id."""
-    return F.regexp_extract("source_file", rf"{prefix}_([^/]+?)_[^_/]*\.csv", 1)
+    """``Turbine_Data_<id>_<first day>_...csv`` / ``Status_<id>_...csv`` -> id.
+
+    The id ends at the first day of the file's span; without one, at the last underscore.
+    """
+    return F.regexp_extract("source_file", rf"{prefix}_([^/]+?)_(?:\d{{4}}-\d{{2}}-\d{{2}}[^/]*|[^_/]*)\.csv", 1)
 
 
 def read_telemetry(spark: SparkSession, paths: str | Sequence[str], columns: dict[str, str] = TELEMETRY_COLUMNS) -> DataFrame:
@@ -41,11 +44,13 @@ def read_telemetry(spark: SparkSession, paths: str | Sequence[str], columns: dic
 def read_status(spark: SparkSession, paths: str | Sequence[str], columns: dict[str, str] = STATUS_COLUMNS) -> DataFrame:
     """(turbine_id, start_ts, end_ts, iec_category); unparseable times are NULL.
 
-    The header is the first line that is neither blank nor a comment and has two commas.
+    The header is the first line that is neither blank nor a comment and has two commas; a
+    line with fewer is preamble, since a data line has at least three cells.
     """
     lines = numbered_lines(spark, paths).where(~F.startswith(F.trim("line"), F.lit("#")) & (F.length(F.trim("line")) > 0))
     commas = F.length("line") - F.length(F.replace(F.col("line"), F.lit(","), F.lit("")))
-    headers = header_of_files(lines, commas >= 2)
+    lines = lines.where(commas >= 2)
+    headers = header_of_files(lines, F.lit(True))
     rows = pick_columns(lines, headers, columns, ",", ["Timestamp start", "Timestamp end"])
     return rows.select(
         turbine_of_file("Status").alias("turbine_id"), any_time("start_ts").alias("start_ts"), any_time("end_ts").alias("end_ts"),
