@@ -182,15 +182,15 @@ def a18(t: Tables) -> DataFrame:
     return out.select("tso", r("p1").alias("lo"), r("p99").alias("hi"))
 
 
-SIMS = """SELECT tso, s.sim, b.y, b.m, h.v AS energy_kwh FROM (SELECT tso, unnest(range(20)) AS sim FROM (SELECT DISTINCT tso FROM region_month)) s CROSS JOIN
-    (SELECT y, m FROM range(2026, 2031) AS a(y), range(1, 13) AS c(m)) b
+SIMS = """SELECT tso, s.sim, b.y, b.m, h.v AS energy_kwh FROM (SELECT tso, unnest(range(500)) AS sim FROM (SELECT DISTINCT tso FROM region_month)) s CROSS JOIN
+    (SELECT y, m FROM range(2026, 2046) AS a(y), range(1, 13) AS c(m)) b
     JOIN (SELECT tso, month(month) AS m, wind_mwh AS v, row_number() OVER (PARTITION BY tso, month(month) ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY tso, month(month)) AS n FROM region_month) h USING (tso, m)
     WHERE h.i = CAST('0x' || substr(md5('42|' || tso || '|' || s.sim || '|' || b.y || '|' || b.m), 1, 8) AS BIGINT) % h.n"""
 
 
 def simulated(t: Tables) -> DataFrame:
     hist = t.region_month().select("tso", F.year("month").alias("year"), F.month("month").alias("month"), F.col("wind_mwh").alias("energy_kwh"))
-    return simulate.bootstrap_by_month(hist, ["tso"], 20, 2026, 5, 42)
+    return simulate.bootstrap_by_month(hist, ["tso"], 500, 2026, 20, 42)
 
 
 @query("a19_quantile_bands", sql("SELECT tso, make_date(y, m, 1) AS ts, " + ", ".join(f"round(quantile_cont(energy_kwh, {p / 100}), 4) AS p{p}" for p in (10, 50, 90)) + " FROM sims GROUP BY ALL", "region_month", sims=SIMS))

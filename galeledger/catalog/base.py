@@ -152,8 +152,7 @@ class Tables:
     def curtailment_series(self) -> DataFrame:
         names = {"AFRICA": "50Hertz", "AMERICA": "TenneT", "ASIA": "Amprion", "EUROPE": "TransnetBW"}
         named = F.coalesce(*[F.when(F.col("tso") == k, F.lit(v)) for k, v in names.items()])
-        rows = self.tso_quarter().select(named.alias("tso"), "quarter", (F.col("cr") * 0.3).alias("cr_hat"))
-        return rows.where("tso IS NOT NULL")
+        return self.tso_quarter().select(F.coalesce(named, F.col("tso")).alias("tso"), "quarter", (F.col("cr") * 0.3).alias("cr_hat"))
 
     def strike_series(self) -> DataFrame:
         """Monthly strikes, known in the four auction months of a year only."""
@@ -228,8 +227,8 @@ CTE: dict[str, str] = {
     "capture_series": """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
         sum(l_extendedprice / l_quantity * l_quantity) / sum(l_quantity) / avg(l_extendedprice / l_quantity) AS cf_raw
         FROM lineitem GROUP BY ALL""",
-    "curtailment_series": """SELECT CASE tso WHEN 'AFRICA' THEN '50Hertz' WHEN 'AMERICA' THEN 'TenneT' WHEN 'ASIA' THEN 'Amprion' WHEN 'EUROPE' THEN 'TransnetBW' END AS tso,
-        quarter, cr * 0.3::DOUBLE AS cr_hat FROM tso_quarter WHERE tso IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')""",
+    "curtailment_series": """SELECT CASE tso WHEN 'AFRICA' THEN '50Hertz' WHEN 'AMERICA' THEN 'TenneT' WHEN 'ASIA' THEN 'Amprion' WHEN 'EUROPE' THEN 'TransnetBW' ELSE tso END AS tso,
+        quarter, cr * 0.3::DOUBLE AS cr_hat FROM tso_quarter""",
     "strike_series": """SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, avg(CASE WHEN month(l_shipdate) IN (1, 4, 7, 10) THEN l_extendedprice / l_quantity END) / 41 AS strike
         FROM lineitem GROUP BY ALL""",
 }

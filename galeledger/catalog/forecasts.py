@@ -11,7 +11,7 @@ from .aggregations import REPRESENTATIVE, SIMS, simulated
 from .base import GRID_STEP, Tables, query, r, rounded, sql
 from .models import ANCHOR, CF_FIT, FEATS, MONTHS_FROM, PRICE_FIT, ml_rows, price_model, tree_settings
 
-N = 36
+N = 240
 LAST = "SELECT tso, max(month) AS month, arg_max(z, month) AS z FROM zz GROUP BY tso"
 PRICE_PATH = """/*rec*/ SELECT tso, 0 AS k, month, z FROM lst UNION ALL
     SELECT p.tso, k + 1, CAST(p.month + INTERVAL 1 MONTH AS DATE), b_zl * p.z + a FROM path p JOIN f_b USING (tso) JOIN f_a ON f_a.tso = p.tso AND f_a.s = month(CAST(p.month + INTERVAL 1 MONTH AS DATE)) WHERE k < {n}"""
@@ -69,12 +69,12 @@ def f3(t: Tables) -> DataFrame:
 
 _PROJ = """SELECT l.tso, CAST(q AS DATE) AS quarter, lvl * coalesce(f, 1) * pow(1 + {g}, (year(q) * 4 + quarter(q) - mx) / 4) AS {v} FROM
     (SELECT tso, avg({v}) AS lvl FROM (SELECT * FROM tso_quarter QUALIFY row_number() OVER (PARTITION BY tso ORDER BY quarter DESC) <= 8) GROUP BY tso) l
-    CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2000-01-01', TIMESTAMP '2005-10-01', INTERVAL 3 MONTH)) AS q) h CROSS JOIN (SELECT max(year(quarter) * 4 + quarter(quarter)) AS mx FROM tso_quarter) x
+    CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '2000-01-01', TIMESTAMP '2046-10-01', INTERVAL 3 MONTH)) AS q) h CROSS JOIN (SELECT max(year(quarter) * 4 + quarter(quarter)) AS mx FROM tso_quarter) x
     LEFT JOIN (SELECT tso, s, m / avg(m) OVER (PARTITION BY tso) AS f FROM (SELECT tso, quarter(quarter) AS s, avg({v}) AS m FROM tso_quarter GROUP BY ALL)) p ON p.tso = l.tso AND p.s = quarter(q)"""
 
 
 def _span():
-    return F.lit("2000-01-01").cast("date"), F.lit("2005-10-01").cast("date")
+    return F.lit("2000-01-01").cast("date"), F.lit("2046-10-01").cast("date")
 
 
 @query("f4_seasonal_growth", sql("SELECT tso, quarter, round(wind_mwh, 2) AS wind_mwh FROM p", "tso_quarter", p=_PROJ.format(g="0.01::DOUBLE", v="wind_mwh")))
@@ -144,7 +144,7 @@ def f9(t: Tables) -> DataFrame:
     return out.select("tso", "quarter", r("wind_mwh", 2).alias("wind_mwh"), r("load_mwh", 2).alias("load_mwh"), r("S").alias("s"), r("cr_hat").alias("cr_hat"))
 
 
-PATHS, MONTHS_AHEAD = 10, 24
+PATHS, MONTHS_AHEAD = 500, 240
 _U = "((CAST('0x' || substr(md5('{seed}|' || tso || '|' || scenario || '|' || path || '|' || k || '|{kind}|{side}'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 _NORMAL = "sqrt(-2 * ln({u1})) * cos(2 * pi() * {u2})"
 
