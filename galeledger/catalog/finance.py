@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import aggregate
+from ..operators.timeline import month_horizon
 from ..plans import costs, finance, revenue
 from ..session import settle
 from .aggregations import DEVELOPMENT_SQL, _costs
@@ -101,13 +102,25 @@ def c6(t: Tables) -> DataFrame:
     return rounded(rounded(out, ["mwh_delivered"], 4), ["revenue_eur", "eeg_premium_eur"], 2)
 
 
-@query("c6_rejected_scenarios", sql("""SELECT scenario_id, 'production month missing' AS reject_reason, min(date) AS first_missing FROM (SELECT scenario_id, CAST(cod + INTERVAL (k) MONTH AS DATE) AS date FROM scenarios, range(60) AS h(k)) s
+@query("c6_rejected_scenarios", sql("""SELECT scenario_id, 'production month missing' AS reject_reason, min(date) AS first_missing FROM (SELECT scenario_id, CAST(cod + INTERVAL (k) MONTH AS DATE) AS date FROM scenarios, range(240) AS h(k)) s
     WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = scenario_id AND date_trunc('month', l_shipdate) = date) GROUP BY ALL""", "scenarios"))
 def c6c(t: Tables) -> DataFrame:
     production = t.lineitem.select(F.col("l_suppkey").alias("scenario_id"), F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("date"), F.col("l_quantity").alias("mwh"))
     production = production.groupBy("scenario_id", "date").agg(F.sum("mwh").alias("mwh"))
-    panel = settle(revenue.driver_panel(t.scenarios(), t.market_price(), t.capture_series(), t.curtailment_series(), t.strike_series(), 60), "panel")
-    return revenue.rejected_scenarios(t.scenarios(), production, panel, months=60)
+    panel = settle(revenue.driver_panel(t.scenarios(), t.market_price(), t.capture_series(), t.curtailment_series(), t.strike_series(), MONTHS), "panel")
+    return revenue.rejected_scenarios(t.scenarios(), production, panel, months=MONTHS)
+
+
+_MWH = "mwh_constant * (0.8::DOUBLE + 0.02::DOUBLE * month(date))"
+
+
+@query("c6_revenue_from_production", sql("""SELECT scenario_id, date, round(mwh, 4) AS mwh_gross_park, round(delivered, 4) AS mwh_delivered, round(revenue_eur, 2) AS revenue_eur, round(eeg_premium_eur, 2) AS eeg_premium_eur FROM rev""",
+    *NAMES, **{**PANEL, "rev": PANEL["rev"].replace("mwh_constant, cr, mwh_constant * (1 - cr)", f"{_MWH} AS mwh, cr, {_MWH} * (1 - cr)")}))
+def c6d(t: Tables) -> DataFrame:
+    months = month_horizon(t.scenarios().select("scenario_id", "cod", "mwh_constant"), "cod", MONTHS, "date")
+    production = months.select("scenario_id", "date", (F.col("mwh_constant") * (0.8 + 0.02 * F.month("date"))).alias("mwh"))
+    out = revenue.monthly_revenue(t.scenarios().drop("mwh_constant"), panel_of(t), production)
+    return rounded(rounded(out.select("scenario_id", "date", "mwh_gross_park", "mwh_delivered", "revenue_eur", "eeg_premium_eur"), ["mwh_gross_park", "mwh_delivered"], 4), ["revenue_eur", "eeg_premium_eur"], 2)
 
 
 @query("c7_cash_flow", sql("SELECT scenario_id, CAST(t AS INT) AS t, round(cf, 2) AS cf FROM cy", *NAMES, **FLOWS))
@@ -122,7 +135,10 @@ def c8(t: Tables) -> DataFrame:
 
 NPV_AT = "list_sum(list_transform(range(len(cfs)), lambda t: cfs[t + 1] / pow(1 + {r}, t)))"
 FALLBACK = {
-    "res": "SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY i DESC) = 1",
+    # With more than one change of sign the grid decides, whatever Newton found.
+    "last": "SELECT * FROM nw QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY i DESC) = 1",
+    "res": """SELECT * REPLACE (CASE WHEN s = 'ok' AND list_sum(list_transform(range(1, len(z)), lambda i: CASE WHEN sign(z[i]) <> sign(z[i + 1]) THEN 1 ELSE 0 END)) > 1 THEN 'several roots' ELSE s END AS s)
+        FROM (SELECT *, list_filter(cfs, lambda c: c <> 0) AS z FROM last)""",
     "gr": f"SELECT *, {NPV_AT.format(r='rt')} AS v FROM (SELECT scenario_id, cfs, k, pow(600.0::DOUBLE, k / 128) * 0.01::DOUBLE - 1 AS rt FROM res, range(129) AS h(k) WHERE s NOT IN ('ok', 'no sign change'))",
     "br": """SELECT scenario_id, cfs, lo, hi, vlo FROM (SELECT *, lag(rt) OVER w AS lo, rt AS hi, lag(v) OVER w AS vlo FROM gr WINDOW w AS (PARTITION BY scenario_id ORDER BY k))
         WHERE sign(vlo) * sign(v) <= 0 QUALIFY row_number() OVER (PARTITION BY scenario_id ORDER BY least(abs(lo), abs(hi))) = 1""",
