@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ BASE = 1.5  # counts in [1.5^(j-1), 1.5^j) share level j
 BITS_PER_ENTRY = 10
 HASHES = 5
 SEGMENT_BYTES = 256 << 20  # most bytes of filter broadcast at a time
-FLUSH = 4 << 20  # tokens whose n-grams are counted in memory before they are sent on
+FLUSH = 3 << 20  # tokens whose n-grams are counted in memory before they are sent on
 START_CLASS, CLASSES = 63, 64  # of contexts: 0 rare words, their count's level for frequent ones, text start
 _LOG_BASE = np.log(BASE)
 
@@ -269,13 +270,18 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         (F.col("hot_score") + F.coalesce("_s", F.lit(0.0))).alias("base_score"), "score")
 
 
-def _levels(tokens: list[bytes], counts: np.ndarray, sections: int, filter_: tuple) -> tuple[np.ndarray, np.ndarray]:
+def _levels(tokens: list[bytes], counts: np.ndarray, rare: np.ndarray, sections: int, filter_: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the words that are ``rare`` (0 for the others, whose counts are exact) and of all pairs."""
     h = WORD_HASHES.of(tokens)
-    out = []
-    for keys in (word_key(h), pair_key(neighbours(h, counts), h)):
-        unique, at = np.unique(keys, return_inverse=True)
-        out.append(levels_of(unique, sections, filter_)[at])
-    return out[0], out[1]
+    words = np.zeros(len(tokens), dtype=np.uint8)
+    words[rare] = levels_of(word_key(h[rare]), sections, filter_)
+    pairs, at = np.unique(pair_key(neighbours(h, counts), h), return_inverse=True)
+    return words, levels_of(pairs, sections, filter_)[at]
+
+
+def _exact(tokens: list[bytes], hot: dict[bytes, int]) -> np.ndarray:
+    """Counts of frequent words, -1 for others."""
+    return np.fromiter(map(hot.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
 
 
 def _merged(part: pa.RecordBatch, now: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -285,13 +291,14 @@ def _merged(part: pa.RecordBatch, now: tuple[np.ndarray, np.ndarray]) -> tuple[n
 
 
 def _prober(model: Model, filter_: Broadcast):
-    sections = model.n_sections
+    sections, hot = model.n_sections, model.hot
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
                 tokens, counts = tokenised(part.column("t").to_pylist())
-                words, pairs = _merged(part, _levels(tokens, counts, sections, filter_.value))
+                rare = _exact(tokens, hot.value) < 0
+                words, pairs = _merged(part, _levels(tokens, counts, rare, sections, filter_.value))
                 ends = np.cumsum(counts)
                 cut = lambda a: pa.array([a[e - n:e].tobytes() for e, n in zip(ends, counts)], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), cut(words), cut(pairs)], ["d", "t", "w", "p"])
@@ -306,11 +313,11 @@ def _scorer(model: Model, filter_: Broadcast):
         exact, row = hot.value, TaskContext.get().partitionId() << 40
         floor = np.log10(max(n + v + 1, 1))
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", 2 << 20):
                 tokens, counts = tokenised(part.column("t").to_pylist())
-                word, pair = _merged(part, _levels(tokens, counts, sections, filter_.value))
-                count = np.fromiter((exact.get(t, -1) for t in tokens), dtype=np.int64, count=len(tokens))
+                count = _exact(tokens, exact)
                 known, ends = count >= 0, np.cumsum(counts)
+                word, pair = _merged(part, _levels(tokens, counts, ~known, sections, filter_.value))
                 first = ends - counts
                 base = np.where(known, np.log10(np.maximum(count, 0) + 1.0) - floor, 0.0)
                 # the context of each token: its exact count if frequent, else the filter's; the text start has as many as texts
@@ -319,7 +326,7 @@ def _scorer(model: Model, filter_: Broadcast):
                 before, before_kind = np.empty(len(tokens)), np.empty(len(tokens), dtype=np.int64)
                 before[1:], before_kind[1:] = estimate[:-1], kind[:-1]
                 before[first], before_kind[first] = texts, START_CLASS
-                alone = (MEANS[word] + 1.0) / max(n + v + 1, 1)
+                alone = (estimate + 1.0) / max(n + v + 1, 1)
                 seen = np.minimum(MEANS[pair], before)
                 mixed_p = np.where(before > 0, np.maximum(seen - discount, 0) / np.maximum(before, 1) + rest[before_kind] * alone, alone)
                 logs = np.log10(np.maximum(mixed_p, 1e-300))
