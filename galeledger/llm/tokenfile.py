@@ -67,17 +67,18 @@ def packed(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of every value, least significant first."""
     if not width:
         return b""
-    bits = np.unpackbits(np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    kind, size = ("<u2", 2) if width <= 16 else ("<u4", 4)
+    bits = np.unpackbits(values.astype(kind).view(np.uint8).reshape(-1, size), axis=1, bitorder="little")[:, :width]
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def unpacked(data: bytes, n: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(n, dtype=np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little", count=n * width).reshape(n, width)
-    whole = np.zeros((n, 32), dtype=np.uint8)
-    whole[:, :width] = bits
-    return np.packbits(whole, axis=1, bitorder="little").view("<u4").ravel()
+    kind, size = ("<u2", 16) if width <= 16 else ("<u4", 32)
+    whole = np.zeros((n, size), dtype=np.uint8)
+    whole[:, :width] = np.unpackbits(np.frombuffer(data, dtype=np.uint8), bitorder="little", count=n * width).reshape(n, width)
+    return np.packbits(whole, bitorder="little").view(kind).astype(np.uint32)
 
 
 def encode_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
