@@ -24,10 +24,20 @@ def standard_grid(df: DataFrame) -> DataFrame:
     return df.select(*AXES, *[null_if_nan(F.col(v).cast("double")).alias(v) for v in known])
 
 
-def read_grid(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Many monthly files as one logical grid."""
+def read_grid(spark: SparkSession, paths: str | Sequence[str], start: str | None = None, end: str | None = None) -> DataFrame:
+    """Many monthly files as one logical grid, from ``start`` up to before ``end`` (ISO dates) where given.
+
+    Files written by :func:`write_grid` are pruned to the months of the span.
+    """
     listed = [paths] if isinstance(paths, str) else list(paths)
-    return standard_grid(spark.read.option("mergeSchema", True).parquet(*listed))
+    raw = spark.read.option("mergeSchema", True).parquet(*listed)
+    if "ym" in raw.columns:
+        month = F.col("ym").cast("string")
+        raw = raw.where(month >= start[:7]) if start else raw
+        raw = raw.where(month <= end[:7]) if end else raw
+    grid = standard_grid(raw)
+    grid = grid.where(F.col("time") >= F.lit(start).cast("timestamp_ntz")) if start else grid
+    return grid.where(F.col("time") < F.lit(end).cast("timestamp_ntz")) if end else grid
 
 
 def write_grid(df: DataFrame, path: str) -> None:
@@ -36,13 +46,21 @@ def write_grid(df: DataFrame, path: str) -> None:
 
 
 def combine_grids(main: DataFrame, *others: DataFrame) -> DataFrame:
-    """Outer join on the axes; a variable present on both sides is taken from the first."""
-    out = standard_grid(main)
+    """Outer join on the axes; a variable present on both sides is taken from the first.
+
+    Nodes meet by their coordinates in ten-thousandths of a degree, so single- and double-precision
+    files of one grid agree; the first side's coordinates are kept.
+    """
+    scaled = lambda c: F.round(F.col(c).cast("double") * 10_000).cast("long")
+    nodes = {"_lat": scaled("latitude"), "_lon": scaled("longitude")}
+    out = standard_grid(main).withColumns(nodes)
     for o in others:
-        o = standard_grid(o)
+        o = standard_grid(o).withColumns(nodes)
         extra = [c for c in o.columns if c not in out.columns]
-        out = out.join(o.select(*AXES, *extra), AXES, "full_outer")
-    return out
+        renamed = o.select("time", "_lat", "_lon", F.col("latitude").alias("_latitude"), F.col("longitude").alias("_longitude"), *extra)
+        out = out.join(renamed, ["time", "_lat", "_lon"], "full_outer").withColumns(
+            {"latitude": F.coalesce("latitude", "_latitude"), "longitude": F.coalesce("longitude", "_longitude")}).drop("_latitude", "_longitude")
+    return out.drop("_lat", "_lon").select(*AXES, *[c for c in out.columns if c not in (*AXES, "_lat", "_lon")])
 
 
 def indexed_grid(df: DataFrame, step: float) -> DataFrame:

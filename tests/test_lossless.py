@@ -112,3 +112,23 @@ def test_unique_names_never_repeat():
     assert unique_names(["a", "a", "b"]) == ["a", "a.1", "b"]
     assert unique_names(["a", "a", "a.1"]) == ["a", "a.2", "a.1"]
     assert unique_names([]) == []
+
+
+def test_grid_reader_prunes_months(spark, tmp_path):
+    from galeledger.sources import climate
+    rows = [(dt.datetime(2020, m, d), 50.0, 10.0, 1.0 * m) for m in range(1, 7) for d in (1, 15)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, latitude double, longitude double, u10 double")
+    climate.write_grid(df, str(tmp_path / "g"))
+    part = climate.read_grid(spark, str(tmp_path / "g"), "2020-02-10", "2020-04-01")
+    assert sorted((r.time.month, r.time.day) for r in part.collect()) == [(2, 15), (3, 1), (3, 15)]
+    assert len(part.inputFiles()) >= 1 and "ym" in part._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:200]
+    assert climate.read_grid(spark, str(tmp_path / "g")).count() == 12
+
+
+def test_grids_of_two_precisions_meet(spark):
+    from galeledger.sources import climate
+    at = dt.datetime(2020, 1, 1)
+    main = spark.createDataFrame([(at, 50.1, 10.3, 1.0)], "time timestamp_ntz, latitude double, longitude double, u10 double")
+    other = spark.createDataFrame([(at, 50.1, 10.3, 2.0), (at, 50.2, 10.3, 3.0)], "time timestamp_ntz, latitude float, longitude float, d2m double")
+    got = sorted((round(r.latitude, 4), r.u10, r.d2m) for r in climate.combine_grids(main, other).collect())
+    assert got == [(50.1, 1.0, 2.0), (50.2, None, 3.0)]
