@@ -278,13 +278,15 @@ def m19(t: Tables) -> DataFrame:
 
 
 @query("m20_dataset_validation", """SELECT turbine_id, count(*) AS rows, round(avg(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END), 6) AS valid_fraction, min(ts) AS time_start, max(ts) AS time_end,
-    CASE WHEN turbine_id = 'T1' THEN 'negative energy' ELSE '' END AS errors, round(avg(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END), 6) AS max_missing_fraction
-    FROM (SELECT *, 'T' || (user_id % 10) AS turbine_id FROM events) GROUP BY ALL""")
+    concat_ws(';', CASE WHEN turbine_id = 'T1' THEN 'negative energy' END, CASE WHEN bool_or(user_id % 3 = 0 AND user_id % 11 = 0) THEN 'non-finite log target in a valid row' END,
+    CASE WHEN turbine_id = 'T2' THEN 'missing turbine metadata' END) AS errors, round(avg(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END), 6) AS max_missing_fraction
+    FROM (SELECT *, 'T' || (user_id % 10) AS turbine_id FROM events) GROUP BY turbine_id""")
 def m20(t: Tables) -> DataFrame:
     c = F.col
     rows = t.events.withColumn("turbine_id", F.concat(F.lit("T"), (c("user_id") % 10).cast("string"))).select(
         "turbine_id", "ts", F.when(c("turbine_id") == "T1", -c("value") - 1).otherwise(c("value")).alias("energy_kwh"), c("value").alias("expected_energy_kwh"),
-        F.lit(1.0).alias("target_correction_factor"), (c("user_id") % 3 == 0).alias("target_is_valid"), F.lit(2000.0).alias("rated_power_kw"),
+        F.lit(1.0).alias("target_correction_factor"), F.when(c("user_id") % 11 != 0, 0.0).alias("target_log_correction_factor"), (c("user_id") % 3 == 0).alias("target_is_valid"),
+        F.lit(2000.0).alias("rated_power_kw"), F.lit("s").alias("site_id"), F.lit(100.0).alias("hub_height_m"), F.when(c("turbine_id") != "T2", "x").alias("turbine_type"),
         F.when(c("event_type") != "error", c("value")).alias("era5_ws_hub"), *[c("value").alias(x) for x in checks.CLIMATE_REQUIRED[1:]],
     )
     out = checks.validate_dataset(rows)

@@ -55,12 +55,6 @@ def project_year(c, cod) -> Column:
     return (F.floor(months_between_starts(c, cod) / 12) + 1).cast("int")
 
 
-def month_sequence(start, n) -> Column:
-    """Array of ``n`` month starts beginning at ``start``."""
-    n = n if isinstance(n, Column) else F.lit(int(n))
-    return F.sequence(as_col(start), F.add_months(as_col(start), n - 1), F.expr("interval 1 month"))
-
-
 def micros(c) -> Column:
     """Microseconds since the epoch (UTC) for any date or timestamp type."""
     return F.unix_micros(as_col(c).cast("timestamp"))

@@ -114,9 +114,6 @@ def net_export(df: DataFrame, net: str | None, exports: Sequence[str], imports:
 
 # --- telemetry ---------------------------------------------------------------
 
-STATIC_COLUMNS = ["lat", "lon", "hub_height_m", "rated_power_kw", "rotor_diameter_m", "specific_power_wpm2", "turbine_type"]
-
-
 def hourly_measures(static: Sequence[str] = ()) -> list[Column]:
     """Shared by the batch and the streaming roll-up: ten-minute rows to one hour."""
     return [

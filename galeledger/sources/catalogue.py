@@ -66,11 +66,3 @@ def tso_table(spark: SparkSession) -> DataFrame:
 
 def archetype_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ARCHETYPES, "turbine_type_id int, turbine_type string, p_mw double, rotor_diameter_m double")
-
-
-def opex_rate_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(OPEX_RATES, "from_year int, eur_per_kw_year double")
-
-
-def scenario_table(spark: SparkSession, rates: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame(list(rates.items()), "scenario string, rate double")

@@ -25,7 +25,6 @@ PRICE_NEW = "Germany/Luxembourg [€/MWh] Calculated resolutions"
 PRICE_SWITCH = "2018-10-01"
 WIND_VALUE = "Wind onshore [MWh] Calculated resolutions"
 LOAD_VALUE = "grid load [MWh] Calculated resolutions"
-NET_EXPORT = "Net export [MWh] Calculated resolutions"
 REPORT_ROW = r"(?i)^MW\s+Wind\s+(Onshore|an\s+Land)$"
 # Grid operators and the file-name part that identifies each.
 TSO_IN_NAME = {"tennet": "TenneT", "amprion": "Amprion", "50hertz": "50Hertz", "transnet": "TransnetBW"}

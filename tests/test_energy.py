@@ -108,7 +108,7 @@ def test_cadence_classes(spark):
 
 
 def test_validation_report(spark):
-    base = dict(energy_kwh=10.0, expected_energy_kwh=20.0, target_correction_factor=0.5, target_is_valid=True, rated_power_kw=100.0)
+    base = dict(energy_kwh=10.0, expected_energy_kwh=20.0, target_correction_factor=0.5, target_is_valid=True, rated_power_kw=100.0, target_log_correction_factor=-0.7, site_id="s", hub_height_m=90.0, turbine_type="x")
     df = spark.range(40).select(
         F.when(F.col("id") < 20, "good").otherwise("bad").alias("turbine_id"), (F.lit(T0) + F.make_interval(hours=F.col("id") % 20)).cast("timestamp_ntz").alias("ts"),
         *[F.lit(v).alias(k) for k, v in base.items()], *[F.lit(5.0).alias(c) for c in checks.CLIMATE_REQUIRED],
@@ -122,8 +122,12 @@ def test_validation_report(spark):
     assert got["good"]["errors"] == [] and got["good"]["warnings"] == ["almost all rows valid"] and got["good"]["rows"] == 20
     assert got["bad"]["errors"] == ["negative energy", "non-finite correction factor"]
     assert got["bad"]["warnings"] == ["energy over rated", "wind over 40 m/s", "few valid rows", "climate gaps"]
-    with pytest.raises(ValueError):
-        checks.validate_dataset(df.drop("era5_ws_hub"))
+    worse = df.withColumns({"target_log_correction_factor": F.lit(float("nan")), "site_id": F.when(bad, "s")})
+    more = {r["turbine_id"]: r["errors"] for r in checks.validate_dataset(worse).collect()}
+    assert more["good"] == ["non-finite log target in a valid row", "missing turbine metadata"] and "non-finite log target in a valid row" in more["bad"]
+    for name in ("era5_ws_hub", "hub_height_m"):
+        with pytest.raises(ValueError):
+            checks.validate_dataset(df.drop(name))
 
 
 def test_learned_correction_and_folds(spark, tmp_path):
