@@ -18,7 +18,7 @@ from .common import parts, ready, slices
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 RANK = 64  # latent dimensions
 HALF = 16  # a window has two halves of this many words
-COSINE = 0.4  # least cosine of a candidate
+COSINE = 0.55  # least cosine of a candidate
 SHARE, SHARE_WITH_ANSWER = 0.8, 0.6  # least part of an item's words in common order
 BLOCK_WORDS = 1 << 17  # most words of the items that are searched in one pass
 
@@ -182,7 +182,8 @@ class Finder:
 
     def __init__(self, items: Items, cosine: float = COSINE):
         self.items, self.cosine = items, cosine
-        self.masks = []
+        self.masks, self.bags = [], [frozenset(words) for words in items.words]
+        self.longest = max(map(len, items.words))
         for words in items.words:
             own: dict[int, int] = {}
             for i, w in enumerate(words):
@@ -228,9 +229,16 @@ class Finder:
         numbers = np.fromiter(map(self.items.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         counts = np.diff(stops, prepend=0)
         best: dict[tuple[int, int], tuple] = {}
+        around, place = frozenset(), None
         for t, start, item, cosine in zip(*(a.tolist() for a in self.candidates(numbers, counts))):
             own, n = self.items.words[item], len(self.items.words[item])
             begin = int(stops[t] - counts[t])
+            if place != (t, start):
+                place = t, start
+                around = frozenset(numbers[begin + max(0, start - self.longest):begin + min(int(counts[t]), start + 2 * HALF + self.longest)].tolist())
+            bag = self.bags[item]
+            if len(bag) - len(bag & around) > (1 - SHARE_WITH_ANSWER) * n:  # more words are missing than may be
+                continue
             lo, hi = begin + max(0, start - n), begin + min(int(counts[t]), start + 2 * HALF + n)
             region = numbers[lo:hi].tolist()
             most = common_length(self.masks[item], n, region)
