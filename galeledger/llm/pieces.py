@@ -27,7 +27,7 @@ class Transducer:
     piece); the tropical shortest path to the end is the encoding.
     """
 
-    def __init__(self, path: str, most_pairs: int = 1 << 19):
+    def __init__(self, path: str, most_pairs: int = 1 << 17):
         import sentencepiece
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
@@ -36,8 +36,10 @@ class Transducer:
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
+        self.made = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}  # the others no merge ends in
         self.apart: dict[tuple[str, str], bool] = {}
         self.most_pairs = most_pairs
+        self.spines: dict[tuple[str, bool], list[tuple[str, float, float]]] = {}
         self.spelled = [b""] * n
         for piece, i in self.ids.items():
             self.spelled[i] = piece.replace(SPACE, " ").encode()
@@ -50,10 +52,10 @@ class Transducer:
         """Identity but for the space marks: one in front, one for every space."""
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str, down_to: int = 1) -> list[str]:
         """The model's merges on a short string: the pair with the best-scored union first, leftmost on ties."""
         parts = list(text)
-        while len(parts) > 1:
+        while len(parts) > down_to:
             best, at = None, -1
             for i in range(len(parts) - 1):
                 score = self.scores.get(parts[i] + parts[i + 1])
@@ -64,43 +66,61 @@ class Transducer:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def spine(self, piece: str, right: bool) -> list[tuple[str, float, float]]:
+        """The parts at one edge of a piece while it is being merged: part, rank of the merge that makes it, rank of the one that takes it in."""
+        key = piece, right
+        if key not in self.spines:
+            out, until, part = [], float("inf"), piece
+            while True:
+                made = -self.scores[part] if len(part) > 1 else float("-inf")
+                out.append((part, made, until))
+                if len(part) == 1:
+                    break
+                until, part = made, self.merged(part, 2)[right]
+            self.spines[key] = out
+        return self.spines[key]
+
     def arc(self, a: str, b: str) -> bool:
-        """Whether b may follow a: the merges on their union end in just these two."""
+        """Whether b may follow a: when the two meet, no part at the end of a and part at the start of b that exist at the same time have a
+        union that is merged before either is taken in. Of equal merges the left one comes first."""
         ok = self.apart.get((a, b))
         if ok is None:
             if len(self.apart) > self.most_pairs:
                 self.apart.clear()
-            ok = self.apart[a, b] = self.merged(a + b) == [a, b]
+            scores, ok = self.scores, True
+            for x, x_made, x_until in self.spine(a, True):
+                for y, y_made, y_until in self.spine(b, False):
+                    if x_made < y_until and y_made < x_until:
+                        score = scores.get(x + y)
+                        if score is not None and -score < x_until and -score <= y_until:
+                            ok = False
+            self.apart[a, b] = ok
         return ok
 
     def path(self, chunk: str) -> list[int]:
-        """Ids on the shortest path through the transducer composed with one chunk."""
+        """Ids on the shortest path through the transducer composed with one chunk.
+
+        Merges are deterministic, so every place is reached by one arc of finite weight at most and the first found is the shortest path there.
+        """
         if chunk.startswith(SPACE * 2):
             # pieces of space marks alone have one common score: the order of merges decides, not a weight
             return self.written(self.merged(chunk))
-        n, scores, longest = len(chunk), self.scores, self.longest
-        last: list[dict[str, tuple[float, int, str]]] = [{"": (0.0, 0, "")}] + [{} for _ in range(n)]
+        n, made, longest, arc = len(chunk), self.made, self.longest, self.arc
+        last: list[str | None] = [""] + [None] * n
         for stop in range(1, n + 1):
             for start in range(max(0, stop - longest), stop):
-                if not last[start]:
-                    continue
-                piece = chunk[start:stop]
-                score = scores.get(piece)
-                if score is None:
-                    if stop - start > 1:
-                        continue
-                    score = 0.0
-                for before, (weight, _, _) in last[start].items():
-                    if not before or self.arc(before, piece):
-                        if piece not in last[stop] or weight - score < last[stop][piece][0]:
-                            last[stop][piece] = (weight - score, start, before)
-        if not last[n]:
+                before = last[start]
+                if before is not None:
+                    piece = chunk[start:stop]
+                    if (piece in made or stop - start == 1) and (not before or arc(before, piece)):
+                        last[stop] = piece
+                        break
+        if last[n] is None:
             return self.written(self.merged(chunk))
-        piece, at, found = min(last[n], key=lambda p: last[n][p][0]), n, []
-        while piece:
-            found.append(piece)
-            _, start, before = last[at][piece]
-            piece, at = before, start
+        at, found = n, []
+        while at:
+            found.append(last[at])
+            at -= len(last[at])
         return self.written(found[::-1])
 
     def written(self, pieces: list[str]) -> list[int]:
