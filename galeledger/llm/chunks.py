@@ -9,7 +9,7 @@ import numpy as np
 
 
 class Chunks(dict):
-    """Ids of text chunks, kept for the next batch; forgotten at ``most`` chunks.
+    """Ids of text chunks, kept for the next batch; beyond ``most`` chunks the rarely used ones are forgotten.
 
     ``pattern`` must cut a text only where its encoding cannot depend on the other side; ``encode`` gets distinct
     chunks and returns their id lists. ``end`` is an id put after every text, if given.
@@ -18,18 +18,28 @@ class Chunks(dict):
     def __init__(self, pattern: str, encode: Callable[[list[str]], list[list[int]]], end: int | None = None, most: int = 400_000):
         super().__init__()
         self.find, self.encode_chunks, self.end, self.most = re.compile(pattern).findall, encode, end, most
-        self.forget()
+        self._start()
 
-    def forget(self) -> None:
+    def _start(self) -> None:
         self.clear()
         self.new: list[str] = []
         self.flat = np.empty(1 << 20, dtype=np.uint32)
-        self.begin, self.count = np.empty(1 << 16, dtype=np.int64), np.empty(1 << 16, dtype=np.int64)
+        self.begin, self.count, self.uses = (np.zeros(1 << 16, dtype=np.int64) for _ in range(3))
         self.known = self.used = 0
         if self.end is not None:
             self[None] = 0
             self._keep([[self.end]])
 
+    def forget(self) -> None:
+        """Keep the half of the chunks that was used most, and of it those used more than once."""
+        floor = max(2, int(np.partition(self.uses[:self.known], self.known // 2)[self.known // 2]) + 1)
+        kept = [(c, at) for c, at in self.items() if c is not None and self.uses[at] >= floor]
+        ids = [self.flat[self.begin[at]:self.begin[at] + self.count[at]].tolist() for _, at in kept]
+        self._start()
+        for c, _ in kept:
+            self[c] = len(self)
+        self._keep(ids)
+
     def __missing__(self, chunk: str) -> int:
         self.new.append(chunk)
         at = self[chunk] = len(self)
@@ -41,7 +51,7 @@ class Chunks(dict):
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while self.known + len(ids) > len(self.begin):
-            self.begin, self.count = (np.concatenate([a, np.empty_like(a)]) for a in (self.begin, self.count))
+            self.begin, self.count, self.uses = (np.concatenate([a, np.zeros_like(a)]) for a in (self.begin, self.count, self.uses))
         self.flat[self.used:self.used + total] = np.fromiter((i for one in ids for i in one), dtype=np.uint32, count=total)
         self.begin[self.known:self.known + len(ids)] = self.used + np.cumsum(size) - size
         self.count[self.known:self.known + len(ids)] = size
@@ -63,6 +73,7 @@ class Chunks(dict):
         if self.new:
             self._keep(self.encode_chunks(self.new))
             self.new = []
+        self.uses[:self.known] += np.bincount(at, minlength=self.known)
         size = self.count[at]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.begin[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]

@@ -50,7 +50,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
 class WordHashes(dict):
     """XXH64 of words; forgets everything at ``most`` words."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = 1 << 18):
         super().__init__()
         self.most = most
 
