@@ -71,7 +71,8 @@ def linked(rows: DataFrame, keys: list[str], columns: list[str], links: Callable
     """
     spark = rows.sparkSession
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    cut = rows.join(n, keys).withColumn("_c", F.ceil(F.col("_n") / block)).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_c")))
+    # The planner cannot know how many rows a Python step emits; without the hint it may broadcast them.
+    cut = rows.hint("merge").join(n, keys).withColumn("_c", F.ceil(F.col("_n") / block)).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_c")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - 1)).alias("_o")
     dealt = cut.select(*keys, *rows.drop(*keys).columns, "_b", other).withColumns({"_i": F.least("_b", "_o"), "_j": F.greatest("_b", "_o")})
     dealt = dealt.withColumn("_u", F.xxhash64(*keys, "_i", "_j"))
