@@ -12,7 +12,7 @@ import corpus_pipeline
 from galeledger.llm.decontaminate import words_of
 from galeledger.llm.quality import BOILERPLATE, TERMINAL
 from galeledger.session import settle
-from test_quality import counted
+from .test_quality import counted
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,7 +88,7 @@ def test_decontamination(run, spark):
 
 
 def test_secrets(run):
-    from test_secrets import ASSIGN
+    from .test_secrets import ASSIGN
     _, (_, _, _, before, after, _) = run
     assert set(before) == set(after)
     for i, r in after.items():
