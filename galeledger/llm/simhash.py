@@ -12,15 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .common import WORD_HASHES, ready, shingle_hashes, slices
+from .common import WORD_HASHES, ready, shingle_hashes, signed, slices
 from .graph import components, linked
-from .paragraphs import alike
+from .paragraphs import alike, buckets, tuned
 
 BITS = 64
 # Estimated cost of sending one probe, in candidates verified.
 PROBE_COST = 4.0
 # Cells per part in the histogram of part values that candidate counts are estimated from.
 HISTOGRAM_BITS = 14
+# Most hashes of a signature in the search for near-duplicates.
+NEAR_HASHES = 64
 
 
 def hashes(body: bytes, words: int, distinct: bool) -> np.ndarray:
@@ -231,46 +233,40 @@ def _smallest(own: DataFrame, edges: DataFrame) -> DataFrame:
     return settle(own.join(linked_fps, "fp", "left").select("fp", F.coalesce("_all", "_least").alias("component_id")), "components")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 5, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when of each group of near-duplicates only the first does.
 
-    Fingerprints here are of the distinct words, which a few edits hardly move; texts whose fingerprints are joined by chains of ``radius`` or fewer
-    bits are candidates, and those with such fingerprints and a Jaccard similarity of ``similarity`` or more on ``shingle``-word shingles are linked.
+    Texts are linked where the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, by nothing else. MinHash
+    bands find the candidates: a pair at the threshold is among them with a probability of ``recall``, a closer one with a higher one.
     Of each connected group the row with the smallest doc_id stays (nulls last, ties by a hash of the text); of rows alike in id and text, one. Texts
     without words are alike.
     """
     spark = ready(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    bands, rows_each = tuned(similarity, recall, NEAR_HASHES)
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                fps, sets = [], []
-                for body in part.column("t").to_pylist():
-                    fps.append(majority(hashes(body or b"", 1, True)))
-                    words = WORD_HASHES.of((body or b"").lower().split())
-                    h, _ = shingle_hashes(words, np.array([0]), np.array([len(words)]), shingle)
-                    sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("th"), pa.array(fps, type=pa.int64()), pa.array(sets, type=pa.binary())], ["d", "th", "fp", "shingles"])
+                found = [(body or b"").lower().split() for body in part.column("t").to_pylist()]
+                size = np.array([len(x) for x in found])
+                h, n = shingle_hashes(WORD_HASHES.of([w for x in found for w in x]), np.cumsum(size) - size, size, shingle)
+                ends = np.cumsum(n)
+                sets = [np.unique((h[e - k:e] >> np.uint64(32)).astype(np.uint32)).tobytes() for e, k in zip(ends.tolist(), n.tolist())]
+                keys = np.zeros((len(n), bands), dtype=np.uint64)  # texts without words meet in one bucket
+                if len(h):
+                    keys[n > 0] = buckets(h, n[n > 0], bands, rows_each)
+                yield pa.RecordBatch.from_arrays([
+                    part.column("d"), part.column("th"), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), type=pa.int32()), signed(keys.ravel())),
+                    pa.array(sets, type=pa.binary())], ["d", "th", "buckets", "shingles"])
 
     rows = settle(docs.select(F.col(doc_id).alias("d"), text_hash.alias("th"), F.col(text).cast("binary").alias("t")).mapInArrow(
-        described, f"d {kind}, th long, fp long, shingles binary"), "described")
-    texts = settle(rows.groupBy("th").agg(F.max("fp").alias("fp"), F.min("d").alias("first"), F.count(F.lit(1)).alias("n")), "texts")
-    fps = settle(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "distinct")
-    chains = components(near_fingerprints(fps, radius))
-    of_fp = fps.join(chains, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("chain"))
-    candidates = texts.join(of_fp, "fp").select("chain", "fp", F.col("th").alias("id"))
-    jaccard = alike(similarity)
-
-    def links(ids: np.ndarray, columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
-        fp = columns[0].to_numpy().view(np.uint64)
-        close = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= radius
-        x, y = jaccard(ids, columns[1:])
-        ok = close[x, y]
-        return x[ok], y[ok]
-
-    edges = linked(candidates, ["chain"], ["fp", "shingles"], links, block=128, more=rows.groupBy("th").agg(F.max("shingles").alias("shingles")).withColumnRenamed("th", "id"))
+        described, f"d {kind}, th long, buckets array<long>, shingles binary"), "described")
+    texts = settle(rows.groupBy("th").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n")), "texts")
+    candidates = rows.select(F.explode("buckets").alias("bucket"), F.col("th").alias("id")).distinct()
+    sets = rows.groupBy("th").agg(F.max("shingles").alias("shingles")).withColumnRenamed("th", "id")
+    edges = linked(candidates, ["bucket"], ["shingles"], alike(similarity), block=128, more=sets)
     grouped = texts.join(components(edges), F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))
     # min_by passes over null ids only where there are none else
     stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "th")).alias("best")).select("best.first", "best.th")
