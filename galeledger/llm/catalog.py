@@ -56,7 +56,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+    return paragraphs.repeated_anywhere(table(spark, sf_dir, "documents"))
 
 
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Repeated paragraphs by MinHash banding, verified by exact Jaccard similarity, one class per component."""
+"""Repeated paragraphs by MinHash banding, verified by exact Jaccard similarity, one class per component; passages of other bounds beside them."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import settle
 from .common import WORD_HASHES, mixed, ready, shingle_hashes, slices
 from .graph import components, linked
+from .passages import passages
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -140,3 +141,20 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
     out = found.drop("buckets", "shingles").join(named, "h")
     first = F.col(doc_id).eqNullSafe(F.col("class.doc")) & (F.col("para") == F.col("class.para"))
     return out.select(doc_id, "para", "start", "end", "n_words", F.col("class.doc").alias("class_doc"), F.col("class.para").alias("class_para"), "class_size", (~first).alias("removed"))
+
+
+def repeated_anywhere(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``repeated`` and, with ``unit`` "passage" for "line", the ``passages`` that whole lines do not hold: (doc_id, para, start, end, n_words,
+    class_doc, class_para, class_size, removed, unit, class_start). A class of passages is left out if all its places lie in lines of one class."""
+    lines = settle(repeated(docs, doc_id, text), "lines")
+    found = settle(passages(docs, doc_id, text), "passages")
+    key = ["class_doc", "class_para", "class_start"]
+    inside = lines.select(F.col(doc_id).alias("_d"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.struct("class_doc", "class_para").alias("_c"))
+    held = found.join(inside, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")), "left")
+    known = held.groupBy(*key).agg(F.bool_and(F.col("_c").isNotNull()).alias("all"), F.min("_c").alias("low"), F.max("_c").alias("high")).where("all and low = high")
+    known = known.select(*(F.col(k).alias(f"_{k}") for k in key))
+    other = found.join(known, F.col("class_doc").eqNullSafe(F.col("_class_doc")) & (F.col("class_para") == F.col("_class_para")) & (F.col("class_start") == F.col("_class_start")), "left_anti")
+    first = lines.where("not removed").select(F.col("class_doc").alias("_d"), F.col("class_para").alias("_p"), F.col("start").alias("class_start")).dropDuplicates(["_d", "_p"])
+    named = lines.join(first, F.col("class_doc").eqNullSafe(F.col("_d")) & (F.col("class_para") == F.col("_p")), "left").drop("_d", "_p").withColumn("unit", F.lit("line"))
+    return named.unionByName(other.withColumn("unit", F.lit("passage"))).select(
+        doc_id, "para", "start", "end", "n_words", "class_doc", "class_para", "class_size", "removed", "unit", "class_start")
