@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, lm, pages, paragraphs, pieces, simhash, tokenfile, urls, whitening
+from . import decontaminate, lm, pages, paragraphs, pieces, simhash, suffixes, tokenfile, tries, urls, whitening
 from .common import table
 from .quality import quality
 from .secrets import secrets, shown
@@ -63,13 +63,21 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = whitening.whitened(table(spark, sf_dir, "embeddings"))
     return out.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_lm_scores, op2_quality_rules, op3_simhash_near_dedup, op4_decontamination, op5_url_filter, op6_sentence_pieces, op7_secret_scan, op8_token_files,
-    op9_paragraph_dedup, op10_page_text, op12_embedding_whitening)}
+    op9_paragraph_dedup, op10_page_text, op11_conversation_trie, op12_embedding_whitening, op13_suffix_dedup)}
 # No SQL twins: hash functions, splits by code point classes and models have no equal in DuckDB. tests/llm holds every query against a brute-force version.
 ORACLES: dict[str, str] = {}
