@@ -27,6 +27,15 @@ def local_session(cores: int | str = 8, memory: str = "12g", app: str = "galeled
     return spark
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package even where it is not installed."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

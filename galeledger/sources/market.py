@@ -16,6 +16,7 @@ from ..functions.parse import (
 )
 from ..operators.checks import require_columns
 from ..operators.ordered import keep_last
+from .headed import read_headed, readable
 from .lines import ROW_ORDER, header_of_files, numbered_lines, pick_columns
 
 START = "Start date"
@@ -35,6 +36,8 @@ def read_export(spark: SparkSession, paths: str | Sequence[str], columns: Sequen
 
     A file that lacks a non-required column has NULL there (labels change over the years).
     """
+    if readable([paths] if isinstance(paths, str) else paths):
+        return read_headed(spark, paths, {c: c for c in columns}, sep, "first", required)
     lines = numbered_lines(spark, paths).where(F.length(F.trim("line")) > 0)
     headers = header_of_files(lines, F.col("source_block") == 0)
     return pick_columns(lines, headers, {c: c for c in columns}, sep, required)
