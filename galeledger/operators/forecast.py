@@ -1,5 +1,5 @@
-"""Deterministic forecasts. A recursion along one series' horizon is a fold over an
-array inside that series' row; series are what scales out.
+"""Deterministic forecasts. A recursion along one series' horizon stays inside that series' row,
+as an array; series are what scales out.
 
 Fits read a monthly table several times. Such a table holds at most one row per series
 and month, so it is settled first: the raw data behind it is scanned once.
@@ -10,9 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import settle
+from ..session import importable, settle
 from ..functions.calendar import month_index, months_between_starts
 from ..functions.expr import as_col, clip
 from .aggregate import seasonal_profile
@@ -29,16 +31,41 @@ def drift(month, anchor, mu0, growth, offset=0.0) -> Column:
     return mu0 + months_between_starts(month, anchor) / 12.0 * rate + F.lit(float(offset))
 
 
-def ar_path(start, phi, inputs) -> Column:
-    """z_t = phi * z_(t-1) + inputs_t as an array, one fold per row."""
-    start, phi, inputs = as_col(start).cast("double"), as_col(phi), as_col(inputs)
-    state = F.struct(start.alias("z"), F.array().cast("array<double>").alias("path"))
+def _recursions(start: pa.Array, phi: pa.Array, inputs: pa.Array) -> pa.Array:
+    """Paths of one batch. Steps are affine maps z -> phi * z + u, which compose; doubling the stretch that a map stands for
+    gives all of them in log2(steps) passes over a matrix with paths as rows."""
+    known = ~inputs.is_null().to_numpy(zero_copy_only=False)
+    inputs = inputs.fill_null([]) if not known.all() else inputs
+    size = np.diff(inputs.offsets.to_numpy())
+    values = inputs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    z0, rate = (x.cast(pa.float64()).to_numpy(zero_copy_only=False) for x in (start, phi))
+    out = np.empty_like(values)
+    for n in np.unique(size[size > 0]).tolist():
+        rows = np.flatnonzero(size == n)
+        cells = at[rows][:, None] + np.arange(n)
+        z = values[cells]
+        power = rate[rows][:, None]
+        z[:, :1] += power * z0[rows][:, None]
+        reach = 1
+        while reach < n:
+            z[:, reach:] += power * z[:, :-reach]
+            power = power * power
+            reach *= 2
+        out[cells] = z
+    known &= np.isfinite(z0) & np.isfinite(rate)
+    path = pa.array(out, mask=np.isnan(out))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), path, mask=pa.array(~known))
+
 
-    def step(acc: Column, u: Column) -> Column:
-        z = phi * acc["z"] + u
-        return F.struct(z.alias("z"), F.concat(acc["path"], F.array(z)).alias("path"))
+def ar_path(start, phi, inputs) -> Column:
+    """z_t = phi * z_(t-1) + inputs_t as an array. NULL without start or phi; NULL from an unknown input on.
 
-    return F.aggregate(inputs, state, step, lambda acc: acc["path"])
+    Arrow batches of whole paths: a fold over the array would copy the path at every step.
+    """
+    importable(SparkSession.active())
+    paths = F.arrow_udf(_recursions, "array<double>")
+    return paths(as_col(start).cast("double"), as_col(phi).cast("double"), as_col(inputs).cast("array<double>"))
 
 
 def horizon_months(last_month, n) -> Column:
@@ -73,7 +100,7 @@ def forecast_price(
     months = horizon_months("last_month", n)
     effect = lambda d: F.coalesce(F.try_element_at("season_intercepts", F.month(d)), F.col("base_intercept"))
     paths = model.withColumn("_months", months).withColumn("_z", ar_path("z_last", "phi", F.transform("_months", effect)))
-    rows = paths.select("*", F.explode(F.arrays_zip("_months", "_z")).alias("_p"))
+    rows = paths.select("*", F.explode_outer(F.arrays_zip("_months", "_z")).alias("_p")).where("_p is not null")
     rows = rows.withColumn("month", F.col("_p._months"))
     mu = drift("month", anchor, mu0, growth)
     return rows.select(*keys, "month", mu.alias("mu_log"), (mu + F.col("_p._z")).alias("log_level")).withColumn(
@@ -120,7 +147,7 @@ def forecast_capture(
         + F.col("b_log_wind") * F.log(F.greatest(w, F.lit(1.0))),
     )
     rows = rows.withColumn("_z", ar_path("z_last", "phi", inputs))
-    out = rows.select(*keys, "scenario", F.explode(F.arrays_zip("_months", "_w", "_z")).alias("_p"))
+    out = rows.select(*keys, "scenario", F.explode_outer(F.arrays_zip("_months", "_w", "_z")).alias("_p")).where("_p is not null")
     return out.select(
         *keys, "scenario", F.col("_p._months").alias("month"), F.col("_p._w").alias("wind_mwh"),
         clip(F.exp(F.col("_p._z")), floor, cap).alias("capture_factor"),

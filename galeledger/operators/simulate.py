@@ -31,7 +31,8 @@ def simulate_ar_paths(
     steps = F.sequence(F.lit(1), F.lit(n_months))
     shocks = F.transform(steps, lambda t: F.element_at("sigma", month_of(t)) * vol_mult * draw("eps", t))
     rows = rows.withColumn("_dev", ar_path("y_last", "phi", shocks))
-    out = rows.select("*", F.posexplode("_dev").alias("_i", "_d"))
+    # The outer form, as the planner computes a plain one's array a second time, in front of the spreading, to drop empty arrays.
+    out = rows.select("*", F.posexplode_outer("_dev").alias("_i", "_d")).where("_i is not null")
     t = F.col("_i") + 1
     log_price = F.col("mu_start") + F.col("mu_step") * t + F.col("_d") + F.element_at("season", month_of(t))
     if jitter > 0:

@@ -90,10 +90,32 @@ def test_bilinear(spark):
     for name, y, x in sites[:3] + sites[5:]:
         assert math.isclose(got[name], f(y, x), rel_tol=1e-9), name
     assert got["hole"] is None and got.get("out") is None
-    weights = grid.site_corners(s, ["site"], 0.25).groupBy("site").agg(F.sum("weight").alias("w"))
+    weights = grid.site_cells(s, ["site"], 0.25).select((F.col("w0") + F.col("w1") + F.col("w2") + F.col("w3")).alias("w"))
     assert weights.where("abs(w - 1) > 1e-9").count() == 0
 
 
+def test_bilinear_per_time_and_without_shuffle_of_sites(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    nodes = {(h, i, j): (None if rng.random() < 0.1 else float(rng.normal()), float(rng.normal())) for h in range(4) for i in range(5) for j in range(5) if rng.random() > 0.15}
+    g = spark.createDataFrame([(T0 + dt.timedelta(hours=h), i, j, *v) for (h, i, j), v in nodes.items()], "time timestamp_ntz, lat_i int, lon_i int, a double, b double")
+    sites = [(k, float(rng.integers(0, 9)) / 2 if k % 3 == 0 else float(rng.random() * 4), float(rng.random() * 4)) for k in range(60)] + [(99, None, 1.0)]
+    df = grid.interpolate_grid(spark.createDataFrame(sites, "site int, lat double, lon double"), g, ["site"], ["a", "b"], 1.0)
+    want = {}
+    for site, y, x in sites[:-1]:
+        for h in range(4):
+            corners = [((h, int(y) + dy, int(x) + dx), (y - int(y) if dy else 1 - y + int(y)) * (x - int(x) if dx else 1 - x + int(x))) for dy in (0, 1) for dx in (0, 1)]
+            found = [(nodes.get(n), w) for n, w in corners if w > 0]
+            if any(v for v, _ in found):
+                want[site, h] = tuple(None if any(v is None or v[m] is None for v, _ in found) else sum(w * v[m] for v, w in found) for m in (0, 1))
+    got = {(r["site"], r["time"].hour): (r["a"], r["b"]) for r in df.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k][m] is want[k][m] is None or math.isclose(got[k][m], want[k][m], abs_tol=1e-9) for k in want for m in (0, 1))
+    above = df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "Aggregate" not in above and "Repartition" not in above
+
+
 def test_month_needs_enough_hours(spark):
     df = spark.createDataFrame([("a", T0 + dt.timedelta(hours=h), 1.0 if h != 5 else None) for h in range(700)], "k string, ts timestamp_ntz, v double")
     assert timeline.monthly_if_complete(df, ["k"], "ts", "v").first()["v"] == 699.0

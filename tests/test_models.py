@@ -160,3 +160,21 @@ def test_total_rows_count_as_a_state_unless_excluded(spark):
     df = spark.createDataFrame(data, "phase string, state string, mean_eur_per_kw double, projects double")
     get = lambda flag: dict(rows(aggregate.development_costs(df, include_total_row=flag)))
     assert get(True)["planning"] == 230 / 8 and get(False)["planning"] == 70 / 4 and get(True)["precheck"] == -230 / 8
+
+
+def test_path_recursion_equals_the_step_by_step_form(spark):
+    rng = np.random.default_rng(8)
+    data = []
+    for k in range(80):
+        n = int(rng.choice([0, 1, 2, 7, 240]))
+        data.append((k, float(rng.normal()), float(rng.choice([0.0, 0.98, -0.5, 1.0])), [float(x) for x in rng.normal(size=n)]))
+    data += [(100, None, 0.5, [1.0]), (101, 1.0, None, [1.0]), (102, 1.0, 0.5, None), (103, 2.0, 0.5, [1.0, None, 3.0])]
+    df = spark.createDataFrame(data, "k int, z double, phi double, u array<double>").repartition(3)
+    got = {r["k"]: r["p"] for r in df.select("k", forecast.ar_path("z", "phi", "u").alias("p")).collect()}
+    for k, z, phi, u in data[:-4]:
+        path = []
+        for x in u:
+            z = phi * z + x
+            path.append(z)
+        assert np.allclose(got[k], path, rtol=1e-12, atol=1e-12) and len(got[k]) == len(u)
+    assert got[100] is got[101] is got[102] is None and got[103] == [2.0, None, None]
