@@ -148,7 +148,7 @@ def a13(t: Tables) -> DataFrame:
 @query("a13_quantiles_large_groups", "SELECT l_returnflag AS k, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM lineitem GROUP BY ALL")
 def a13b(t: Tables) -> DataFrame:
     rows = t.lineitem.select(F.col("l_returnflag").alias("k"), "l_extendedprice")
-    out = quantiles.exact_quantiles(rows, ["k"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p95": 0.95}, large_group=1000, ranges=16)
+    out = quantiles.exact_quantiles(rows, ["k"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p95": 0.95})
     return rounded(out, ["p10", "p50", "p95"], 4)
 
 

@@ -1,6 +1,7 @@
 """Ordered, as-of, interval and quantile operators against pandas, on hot keys and thin slices."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -122,18 +123,33 @@ def test_interval_count_matches_brute_force(spark, slice_s):
     assert {(k, int((ts - T0).total_seconds() // 60)): n for k, ts, n in got} == want
 
 
-@pytest.mark.parametrize("large", [10, 1_000_000])
-def test_exact_quantiles_match_numpy(spark, skewed, large):
-    pdf = skewed.assign(v=skewed.v.where(skewed.index % 3 > 0, 0.5))  # a third of the values are equal
+@pytest.mark.parametrize("stretch, parts", [(1 << 20, 1 << 20), (10, 1 << 20), (3, 2)])
+def test_exact_quantiles_match_numpy(spark, skewed, monkeypatch, stretch, parts):
+    monkeypatch.setattr(quantiles, "STRETCH", stretch)
+    monkeypatch.setattr(quantiles, "PARTS", parts)
+    monkeypatch.setattr(quantiles, "PER_FOLD", 2 if parts == 2 else 4096)
+    pdf = skewed.assign(v=skewed.v.where(skewed.index % 3 > 0, 0.5) - 0.25)  # a third of the values are equal
     df = spark_df(spark, pdf, "k long, ts timestamp_ntz, v double")
-    got = {r[0]: r[1:] for r in rows(quantiles.exact_quantiles(df, ["k"], "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.95, "e": 1.0}, large_group=large, ranges=8))}
+    probs = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 0.95, "e": 1.0}
+    got = {r[0]: r[1:] for r in rows(quantiles.exact_quantiles(df, ["k"], "v", probs))}
     for k, g in pdf.groupby("k"):
         assert np.allclose(got[k], np.percentile(g.v, [0, 37, 50, 95, 100]))
     counted = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
-    again = {r[0]: r[1] for r in rows(quantiles.exact_quantiles(counted, ["k"], "v", {"p": 0.37}, large_group=large, ranges=8, weight="n"))}
+    again = {r[0]: r[1] for r in rows(quantiles.exact_quantiles(counted, ["k"], "v", {"p": 0.37}, weight="n"))}
     assert all(np.isclose(again[k], got[k][1]) for k in got)
 
 
+def test_exact_quantiles_of_odd_values_and_null_keys(spark):
+    inf, nan = float("inf"), float("nan")
+    data = [("a", None, v) for v in (1.0, -0.0, 0.0, 1e-300, -1e300, 1e300, inf, -inf)] + [(None, 1, float(v)) for v in range(5)] + [(None, None, 7.0), ("n", 2, nan), ("n", 2, 1.0), ("x", 1, None)]
+    df = spark.createDataFrame(data, "k string, j int, v double").repartition(3)
+    got = {(r.k, r.j): (r.lo, r.mid, r.hi) for r in quantiles.exact_quantiles(df, ["k", "j"], "v", {"lo": 0.0, "mid": 0.5, "hi": 1.0}).collect()}
+    assert got.keys() == {("a", None), (None, 1), (None, None), ("n", 2)}
+    assert got["a", None] == (-inf, 5e-301, inf) and got[None, 1] == (0.0, 2.0, 4.0) and got[None, None] == (7.0, 7.0, 7.0)
+    assert got["n", 2][0] == 1.0 and math.isnan(got["n", 2][2])
+    assert quantiles.exact_quantiles(df.where("false"), ["k"], "v", {"p": 0.5}).count() == 0
+
+
 def test_timeline_spans_days(spark):
     df = spark.createDataFrame([("a", at(5), at(3000)), ("b", at(0), at(0))], "k string, s timestamp_ntz, e timestamp_ntz")
     got = timeline.ten_minute_timeline(df, ["k"], "s", "e")
