@@ -8,7 +8,7 @@ from ..functions import wind
 from ..operators import curves
 from ..plans import energy
 from ..sources.catalogue import attach_turbines
-from .base import GRID_STEP, Tables, query, r, sql
+from .base import GRID_STEP, TYPES, Tables, query, r, rounded, sql
 from .joins import EXPECTED
 from .models import turbine_meta
 
@@ -87,3 +87,37 @@ def e9(t: Tables) -> DataFrame:
 def e_site(t: Tables) -> DataFrame:
     out = energy.site_climate(t.sites(), t.climate(), "site_id", GRID_STEP)
     return out.select("site_id", "ts", r("era5_ws_10m").alias("era5_ws_10m"), r("era5_ws_hub").alias("era5_ws_hub"), r("era5_air_density_kgm3").alias("rho"))
+
+
+_JOB_ROWS = """SELECT t, CASE WHEN t >= 8 THEN TIMESTAMP '2024-01-01' + INTERVAL (i) HOUR ELSE TIMESTAMP '2024-01-01' + INTERVAL (i * 10) MINUTE END AS ts, p, w, CASE t % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS turbine_type FROM (
+    SELECT user_id % 10 AS t, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS i, CASE WHEN event_type <> 'error' THEN value * 10 / 0.997::DOUBLE - 20 END AS p, value / 0.997::DOUBLE % 25 AS w FROM events)"""
+_JOB_SQL = """SELECT 'S' AS site_id, 'T' || t AS turbine_id, ts, round(e, 6) AS energy_kwh, round(w, 6) AS wind_speed_ms, 50 + t * 0.5::DOUBLE AS lat, 10.0::DOUBLE AS lon, CASE WHEN t % 2 = 0 THEN 95.0::DOUBLE ELSE h END AS hub_height_m,
+    rated_power_kw, rotor_diameter_m, round(rated_power_kw * 1000 / (pi() * (rotor_diameter_m / 2) * (rotor_diameter_m / 2)), 6) AS specific_power_wpm2, turbine_type FROM (
+    SELECT t, ts, p AS e, w, turbine_type FROM j WHERE t >= 8 AND p BETWEEN 0 AND 900
+    UNION ALL SELECT t, date_trunc('hour', ts), sum(p) / 6, avg(w), turbine_type FROM j JOIN spec USING (turbine_type) WHERE t < 8 AND p BETWEEN 0 AND 900 GROUP BY ALL HAVING avg(CASE WHEN w >= cut_in_ws AND p <= 0 THEN 0 ELSE 1 END) >= 2.0::DOUBLE / 3)
+    JOIN spec USING (turbine_type) JOIN (VALUES ('alpha', 100.0::DOUBLE), ('beta', 120.0::DOUBLE), ('gamma', 80.0::DOUBLE)) AS d(turbine_type, h) USING (turbine_type)"""
+
+
+@query("e_telemetry_job", sql(_JOB_SQL, "spec", j=_JOB_ROWS))
+def e_telemetry_job(t: Tables) -> DataFrame:
+    """Files of ten turbines, eight by ten minutes and two by hours, through the whole job."""
+    from pyspark.sql import Window
+
+    from ..plans.telemetry import Labels, read_site, standard_hours
+    from .sources import _logs
+
+    k = F.col("user_id") % 10
+    place = F.row_number().over(Window.partitionBy(k).orderBy("event_id"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    ts = F.date_format(start + F.make_dt_interval(mins=place * F.when(k >= 8, 60).otherwise(10)), "yyyy-MM-dd HH:mm:ss")
+    power = F.when(F.col("event_type") != "error", F.col("value") * 10 / 0.997 - 20)
+    name = F.concat(F.lit("T"), k.cast("string"))
+    line = F.concat_ws(",", ts, name, F.coalesce(power.cast("string"), F.lit("")), (F.col("value") / 0.997 % 25).cast("string"))
+    path = _logs(t, t.events.select(name.alias("file"), line.alias("value")), ["Time,Turbine,Power,Wind"], "site")
+    meta = t.spark.range(10).select(
+        F.concat(F.lit("T"), F.col("id").cast("string")).alias("turbine_id"), F.element_at(F.array(*[F.lit(x) for x in TYPES]), (F.col("id") % 3 + 1).cast("int")).alias("turbine_type"),
+        (50 + F.col("id") * 0.5).alias("lat"), F.lit(None).cast("double").alias("lon"), F.when(F.col("id") % 2 == 0, 95.0).alias("hub_height_m"),
+    )
+    sites = t.spark.range(1).select(F.lit("S").alias("site_id"), F.lit(1.0).alias("lat"), F.lit(10.0).alias("lon"), F.lit(70.0).alias("hub_height_m"))
+    rows = read_site(t.spark, path + "/*/*.txt", "S", Labels("Time", "Power", "Wind", "Turbine"))
+    return rounded(standard_hours(rows, meta, t.catalogue(), sites, max_power=900.0), ["energy_kwh", "wind_speed_ms", "specific_power_wpm2"])

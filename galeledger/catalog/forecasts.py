@@ -59,10 +59,10 @@ def f2b(t: Tables) -> DataFrame:
     return rounded(rounded(capture_forecast(t), ["capture_factor"]), ["wind_mwh"], 4)
 
 
-@query("f3_actual_then_forecast", sql(f"""SELECT tso, month, round(coalesce(m.price, f.price), 4) AS price FROM (SELECT tso, month, price FROM region_month WHERE month >= '2001-01-01') m
+@query("f3_actual_then_forecast", sql(f"""SELECT tso, month, round(coalesce(m.price, f.price), 4) AS price FROM region_month m
     FULL JOIN (SELECT tso, month, exp({MU} + z) - 200 AS price FROM path WHERE k > 0) f USING (tso, month)""", "region_month", **PRICE_FC))
 def f3(t: Tables) -> DataFrame:
-    actual = t.region_month().where("month >= date'2001-01-01'").select("tso", "month", F.col("price").alias("a"))
+    actual = t.region_month().select("tso", "month", F.col("price").alias("a"))
     both = actual.join(price_forecast(t).select("tso", "month", F.col("price_forecast").alias("f")), ["tso", "month"], "full_outer")
     return both.select("tso", "month", r(F.coalesce("a", "f"), 4).alias("price"))
 
@@ -106,19 +106,19 @@ def f6b(t: Tables) -> DataFrame:
 
 
 STRIKES = {
-    "au": "SELECT tso, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, avg(o_totalprice) / 2999 AS strike FROM region_orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate < '1998-07-01' GROUP BY ALL",
+    "au": "SELECT tso, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, avg(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END) / 2999 AS strike FROM region_orders GROUP BY ALL HAVING strike IS NOT NULL",
     "an": "SELECT tso, max(date) AS anchor FROM au GROUP BY tso",
     "fu": """SELECT tso, month AS date, price, CASE WHEN y > 0 THEN 1.02::DOUBLE + 0.13::DOUBLE * exp(-ln(2) / 12 * y) ELSE 1.15 END AS mk FROM (
-        SELECT r.tso, month, price, ((year(month) - year(anchor)) * 12 + month(month) - month(anchor)) / 12 AS y FROM region_month r JOIN an USING (tso) WHERE month >= '1998-01-01')""",
+        SELECT r.tso, month, price, ((year(month) - year(anchor)) * 12 + month(month) - month(anchor)) / 12 AS y FROM region_month r JOIN an USING (tso))""",
 }
 
 
 @query("f7_strike_path", sql("""SELECT tso, date, NULL::DOUBLE AS market_price, NULL::DOUBLE AS markup_path, round(strike, 4) AS eeg_strike_used FROM au
     UNION ALL SELECT tso, date, round(price, 4), round(mk, 6), round(mk * price, 4) FROM fu""", "region_month", **STRIKES))
 def f7(t: Tables) -> DataFrame:
-    rows = t.region_orders().where("o_orderpriority = '1-URGENT' AND o_orderdate < timestamp_ntz'1998-07-01'")
-    auctions = market.auction_months(rows.select("tso", F.col("o_orderdate").cast("date").alias("d"), (F.col("o_totalprice") / 2999).alias("s")), ["tso"], "d", "s")
-    prices = t.region_month().where("month >= date'1998-01-01'").select("tso", F.col("month").alias("date"), "price")
+    strike = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") / 2999)
+    auctions = market.auction_months(t.region_orders().select("tso", F.col("o_orderdate").cast("date").alias("d"), strike.alias("s")), ["tso"], "d", "s")
+    prices = t.region_month().select("tso", F.col("month").alias("date"), "price")
     out = market.strike_path(prices, auctions, ["tso"])
     return out.select("tso", "date", r("market_price", 4).alias("market_price"), r("markup_path").alias("markup_path"), r("eeg_strike_used", 4).alias("eeg_strike_used"))
 

@@ -139,12 +139,12 @@ def j13(t: Tables) -> DataFrame:
 
 @query("j14_yearly_zero_fill", """SELECT n_name AS zone, CAST(h.y AS INT) AS year, round(coalesce(v, 0), 2) AS revenue, round(coalesce(w, 0), 2) AS opex, round(coalesce(v, 0) - coalesce(w, 0), 2) AS surplus
     FROM nation CROSS JOIN range(1995, 2003) AS h(y) LEFT JOIN (SELECT s_nationkey AS k, year(l_shipdate) AS y, sum(l_extendedprice) AS v FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL) a
-    ON a.k = n_nationkey AND a.y = h.y LEFT JOIN (SELECT c_nationkey AS k, year(o_orderdate) AS y, sum(o_totalprice) / 6.997::DOUBLE AS w FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY ALL) b
+    ON a.k = n_nationkey AND a.y = h.y LEFT JOIN (SELECT c_nationkey AS k, year(o_orderdate) AS y, sum(o_totalprice) / 6.997::DOUBLE AS w FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) b
     ON b.k = n_nationkey AND b.y = h.y""")
 def j14(t: Tables) -> DataFrame:
     spine = t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("zone"), F.explode(F.sequence(F.lit(1995), F.lit(2002))).alias("year"))
     revenue = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("k"), F.year("l_shipdate").alias("year")).agg(F.sum("l_extendedprice").alias("v"))
-    opex = t.orders.where("o_orderstatus = 'F'").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("k"), F.year("o_orderdate").alias("year")).agg((F.sum("o_totalprice") / 6.997).alias("w"))
+    opex = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("k"), F.year("o_orderdate").alias("year")).agg((F.sum("o_totalprice") / 6.997).alias("w"))
     rows = spine.join(revenue, ["k", "year"], "left").join(opex, ["k", "year"], "left").na.fill(0.0, ["v", "w"])
     return rows.select("zone", "year", r("v", 2).alias("revenue"), r("w", 2).alias("opex"), r(F.col("v") - F.col("w"), 2).alias("surplus"))
 

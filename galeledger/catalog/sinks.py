@@ -59,10 +59,10 @@ def k4(t: Tables) -> DataFrame:
 @query("k5_revenue_summary", sql("""SELECT scenario_id, metric, value FROM (
     SELECT scenario_id, max(tso) AS TSO, CAST(max(eeg_on) AS VARCHAR) AS EEG_ON, CAST(min(date) AS VARCHAR) AS COD,
     printf('%.4f', max(st)) AS EEG_strike_fixed_eur_mwh, printf('%.2f', sum(revenue_eur)) AS Total_revenue_eur, printf('%.2f', sum(revenue_eur) / (count(*) / 12)) AS Average_annual_revenue_eur
-    FROM rev WHERE eeg_on = 1 GROUP BY scenario_id)
-    UNPIVOT (value FOR metric IN (TSO, EEG_ON, COD, EEG_strike_fixed_eur_mwh, Total_revenue_eur, Average_annual_revenue_eur))""", *NAMES, **PANEL))
+    FROM rev GROUP BY scenario_id)
+    UNPIVOT INCLUDE NULLS (value FOR metric IN (TSO, EEG_ON, COD, EEG_strike_fixed_eur_mwh, Total_revenue_eur, Average_annual_revenue_eur))""", *NAMES, **PANEL))
 def k5(t: Tables) -> DataFrame:
-    return sinks.revenue_summary(revenue_of(t).where("eeg_on = 1"), ["scenario_id"])
+    return sinks.revenue_summary(revenue_of(t), ["scenario_id"])
 
 
 @query("k6_model_artifact")

@@ -21,9 +21,11 @@ def w1b(t: Tables) -> DataFrame:
 
 
 @query("w1_month_gaps", sql("""SELECT zone, month, CAST(step - 1 AS INT) AS gap_months FROM (SELECT zone, month, date_diff('month', lag(month) OVER (PARTITION BY zone ORDER BY month), month) AS step
-    FROM (SELECT DISTINCT zone, CAST(date_trunc('month', ts) AS DATE) AS month FROM zone_hourly WHERE wind_mwh > 49)) WHERE step > 1""", "zone_hourly"))
+    FROM (SELECT zone, CAST(date_trunc('month', ts) AS DATE) AS month FROM zone_hourly GROUP BY ALL HAVING sum(CASE WHEN wind_mwh > 49 THEN 1 ELSE 0 END) > 0)) WHERE step > 1""", "zone_hourly"))
 def w1c(t: Tables) -> DataFrame:
-    rows = t.zone_hourly().where("wind_mwh > 49").select("zone", month_start("ts").alias("month")).distinct()
+    # A month of a zone is known where an hour of it exceeds 49 MWh.
+    known = t.zone_hourly().groupBy("zone", month_start("ts").alias("month")).agg(F.count_if(F.col("wind_mwh") > 49).alias("n"))
+    rows = known.where("n > 0").select("zone", "month")
     return ordered.month_gaps(rows, ["zone"], "month").select("zone", "month", F.col("gap_months").cast("int").alias("gap_months"))
 
 

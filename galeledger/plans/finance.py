@@ -21,19 +21,25 @@ def financed(scenarios: DataFrame) -> DataFrame:
 
 def cash_flows(financed_rows: DataFrame, monthly: DataFrame, key: str = "scenario_id", years: int = 20) -> DataFrame:
     """One row per scenario with ``cash_flow``: equity at t=0, then the yearly surplus,
-    the residual value added to the last year.
+    the residual value added to the last year; and ``flow_reason``.
 
-    Revenue is folded to one row per scenario by a single aggregate with one sum per
+    A scenario that lacks months of revenue has no cash flow, and the reason says since which year: months that
+    are not there are no months without revenue. Revenue is folded to one row per scenario by a single aggregate with one sum per
     year, so 240 monthly rows shrink to one before anything is shuffled.
     """
-    sums = [F.sum(F.when(F.col("project_year") == y, F.col("revenue_eur"))) for y in range(1, years + 1)]
-    by_year = monthly.groupBy(key).agg(*[F.coalesce(s, F.lit(0.0)).alias(f"_r{y}") for y, s in enumerate(sums, 1)])
-    rows = financed_rows.join(by_year, key)
+    of_year = lambda y, c: F.when(F.col("project_year") == y, c)
+    by_year = monthly.groupBy(key).agg(
+        *[F.coalesce(F.sum(of_year(y, F.col("revenue_eur"))), F.lit(0.0)).alias(f"_r{y}") for y in range(1, years + 1)],
+        F.array(*[F.count(of_year(y, F.lit(1))) for y in range(1, years + 1)]).alias("_months"),
+    )
+    rows = financed_rows.join(by_year, key, "left")
+    short = F.array_position(F.transform("_months", lambda n: n < 12), F.lit(True))
+    reason = F.when(F.col("_months").isNull(), "no revenue").when(short > 0, F.concat(F.lit("revenue is incomplete in project year "), short.cast("string")))
     flow = [-F.col("equity_in_eur")]
     for y in range(1, years + 1):
         cf = F.col(f"_r{y}") - mw_to_kw("park_mw") * opex_rate(F.lit(y)) - debt_service(F.lit(y))
         flow.append(cf + RESIDUAL_SHARE * F.col("capex_eur") if y == years else cf)
-    return rows.select(*financed_rows.columns, F.array(*flow).alias("cash_flow"))
+    return rows.select(*financed_rows.columns, F.when(reason.isNull(), F.array(*flow)).alias("cash_flow"), reason.alias("flow_reason"))
 
 
 def npv(cash_flow, rate) -> Column:

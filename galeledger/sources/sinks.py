@@ -75,8 +75,8 @@ def json_rows(df: DataFrame, name: str = "record") -> DataFrame:
 
 
 def revenue_summary(monthly: DataFrame, keys: Sequence[str], tso: str = "tso") -> DataFrame:
-    """(keys, metric, value as text): operator, support flag, first month, strike, total, yearly mean."""
-    text = lambda c, n: F.format_string(f"%.{n}f", c)
+    """(keys, metric, value as text): operator, support flag, first month, strike, total, yearly mean; NULL where unknown."""
+    text = lambda c, n: F.when(c.isNotNull(), F.format_string(f"%.{n}f", c))
     one = monthly.groupBy(*keys).agg(
         F.max(tso).alias("TSO"),
         F.max("eeg_on").cast("string").alias("EEG_ON"),

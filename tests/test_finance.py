@@ -149,3 +149,16 @@ def test_partition_count_does_not_matter(scenarios, drivers):
     one = revenue.monthly_revenue(scenarios.repartition(1), revenue.driver_panel(scenarios, *drivers))
     many = revenue.monthly_revenue(scenarios.repartition(7), revenue.driver_panel(scenarios, *drivers))
     assert one.exceptAll(many).count() == 0
+
+
+def test_missing_months_of_revenue_leave_no_cash_flow(scenarios, monthly):
+    from pyspark.sql import functions as F
+
+    fin = finance.financed(scenarios)
+    ids = sorted(r[0] for r in fin.select("scenario_id").collect())
+    full, part, none = ids[0], ids[1], ids[2]
+    cut = monthly.where((F.col("scenario_id") == full) | ((F.col("scenario_id") == part) & ~((F.col("project_year") == 7) & (F.month("date") == 3))))
+    got = {r["scenario_id"]: r for r in finance.valued(finance.cash_flows(fin, cut)).collect()}
+    assert sorted(got) == ids and len(got[full]["cash_flow"]) == 21 and got[full]["flow_reason"] is None
+    assert got[part]["cash_flow"] is None and got[part]["flow_reason"] == "revenue is incomplete in project year 7" and got[part]["npv_eur"] is None
+    assert got[none]["cash_flow"] is None and got[none]["flow_reason"] == "no revenue" and got[none]["irr"] is None
