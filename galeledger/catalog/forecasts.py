@@ -208,3 +208,19 @@ def f12(t: Tables) -> DataFrame:
 def f13(t: Tables) -> DataFrame:
     model = learn.fit_correction(ml_rows(t), FEATS, **tree_settings())
     return energy.historical_monthly_energy(t.sites(), t.climate(), t.catalogue(), model, GRID_STEP, min_hours=20)
+
+
+_SITE = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+_COVERED = """SELECT * REPLACE (CASE scenario_id % 5 WHEN 0 THEN 'AFRICA' WHEN 1 THEN 'AMERICA' WHEN 2 THEN 'ASIA' WHEN 3 THEN 'EUROPE' ELSE 'MIDDLE EAST' END AS tso) FROM scenarios"""
+
+
+@query("f_energy_production", sql("""SELECT scenario_id, make_date(y, m, 1) AS date, round(n_turbines * energy_kwh / 1000, 6) AS mwh FROM sc JOIN rep USING (tso) JOIN sims USING (tso, sim)
+    WHERE make_date(y, m, 1) >= cod AND make_date(y, m, 1) < cod + INTERVAL 240 MONTH""", "region_month", "scenarios", sc=_COVERED, sims=SIMS.replace("range(2026, 2046)", "range(1996, 2019)"), rep=REPRESENTATIVE))
+def f_energy_production(t: Tables) -> DataFrame:
+    """From monthly history over 500 simulations to the production of every scenario, as the revenue job takes it."""
+    from ..plans.production import covering, energy_forecast, scenario_production
+
+    hist = t.region_month().select("tso", F.year("month").alias("year"), F.month("month").alias("month"), F.col("wind_mwh").alias("energy_kwh"))
+    scenarios = t.scenarios().withColumn("tso", F.element_at(F.array(*[F.lit(x) for x in _SITE]), (F.col("scenario_id") % 5 + 1).cast("int")))
+    out = scenario_production(scenarios, energy_forecast(hist, ["tso"], **covering(scenarios)))
+    return rounded(out, ["mwh"])

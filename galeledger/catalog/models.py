@@ -102,6 +102,27 @@ def m5(t: Tables) -> DataFrame:
     return fit.select("tso", r("b_stress").alias("b_stress"), r("b_S").alias("b_s"), r("intercept").alias("intercept"))
 
 
+_HC3 = {
+    **COMMON, "rs": "SELECT sum(ex * ex) AS rss FROM e",
+    "km": "SELECT tso, count(*) AS n, avg(S) AS mx, avg(stress) AS mz, sum(S * S) - count(*) * avg(S) * avg(S) AS sxx FROM st GROUP BY tso",
+    "w": """SELECT st.tso, n, mx, mz, b2, rss, (S - mx) / sxx AS p, stress - (a2 + b2 * S) AS r, cr - (a1 - g * a2) - (b1 - g * b2) * S - g * stress AS er, 1.0 / n + (S - mx) * (S - mx) / sxx + (stress - (a2 + b2 * S)) * (stress - (a2 + b2 * S)) / rss AS h
+        FROM st JOIN u USING (tso) JOIN km USING (tso), g, rs""",
+    "uu": "SELECT *, (er / (1 - h)) * (er / (1 - h)) AS q, 1.0 / n - mx * p AS s0 FROM w",
+    "tot": "SELECT sum(r * r * q) AS a FROM uu",
+}
+
+
+@query("m5_robust_errors", sql("""SELECT tso, round(sqrt(sum((p - b2 / rss * r) * (p - b2 / rss * r) * q) + any_value(b2 / rss * b2 / rss) * (any_value(a) - sum(r * r * q))), 6) AS se_s, round(any_value(sqrt(a) / rss), 6) AS se_stress,
+    round(sqrt(sum((s0 + (mx * b2 - mz) / rss * r) * (s0 + (mx * b2 - mz) / rss * r) * q) + any_value((mx * b2 - mz) / rss * (mx * b2 - mz) / rss) * (any_value(a) - sum(r * r * q))), 6) AS se_intercept FROM uu, tot GROUP BY tso""", "tso_quarter", **_HC3))
+def m5b(t: Tables) -> DataFrame:
+    from ..operators.quantiles import exact_quantiles
+
+    rows = t.lineitem.select(F.trunc(F.col("l_shipdate").cast("date"), "QUARTER").alias("quarter"), "l_extendedprice")
+    stress = exact_quantiles(rows, ["quarter"], "l_extendedprice", {"p": 0.95}).select("quarter", (F.col("p") / 100000).alias("stress"))
+    out = ols.common_slope_errors(t.tso_quarter().join(stress, "quarter"), ["tso"], "cr", "S", "stress")
+    return out.select("tso", r("se_S").alias("se_s"), r("se_stress").alias("se_stress"), r("se_intercept").alias("se_intercept"))
+
+
 TREND = "SELECT tso, month, month(month) AS s, row_number() OVER (PARTITION BY tso ORDER BY month) - 1 AS trend, ln(greatest(wind_mwh, 1)) AS lw, ln(capture_factor) AS u FROM region_month"
 _NO_JULY = "SELECT * FROM tr WHERE s <> 7"
 

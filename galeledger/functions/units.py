@@ -21,3 +21,7 @@ def ten_minute_kw_to_kwh(x) -> Column:
 
 def yearly_to_monthly(x) -> Column:
     return as_col(x) / 12.0
+
+
+def kwh_to_mwh(x) -> Column:
+    return as_col(x) / 1000.0

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import clip
+from ..session import settle
 
 PHI_BOUNDS = (0.0, 0.98)
 
@@ -121,6 +122,39 @@ def fit_common_slope(df: DataFrame, keys: Sequence[str], y: str, x: str, common:
     )
 
 
+def common_slope_errors(df: DataFrame, keys: Sequence[str], y: str, x: str, common: str) -> DataFrame:
+    """Fit of :func:`fit_common_slope` with standard errors from the covariance HC3: ``se_<x>``, ``se_<common>``, ``se_intercept``.
+
+    Every coefficient is a weighted sum of y, so its variance is the sum of squared weights times e^2 / (1 - h)^2, with
+    residual e and leverage h of a row. The weights of a key's own rows and those by way of the shared slope are summed apart:
+    one aggregate per key, and one number over all keys. A row that alone decides a coefficient (h = 1) leaves the errors NULL.
+    """
+    m = _moments(df, keys, y, [x, common]).withColumn("_k", F.when(F.col("_s00") != 0, F.col("_s01") / F.col("_s00")).otherwise(0.0))
+    fit = fit_common_slope(df, keys, y, x, common)
+    rss = m.agg(F.sum(F.col("_s11") - F.col("_k") * F.col("_s01"))).scalar()
+    per_key = settle(m.join(fit.drop("n"), list(keys)).withColumn("_rss", rss), "line-fits")
+    rows = df.na.drop(subset=[y, x, common]).select(*keys, F.col(y).alias("_y"), F.col(x).alias("_x"), F.col(common).alias("_z")).join(per_key, list(keys))
+    c = F.col
+    p = F.when(c("_s00") != 0, (c("_x") - c("_m0")) / c("_s00")).otherwise(0.0)  # weight in the key's own slope
+    rest = (c("_z") - c("_m1")) - c("_k") * (c("_x") - c("_m0"))
+    e = c("_y") - c("intercept") - c(f"b_{x}") * c("_x") - c(f"b_{common}") * c("_z")
+    h = 1.0 / c("_n") + p * (c("_x") - c("_m0")) + rest * rest / c("_rss")
+    u = F.when(h < 1 - 1e-12, (e / (1 - h)) * (e / (1 - h)))
+    s = 1.0 / c("_n") - c("_m0") * p  # weight in the key's own intercept
+    rows = rows.select(*keys, p.alias("_p"), s.alias("_s"), rest.alias("_r"), u.alias("_u"))
+    whole = lambda v: F.when(F.count("_u") == F.count(F.lit(1)), F.sum(v * c("_u")))
+    sums = rows.groupBy(*keys).agg(*[whole(v).alias(n) for n, v in (("_pp", c("_p") * c("_p")), ("_pr", c("_p") * c("_r")), ("_ss", c("_s") * c("_s")), ("_sr", c("_s") * c("_r")), ("_rr", c("_r") * c("_r")))])
+    sums = settle(sums, "line-errors")
+    shared = sums.agg(F.when(F.count("_rr") == F.count(F.lit(1)), F.sum("_rr"))).scalar()
+    out = per_key.join(sums, list(keys)).withColumn("_all", shared)
+    by_slope, by_level = c("_k") / c("_rss"), (c("_m0") * c("_k") - c("_m1")) / c("_rss")
+    return out.select(
+        *fit.columns[:-1], c("_n").cast("bigint").alias("n"),
+        F.sqrt(c("_pp") - 2 * by_slope * c("_pr") + by_slope * by_slope * c("_all")).alias(f"se_{x}"), (F.sqrt("_all") / c("_rss")).alias(f"se_{common}"),
+        F.sqrt(c("_ss") + 2 * by_level * c("_sr") + by_level * by_level * c("_all")).alias("se_intercept"),
+    )
+
+
 def fit_ar_residual(df: DataFrame, keys: Sequence[str], y: str, lag: str) -> DataFrame:
     """AR(1) without intercept: phi clamped to a stable range, and the sample
     deviation of the innovations, both from one pass of moments."""

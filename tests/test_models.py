@@ -178,3 +178,21 @@ def test_path_recursion_equals_the_step_by_step_form(spark):
             path.append(z)
         assert np.allclose(got[k], path, rtol=1e-12, atol=1e-12) and len(got[k]) == len(u)
     assert got[100] is got[101] is got[102] is None and got[103] == [2.0, None, None]
+
+
+def test_robust_errors_equal_the_explicit_design(spark):
+    rng = np.random.default_rng(12)
+    data = [(k, float(rng.normal(j)), float(rng.normal()), float(rng.normal(k == "b"))) for k, n in (("a", 30), ("b", 11), ("c", 5)) for j in range(n)]
+    data = [(k, 0.3 * x - 0.8 * z + (k == "b") + e * (1 + abs(x)), x, z) for k, e, x, z in data]
+    got = {r["k"]: r for r in ols.common_slope_errors(spark.createDataFrame(data, "k string, y double, x double, z double").repartition(3), ["k"], "y", "x", "z").collect()}
+    names = ["a", "b", "c"]
+    design = np.array([[*(float(k == n) for n in names), *(x * (k == n) for n in names), z] for k, _, x, z in data])
+    y = np.array([r[1] for r in data])
+    inv = np.linalg.inv(design.T @ design)
+    beta = inv @ design.T @ y
+    h = np.einsum("ij,jk,ik->i", design, inv, design)
+    u = ((y - design @ beta) / (1 - h)) ** 2
+    se = np.sqrt(np.diag(inv @ (design.T * u) @ design @ inv))
+    for i, n in enumerate(names):
+        assert np.allclose([got[n]["intercept"], got[n]["b_x"], got[n]["b_z"]], [beta[i], beta[3 + i], beta[6]], rtol=1e-9)
+        assert np.allclose([got[n]["se_intercept"], got[n]["se_x"], got[n]["se_z"]], [se[i], se[3 + i], se[6]], rtol=1e-9)
