@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions.expr import finite
+from .ledger import append_new_keys
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -32,24 +32,6 @@ def write_by_key(df: DataFrame, keys: Sequence[str], path: str, max_rows_per_fil
     )
 
 
-def append_new_keys(df: DataFrame, keys: Sequence[str], path: str) -> DataFrame:
-    """Write only keys the target does not hold yet; returns what was written.
-
-    Run twice, the second run writes nothing. Held keys are read with the types of ``df``, so
-    ``007`` and ``7`` stay apart, and a NULL key equals a held NULL key.
-    """
-    spark = df.sparkSession
-    try:
-        held = spark.read.schema(df.schema).parquet(path).select(*[F.col(k).alias(f"_held_{k}") for k in keys]).distinct()
-        fresh = df.join(held, [df[k].eqNullSafe(held[f"_held_{k}"]) for k in keys], "left_anti")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        fresh = df
-    fresh.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(path)
-    return fresh
-
-
 def json_safe(df: DataFrame) -> DataFrame:
     """Dates as text; NaN and infinities as NULL."""
     out = []
