@@ -27,7 +27,8 @@ ROLES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs header masthead "
     "footer sidebar aside widget related recommended share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "signup login search comment comments reply replies respond disqus pagination pager skip toolbar".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|\sstyle\s*=\s*[\"'][^\"'>]*display\s*:\s*none", re.IGNORECASE)
 BLANK = re.compile(r"\s+")
@@ -41,18 +42,51 @@ class Node:
         self.tag, self.label, self.kids, self.void = tag, label, [], void
 
 
+class Tags:
+    """Tags of a page from any place on, each place read once or twice whatever the page holds.
+
+    A tag ends at the first ``>`` outside quotes. Once quotes are found that never close, tags end at the next ``>``.
+    What no ``>`` follows is text; a comment without end goes on to the end of the page.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.last, self.plain = text, text.rfind(">"), False
+
+    def after(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """(start, end, whether it closes, name or None for comments and declarations, attributes) of the next tag."""
+        text = self.text
+        while (start := text.find("<", at)) >= 0:
+            if text.startswith("<!--", start):
+                end = text.find("-->", start + 4)
+                return start, len(text) if end < 0 else end + 3, False, None, ""
+            if start > self.last:
+                break
+            if text.startswith(("<!", "<?"), start):
+                return start, text.find(">", start) + 1, False, None, ""
+            found = TAG.match(text, start)
+            if found is None:
+                at = start + 1
+                continue
+            end = -1 if self.plain else ATTRIBUTES.match(text, found.end()).end()
+            if end < 0 or not text.startswith(">", end):
+                self.plain = True
+                end = text.find(">", found.end())
+            return start, end + 1, bool(found[1]), found[2].lower(), text[found.end():end]
+        at = text.find("<!--", at)  # the only markup that needs no end
+        return (at, len(text), False, None, "") if at >= 0 else None
+
+
 def parsed(text: str) -> Node:
     """Element tree of a page. Ends that are missing are supplied, stray ends are left out, raw elements hold no markup."""
     root = Node("", "", False)
-    stack, at, low = [root], 0, None
-    for found in iter(lambda: TAG.search(text, at), None):
-        if found.start() > at:
-            stack[-1].kids.append(text[at:found.start()])
-        at = found.end()
-        if found[2] is None:
+    stack, at, low, tags = [root], 0, None, Tags(text)
+    for start, end, closes, tag, attributes in iter(lambda: tags.after(at), None):
+        if start > at:
+            stack[-1].kids.append(text[at:start])
+        at = end
+        if tag is None:
             continue
-        tag = found[2].lower()
-        if found[1]:
+        if closes:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -70,7 +104,6 @@ def parsed(text: str) -> Node:
             stack.pop()
         while closing and stack[-1].tag in closing:
             stack.pop()
-        attributes = found[3]
         names = sorted({w for m in NAMES.finditer(attributes) for w in re.findall("[a-z]+", (m[1] or m[2] or m[3] or "").lower())}) if attributes else []
         node = Node(tag, ".".join([tag, *names]), tag in NO_TEXT or not ROLES.isdisjoint(names) or bool(attributes and HIDDEN.search(attributes)))
         stack[-1].kids.append(node)
@@ -87,32 +120,44 @@ def parsed(text: str) -> Node:
 
 
 def skeleton(node: Node) -> str:
-    """Block elements with equal siblings folded into one, as nested text ``label(children)``."""
-    return _shape(_folded([node]))
-
-
-def _folded(nodes: list[Node]) -> dict:
-    """Children by label, in order of first appearance, of nodes that count as one."""
-    by: dict[str, list[Node]] = {}
-    for node in nodes:
-        for kid in _blocks(node):
-            by.setdefault(kid.label, []).append(kid)
-    return {label: _folded(kids) for label, kids in by.items()}
+    """Block elements with equal siblings folded into one, as nested text ``label(children)``, children in order of first appearance."""
+    top: dict = {}
+    work = [([node], top)]
+    while work:
+        nodes, into = work.pop()
+        by: dict[str, list[Node]] = {}
+        for one in nodes:
+            for kid in _blocks(one):
+                by.setdefault(kid.label, []).append(kid)
+        for label, kids in by.items():
+            into[label] = {}
+            work.append((kids, into[label]))
+    out, open_ = [], [iter(top.items())]
+    while open_:
+        label, kids = next(open_[-1], (None, None))
+        if label is None:
+            open_.pop()
+            out += [")"] if open_ else []
+        else:
+            out += [label, "("]
+            open_.append(iter(kids.items()))
+    return "".join(out)
 
 
 def _blocks(node: Node) -> Iterator[Node]:
-    for kid in node.kids:
-        if isinstance(kid, Node) and kid.tag not in RAW and kid.tag not in VOID:
+    """Block elements below a node with inline marks between at most."""
+    open_ = [iter(node.kids)]
+    while open_:
+        kid = next(open_[-1], None)
+        if kid is None:
+            open_.pop()
+        elif isinstance(kid, Node) and kid.tag not in RAW and kid.tag not in VOID:
             if kid.tag in INLINE:
-                yield from _blocks(kid)
+                open_.append(iter(kid.kids))
             else:
                 yield kid
 
 
-def _shape(folded: dict) -> str:
-    return "".join(f"{label}({_shape(kids)})" for label, kids in folded.items())
-
-
 def tree(shape: str) -> list[tuple[str, tuple[int, ...]]]:
     """Preorder of a skeleton: label and child numbers of every node; node 0 is the page."""
     out: list[tuple[str, list[int]]] = [("", [])]
@@ -130,40 +175,46 @@ def tree(shape: str) -> list[tuple[str, tuple[int, ...]]]:
 def matched(a: list, b: list) -> dict[int, int]:
     """Simple tree matching: the largest order-keeping mapping of equal labels, parents on parents, as node numbers of a to b."""
     memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def best(x: int, y: int) -> tuple[int, list]:
-        if a[x][0] != b[y][0]:
-            return 0, []
-        if (x, y) not in memo:
-            p, q = a[x][1], b[y][1]
-            size = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-            for i, u in enumerate(p):
-                for j, v in enumerate(q):
-                    size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + best(u, v)[0])
-            i, j, pairs = len(p), len(q), []
-            while i and j:
-                if size[i][j] == size[i - 1][j]:
-                    i -= 1
-                elif size[i][j] == size[i][j - 1]:
-                    j -= 1
-                else:
-                    pairs.append((p[i - 1], q[j - 1]))
-                    i, j = i - 1, j - 1
-            memo[x, y] = size[-1][-1] + 1, pairs
-        return memo[x, y]
-
-    out, open_ = {}, [(0, 0)] if best(0, 0)[0] else []
+    work = [(0, 0)] if a[0][0] == b[0][0] else []
+    while work:
+        x, y = work[-1]
+        p, q = a[x][1], b[y][1]
+        fresh = [(u, v) for u in p for v in q if a[u][0] == b[v][0] and (u, v) not in memo]
+        if fresh:  # first the children
+            work += fresh
+            continue
+        work.pop()
+        size = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
+        for i, u in enumerate(p):
+            for j, v in enumerate(q):
+                size[i + 1][j + 1] = max(size[i][j + 1], size[i + 1][j], size[i][j] + (memo[u, v][0] if a[u][0] == b[v][0] else 0))
+        i, j, pairs = len(p), len(q), []
+        while i and j:
+            if size[i][j] == size[i - 1][j]:
+                i -= 1
+            elif size[i][j] == size[i][j - 1]:
+                j -= 1
+            else:
+                pairs.append((p[i - 1], q[j - 1]))
+                i, j = i - 1, j - 1
+        memo[x, y] = size[-1][-1] + 1, pairs
+    out, open_ = {}, [(0, 0)] if memo else []
     while open_:
         x, y = open_.pop()
         out[x] = y
-        open_ += best(x, y)[1]
+        open_ += memo[x, y][1]
     return out
 
 
-_ALIGNED: dict[tuple[str, str], dict[tuple[str, ...], int]] = {}
+def below(path: int, label: str) -> int:
+    """Name of a label path, made from that of its parent's: as long for any depth, and valid within one process."""
+    return hash((path, label))
+
+
+_ALIGNED: dict[tuple[str, str], dict[int, int]] = {}
 
 
-def aligned(shape: str, reference: str) -> dict[tuple[str, ...], int]:
+def aligned(shape: str, reference: str) -> dict[int, int]:
     """Label paths of a page's skeleton and the reference nodes they are matched with; the last few thousand pairs are kept."""
     key = shape, reference
     if key not in _ALIGNED:
@@ -171,34 +222,34 @@ def aligned(shape: str, reference: str) -> dict[tuple[str, ...], int]:
             _ALIGNED.clear()
         own = tree(shape)
         found = matched(own, tree(reference))
-        paths: dict[int, tuple[str, ...]] = {0: ()}
+        paths: dict[int, int] = {0: 0}
         for i, (_, kids) in enumerate(own):
             for k in kids:
-                paths[k] = (*paths[i], own[k][0])
+                paths[k] = below(paths[i], own[k][0])
         _ALIGNED[key] = {paths[x]: y for x, y in found.items()}
     return _ALIGNED[key]
 
 
-def blocks(root: Node) -> list[tuple[tuple[str, ...], bool, str]]:
-    """Text blocks of a page in order: label path, whether a role on the path excludes it, text."""
-    out: list[tuple[tuple[str, ...], bool, str]] = []
+def blocks(root: Node, under: int = 0) -> list[tuple[int, bool, bool, str]]:
+    """Text blocks of a page in order: label path, whether a role on the path excludes it, whether it lies in the path ``under``, text."""
+    out: list[tuple[int, bool, bool, str]] = []
     run: list[str] = []
 
-    def flush(path: tuple[str, ...], void: bool) -> None:
+    def flush(path: int, void: bool, inside: bool) -> None:
         if run:
             text = BLANK.sub(" ", entities.unescape("".join(run))).strip()
             if text:
-                out.append((path, void, text))
+                out.append((path, void, inside, text))
             run.clear()
 
-    stack: list[tuple[Node, Iterator, tuple[str, ...], bool]] = [(root, iter(root.kids), (), False)]
+    stack: list[tuple[Node, Iterator, int, bool, bool]] = [(root, iter(root.kids), 0, False, under == 0)]
     while stack:
-        node, kids, path, void = stack[-1]
+        node, kids, path, void, inside = stack[-1]
         kid = next(kids, None)
         if kid is None:
             stack.pop()
             if node.tag not in INLINE or node.void:
-                flush(path, void)
+                flush(path, void, inside)
         elif isinstance(kid, str):
             run.append(kid)
         elif kid.tag == "br":
@@ -206,11 +257,12 @@ def blocks(root: Node) -> list[tuple[tuple[str, ...], bool, str]]:
         elif kid.tag in VOID and kid.tag not in ("hr",):
             continue
         elif kid.tag in INLINE and not kid.void:
-            stack.append((kid, iter(kid.kids), path, void))
+            stack.append((kid, iter(kid.kids), path, void, inside))
         else:
-            flush(path, void)
+            flush(path, void, inside)
             if not (kid.tag in RAW or kid.void and kid.tag in ("head", "svg", "template", "noscript")):
-                stack.append((kid, iter(kid.kids), (*path, kid.label), void or kid.void))
+                own = below(path, kid.label)
+                stack.append((kid, iter(kid.kids), own, void or kid.void, inside or own == under))
     return out
 
 
@@ -269,7 +321,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                 page = parsed(text or "")
                 nodes = aligned(skeleton(page), wrapper)
                 mine: dict[int, list[str]] = {}
-                for path, void, block in blocks(page):
+                for path, void, _, block in blocks(page):
                     if not void and path in nodes:
                         mine.setdefault(nodes[path], []).append(block)
                 for slot, texts in mine.items():
@@ -302,8 +354,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                     root, fixed = roots[host]
                     page = parsed(text or "")
                     nodes = aligned(skeleton(page), wrapper)
-                    under = next((path for path, node in nodes.items() if node == root), ())
-                    texts.append("\n\n".join(b for path, void, b in blocks(page) if not void and path[:len(under)] == under and nodes.get(path, -1) not in fixed))
+                    under = next((path for path, node in nodes.items() if node == root), 0)
+                    texts.append("\n\n".join(b for path, void, inside, b in blocks(page, under) if not void and inside and nodes.get(path, -1) not in fixed))
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, type=pa.string()), pa.array(list(map(len, texts)), type=pa.int64())], ["id", "url", "text", "n_chars"])
 
     full = _join(rows, learned, 3 * size).select("id", "url", "host", "html", "wrapper", "slots")

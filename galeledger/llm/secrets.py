@@ -9,19 +9,23 @@ from .common import let
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"
-# Strings without a digit are words, never candidates.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 # Character classes: pattern of the whole candidate, alphabet, least entropy (bits) of some window of 20.
 CLASSES = (
     ("hex", r"^[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 3.0),
     ("alnum", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.7),
+    ("small", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789", 3.7),
+    ("large", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.7),
+    # Without a digit it may be a long word or a joined name, whose letters repeat more.
+    ("letters", r"^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 3.9),
     ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.7),
 )
-# Strings that look random and are no secrets: samples, UUIDs, paths of plain words, one repeated character (fixed values).
+# Strings that look random and are no secrets: samples, UUIDs, paths of plain words, names joined by capitals, one repeated character (fixed values).
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^/?([A-Za-z]{1,15}[/_-]){2,}[A-Za-z0-9]{0,15}$", r"^(.)\1+$", r"(?i)abcdefghijklmnop|0123456789",
+    r"^/?([A-Za-z]{1,15}[/_-]){2,}[A-Za-z0-9]{0,15}$", r"^[A-Z]?[a-z]{2,}([A-Z][a-z]+)+$", r"^(.)\1+$",
+    r"(?i)abcdefghijklmnop|0123456789",
 )
 SPAN = "array<struct<s:int,e:int,k:int,m:string>>"
 
@@ -93,7 +97,7 @@ def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Kinds: 0 assign, 1 access, 2 hex (fixed patterns), 3 entropy. Places count code points, end exclusive.
     ``secret_spans`` has the fixed ones and, of the strings of 20 or more key characters, those with a window of high
-    entropy for their class that no allow list names and no fixed span overlaps. A null text has no spans.
+    entropy for their class that no allow list names and no fixed span overlaps. A null text has no spans. Columns of these two names are replaced, all others stay.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(body)
@@ -103,12 +107,12 @@ def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     assign = F.when(named, F.filter(spans(body, ASSIGN, 0, 2), lambda x: F.length(x["m"]) >= 6)).otherwise(none)
     access = F.when(F.contains(body, F.lit("AKIA")), spans(body, ACCESS, 1)).otherwise(none)
     base = F.concat(assign, access, spans(body, HEX, 2))
-    found = docs.withColumn("base_spans", F.sort_array(base)).withColumn("_c", spans(body, CANDIDATE, 3))
+    found = docs.withColumn("base_spans", F.sort_array(base))
     ordered = lambda a: F.transform(F.sort_array(F.transform(a, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m")))),
                                     lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"), x["m"].alias("m")))
     free = lambda x: ~F.exists("base_spans", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    added = F.filter("_c", lambda x: free(x) & suspicious(x["m"]))
-    return found.withColumn("base_spans", ordered(F.col("base_spans"))).withColumn("secret_spans", ordered(F.concat("base_spans", added))).drop("_c")
+    added = F.filter(spans(body, CANDIDATE, 3), lambda x: free(x) & suspicious(x["m"]))
+    return found.withColumn("base_spans", ordered(F.col("base_spans"))).withColumn("secret_spans", ordered(F.concat("base_spans", added)))
 
 
 def masked(text: Column, found: Column, mark: str = "[SECRET]") -> Column:

@@ -1,8 +1,8 @@
-from galeledger.llm.pages import aligned, blocks, content_root, extract, matched, parsed, skeleton, tree
+from galeledger.llm.pages import aligned, below, blocks, content_root, extract, matched, parsed, skeleton, tree
 
 
 def text_of(page):
-    return [b for _, void, b in blocks(parsed(page)) if not void]
+    return [b for _, void, _, b in blocks(parsed(page)) if not void]
 
 
 def test_blocks_and_roles():
@@ -29,7 +29,10 @@ def test_matching_keeps_order_and_parents():
     assert names == {"": "", "html": "html", "body": "body", "article": "article", "p": "p", "footer": "footer"}
     assert matched(tree("a()b()"), tree("b()a()")).keys() != {0, 1, 2}
     shape = "html(body(div.x(p())))"
-    assert aligned(shape, shape) == {(): 0, ("html",): 1, ("html", "body"): 2, ("html", "body", "div.x"): 3, ("html", "body", "div.x", "p"): 4}
+    path = [0]
+    for label in ("html", "body", "div.x", "p"):
+        path.append(below(path[-1], label))
+    assert aligned(shape, shape) == {p: i for i, p in enumerate(path)}
 
 
 def test_root_is_the_container_of_the_text():
@@ -62,3 +65,18 @@ def test_driver_pages(spark):
         article = re.search(r"<article>(.*)</article>", source[r.page_id], re.DOTALL)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", "", x.replace("<br>", " ")))).strip() for x in re.split(r"</?(?:h1|p)>", article)]
         assert r.text == "\n\n".join(x for x in parts if x)
+
+
+def test_deep_and_broken_pages_end(spark):
+    import time
+
+    deep = "<html><body>" + "<div>" * 5000 + "<p>deep text here</p>" + "</div>" * 5000 + "</body></html>"
+    marks = "<p>" + "<b>" * 5000 + "bold text" + "</b>" * 5000 + "</p>"
+    broken = ["<a " * 350_000, "<p>seen</p>" + '<a "' * 250_000 + ">", "<" * 500_000, "<!--" * 250_000, "<p title='x>one</p><p>two</p>", "<p>three</p><!-- open"]
+    rows = [(k, f"http://h{k}.org/", t) for k, t in enumerate([deep, marks, *broken])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    start = time.time()
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert time.time() - start < 60
+    assert got[0] == "deep text here" and got[1] == "bold text" and got[3].startswith("seen") and got[7] == "three"
+    assert "two" in got[6]

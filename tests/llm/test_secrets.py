@@ -50,3 +50,21 @@ def test_masking_merges_overlaps(spark, no_docs):
     df = secrets(spark.createDataFrame([("a token=0123456789abcdef01234567 b password:secret99 c",), ("none",), (None,)], "text string"))
     assert [r[0] for r in df.select(masked(F.col("text"), F.col("secret_spans"))).collect()] == ["a [SECRET] b [SECRET] c", "none", None]
     assert secrets(no_docs).count() == 0
+
+
+def test_classes_and_clashing_columns(spark):
+    import random
+
+    rng = random.Random(7)
+    key = lambda alphabet, n=28: "".join(rng.sample(alphabet, min(n, len(alphabet))))
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = ["a1" + key(small + "0123456789"), "Z9" + key(large + "234567"), key(small + large, 40), key(small, 24), key(small + large + "0123456789"), "aB3" + key(small + large + "+/0123456789")]
+    clean = ["telecommunicationsinfrastructure", "getElementByIdAndClassNameFromParent", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "=" * 40, "usr/local/share/documentation", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT"]
+    rows = [(i, f"see {w} here", "c", "n", "o") for i, w in enumerate(found + clean)]
+    out = secrets(spark.createDataFrame(rows, "doc_id long, text string, _c string, s string, m string"))
+    assert {"_c", "s", "m"} <= set(out.columns)
+    got = {r.doc_id: [(x.s, x.e, x.k) for x in r.secret_spans] for r in out.collect()}
+    for i, w in enumerate(found):
+        assert got[i] == [(4, 4 + len(w), 3)], w
+    for i, w in enumerate(clean, len(found)):
+        assert got[i] == [], w
