@@ -59,7 +59,7 @@ def test_classes_and_clashing_columns(spark):
     key = lambda alphabet, n=28: "".join(rng.sample(alphabet, min(n, len(alphabet))))
     small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     found = ["a1" + key(small + "0123456789"), "Z9" + key(large + "234567"), key(small + large, 40), key(small, 24), key(small + large + "0123456789"), "aB3" + key(small + large + "+/0123456789")]
-    clean = ["telecommunicationsinfrastructure", "getElementByIdAndClassNameFromParent", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "=" * 40, "usr/local/share/documentation", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT"]
+    clean = ["telecommunicationsinfrastructure", "getElementByIdAndClassNameFromParent", "zzzzzzzzzzzzzzzzzzzzzzzzzzzz", "=" * 40, "usr/local/share/documentation", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT"]
     rows = [(i, f"see {w} here", "c", "n", "o") for i, w in enumerate(found + clean)]
     out = secrets(spark.createDataFrame(rows, "doc_id long, text string, _c string, s string, m string"))
     assert {"_c", "s", "m"} <= set(out.columns)
