@@ -16,9 +16,9 @@ from .common import ready, slices
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 # Words that label a page as unwanted for training (fixed values); the classifier learns the words that go with them.
 SEEDS = ("spam", "pills", "casino", "viagra", "poker", "porn", "xxx", "adult", "betting", "warez", "torrent", "lottery", "escort")
-# Most words of the unigram model that workers hold, each at most 24 letters; a longer or rarer string is priced by its length.
-MODEL_WORDS = 1 << 16
+# Letters of a word of the unigram model at most; a longer string is priced by its length, as unknown ones are.
 WORD_LENGTH = 24
+RUN = r"[^\W\d_]+|\d+"  # letters or digits
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,37 +40,32 @@ def ruled(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES
 
 
 class Segmenter:
-    """Splits a run of letters into the words of largest probability under a unigram model."""
+    """Splits a run of letters into the words of largest probability under a unigram model of ``total`` words."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = max(sum(counts.values()), 1)
-        self.cost = {w: -log(n / self.total) for w, n in counts.items()}
-        self.kept: dict[str, list[str]] = {}
+    def __init__(self, total: int):
+        self.total = max(total, 1)
 
-    def price(self, word: str) -> float:
+    def price(self, word: str, counts: dict[str, int]) -> float:
         """A known word by its frequency, an unknown one tenfold rarer with every letter."""
-        known = self.cost.get(word)
-        return known if known is not None else log(self.total) + 2.302585092994046 * (len(word) - 1)
-
-    def split(self, run: str) -> list[str]:
-        if run not in self.kept:
-            if len(self.kept) > 1 << 17:
-                self.kept.clear()
-            best, back = [0.0], [0]
-            for stop in range(1, len(run) + 1):
-                price, start = min((best[s] + self.price(run[s:stop]), s) for s in range(max(0, stop - WORD_LENGTH), stop))
-                best.append(price)
-                back.append(start)
-            words, at = [], len(run)
-            while at:
-                words.append(run[back[at]:at])
-                at = back[at]
-            self.kept[run] = words[::-1]
-        return self.kept[run]
-
-
-def unigrams(texts: DataFrame) -> dict[str, int]:
-    """Counts of the most frequent words of letters a to z over all rows (column ``t``), at most ``MODEL_WORDS``."""
+        n = counts.get(word)
+        return log(self.total) - log(n) if n else log(self.total) + 2.302585092994046 * (len(word) - 1)
+
+    def split(self, run: str, counts: dict[str, int]) -> list[str]:
+        """``counts``: those of the words that stand anywhere in the run."""
+        best, back = [0.0], [0]
+        for stop in range(1, len(run) + 1):
+            price, start = min((best[s] + self.price(run[s:stop], counts), s) for s in range(max(0, stop - WORD_LENGTH), stop))
+            best.append(price)
+            back.append(start)
+        words, at = [], len(run)
+        while at:
+            words.append(run[back[at]:at])
+            at = back[at]
+        return words[::-1]
+
+
+def unigrams(texts: DataFrame) -> DataFrame:
+    """(w, n): counts of all words of letters a to z over all rows (column ``t``); a seed counts twice at least."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen = re.compile(rb"[a-z]+").findall, Counter()
         out = lambda: pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], type=pa.string()), pa.array(list(seen.values()), type=pa.int64())], ["w", "n"])
@@ -83,23 +78,49 @@ def unigrams(texts: DataFrame) -> dict[str, int]:
                     seen.clear()
         yield out()
 
-    sums = texts.select(F.col("t").cast("binary").alias("t")).mapInArrow(counted, "w string, n long").where(F.length("w") <= WORD_LENGTH).groupBy("w").agg(F.sum("n").alias("n"))
-    return {r.w: r.n for r in sums.orderBy(F.desc("n"), "w").limit(MODEL_WORDS).collect()}
+    seeds = F.col("w").isin(*SEEDS)
+    known = texts.sparkSession.createDataFrame([(w, 0) for w in SEEDS], "w string, n long")
+    sums = texts.select(F.col("t").cast("binary").alias("t")).mapInArrow(counted, "w string, n long").unionByName(known).groupBy("w").agg(F.sum("n").alias("n"))
+    return sums.withColumn("n", F.when(seeds, F.greatest("n", F.lit(2))).otherwise(F.col("n")))
 
 
-def tokens(pages: DataFrame, model: dict[str, int]) -> DataFrame:
-    """``pages`` (host, path) with ``host_words`` and ``path_words``: segmented words; a number counts as ``#``."""
-    spark = ready(pages.sparkSession)
-    shared = spark.sparkContext.broadcast(model)
+def tokens(pages: DataFrame, model: DataFrame) -> DataFrame:
+    """``pages`` (host, path) with ``host_words`` and ``path_words``: segmented words; a number counts as ``#``.
+
+    Every distinct run of letters is split once. Its substrings meet the counts of all words in a join, so no task or driver
+    holds the model; a run gets the counts of its own substrings, WORD_LENGTH a letter at most.
+    """
+    ready(pages.sparkSession)
+    total = int(model.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+    def runs_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(RUN).findall
+        for batch in batches:
+            cut = [pa.array([["#" if run[0].isdigit() else run for run in find((t or "").lower())] for t in batch.column(c).to_pylist()], type=pa.list_(pa.string())) for c in ("host", "path")]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), *cut], ["host", "path", "hr", "pr"])
+
+    def substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in batch.column("run").to_pylist():
+                found = {run[s:e] for s in range(len(run)) for e in range(s + 1, min(len(run), s + WORD_LENGTH) + 1)}
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), type=pa.string()), pa.array(sorted(found), type=pa.string())], ["run", "w"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, find = Segmenter(shared.value), re.compile(r"[^\W\d_]+|\d+").findall
-        words = lambda text: [w for run in find(text.lower()) for w in (["#"] if run[0].isdigit() else own.split(run))]
+        own = Segmenter(total)
         for batch in batches:
-            cut = [pa.array([words(t or "") for t in batch.column(c).to_pylist()], type=pa.list_(pa.string())) for c in ("host", "path")]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), *cut], ["host", "path", "host_words", "path_words"])
+            words = [own.split(run, {x["w"]: x["n"] for x in known or ()}) for run, known in zip(batch.column("run").to_pylist(), batch.column("known").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(words, type=pa.list_(pa.string()))], ["run", "words"])
 
-    return pages.select("host", "path").mapInArrow(split, "host string, path string, host_words array<string>, path_words array<string>")
+    cut = settle(pages.select("host", "path").mapInArrow(runs_in, "host string, path string, hr array<string>, pr array<string>"), "url-runs")
+    runs = settle(cut.select(F.explode(F.array_union("hr", "pr")).alias("run")).where("run <> '#'").distinct(), "runs")
+    counted = runs.mapInArrow(substrings, "run string, w string").join(model, "w").groupBy("run").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+    words = runs.join(counted, "run", "left").select("run", "known").mapInArrow(split, "run string, words array<string>")
+    words = words.unionByName(pages.sparkSession.createDataFrame([("#", ["#"])], "run string, words array<string>"))
+    placed = cut.select("host", "path", F.posexplode(F.concat("hr", "pr")).alias("at", "run"), F.size("hr").alias("k")).join(settle(words, "run-words"), "run")
+    side = lambda where: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("at", "words")))), lambda x: x["words"]))
+    found = placed.groupBy("host", "path").agg(side(F.col("at") < F.col("k")).alias("hw"), side(F.col("at") >= F.col("k")).alias("pw"))
+    none = F.array().cast("array<string>")
+    return cut.select("host", "path").join(found, ["host", "path"], "left").select("host", "path", F.coalesce("hw", none).alias("host_words"), F.coalesce("pw", none).alias("path_words"))
 
 
 def odds(cut: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -131,9 +152,7 @@ def judged(pages: DataFrame, texts: DataFrame, page_id: str = "page_id", url: st
     rows = pages.select(F.col(page_id), F.col(url), *[c.alias(k) for k, c in split_url(F.col(url)).items()])
     distinct = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"))
     labels = F.filter(F.split(F.concat_ws("/", "host", "path"), "[./]"), lambda x: F.contains(x, F.lit("-")))
-    model = unigrams(texts.select("t").unionByName(distinct.select(F.array_join(labels, " ").alias("t"))))
-    for seed in SEEDS:
-        model[seed] = max(model.get(seed, 0), 2)
+    model = settle(unigrams(texts.select("t").unionByName(distinct.select(F.array_join(labels, " ").alias("t")))), "unigrams")
     cut = settle(tokens(distinct, model).join(distinct, ["host", "path"]), "url-words")
     rule, verdict = ruled(F.col("host"), F.col("path"))
     scored = settle(odds(cut), "url-odds")

@@ -1,8 +1,9 @@
 import math
 import random
+import re
 from itertools import combinations
 
-from galeledger.llm.urls import RULES, Segmenter, judged, split_url, ruled
+from galeledger.llm.urls import RULES, Segmenter, judged, odds, split_url, ruled, tokens, unigrams
 from pyspark.sql import functions as F
 
 URLS = [
@@ -34,12 +35,12 @@ def test_hosts_paths_and_rules(spark):
 
 def test_segments_are_the_most_probable():
     counts = {"cheap": 50, "pills": 40, "online": 70, "on": 300, "line": 80, "p": 5, "ills": 2, "the": 500, "rapist": 3, "therapist": 9}
-    own = Segmenter(counts)
-    cost = lambda words: sum(own.price(w) for w in words)
+    own = Segmenter(sum(counts.values()))
+    cost = lambda words: sum(own.price(w, counts) for w in words)
     for run in ("cheappillsonline", "therapist", "onlinex", "zq", "thepills"):
         cuts = [[run[a:b] for a, b in zip((0, *c), (*c, len(run)))] for k in range(min(len(run), 6)) for c in combinations(range(1, len(run)), k)]
-        assert math.isclose(cost(own.split(run)), min(map(cost, cuts)))
-    assert own.split("cheappillsonline") == ["cheap", "pills", "online"]
+        assert math.isclose(cost(own.split(run, counts)), min(map(cost, cuts)))
+    assert own.split("cheappillsonline", counts) == ["cheap", "pills", "online"]
 
 
 def test_words_that_go_with_seeds_are_learned(spark):
@@ -63,3 +64,35 @@ def test_odd_rows(spark):
     assert len(got) == len(URLS) + 2
     assert all(r.verdict == (expected(r.url)[3] or r.verdict) and r.verdict in ("allow", "block") for r in got)
     assert judged(pages.limit(0), texts).count() == 0
+
+
+def test_segments_use_the_counts_of_all_words(spark):
+    rng = random.Random(9)
+    words = sorted({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(3000)})
+    texts = spark.createDataFrame([(" ".join(rng.choices(words, k=40)).upper(),) for _ in range(400)], "t string").repartition(5)
+    rows = [("".join(rng.choices(words, k=3)) + ".7x.", "/" + rng.choice(words) + "/" + "".join(rng.choices(words, k=2)) + "12é") for _ in range(60)] + [("", ""), ("..", "/9")]
+    model = unigrams(texts)
+    counts = {r.w: r.n for r in model.collect()}
+    assert len(counts) > 2000 and counts["casino"] == 2
+    own, find = Segmenter(sum(counts.values())), re.compile(r"[^\W\d_]+|\d+").findall
+    cut = lambda t: [w for run in find(t) for w in (["#"] if run[0].isdigit() else own.split(run, counts))]
+    got = {(r.host, r.path): (r.host_words, r.path_words) for r in tokens(spark.createDataFrame(rows, "host string, path string").distinct(), model).collect()}
+    assert got == {(h, p): (cut(h), cut(p)) for h, p in rows}
+
+
+def test_odds_equal_a_naive_bayes_by_hand(spark):
+    rows = [("a", "/x", ["casino", "win"], ["deal"], 3), ("b", "/y", ["garden"], ["visit", "deal"], 5), ("c", "/z", [], [], 2), ("d", "/w", ["win"], ["#"], 1)]
+    cut = spark.createDataFrame(rows, "host string, path string, host_words array<string>, path_words array<string>, n long")
+    by = {0: {}, 1: {}}
+    pages = [0, 0]
+    for _, _, h, p, n in rows:
+        y = int("casino" in h)
+        pages[y] += n
+        for w in [f"h:{x}" for x in h] + [f"p:{x}" for x in p]:
+            by[y][w] = by[y].get(w, 0) + n
+    v = len(set(by[0]) | set(by[1]))
+    say = lambda y, w: math.log((by[y].get(w, 0) + 1) / (sum(by[y].values()) + v + 1))
+    for r in odds(cut).collect():
+        _, _, h, p, _ = next(x for x in rows if x[0] == r.host)
+        want = math.log(pages[1] + 1) - math.log(pages[0] + 1) + sum(say(1, w) - say(0, w) for w in [f"h:{x}" for x in h] + [f"p:{x}" for x in p])
+        assert math.isclose(r.log_odds, want)
