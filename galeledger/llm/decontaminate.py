@@ -16,9 +16,9 @@ from .common import parts, ready, slices
 
 # A-Z to a-z, ASCII punctuation and white space to blanks; all other bytes stay.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-RANK = 64  # latent dimensions
+RANK, ITEMS_A_DIMENSION = 64, 16  # latent dimensions at least, and items of a block for each beyond
 HALF = 16  # a window has two halves of this many words
-COSINE = 0.55  # least cosine of a candidate
+COSINE = 0.4  # least cosine of a candidate
 SHARE, SHARE_WITH_ANSWER = 0.8, 0.6  # least part of an item's words in common order
 BLOCK_WORDS = 1 << 17  # most words of the items that are searched in one pass
 
@@ -137,7 +137,7 @@ def _subspace(spark: SparkSession, items: Items, idf: np.ndarray, rounds: int =
     Each round maps the items over the tasks: a task sums a (a' M) over its rows a, the partial products are added by
     word range in a shuffle, and the thin product A'A M comes back to be made orthonormal. M starts as Gaussian.
     """
-    n, rank = len(idf), min(RANK, len(items.ids))
+    n, rank = len(idf), min(len(items.ids), max(RANK, len(items.ids) // ITEMS_A_DIMENSION))
     weighted = [(at := np.array(sorted(c)), np.array([c[w] for w in at.tolist()]) * idf[at]) for c in map(Counter, items.words)]
     shape = [(a.astype(np.int64).tobytes(), (v / max(np.linalg.norm(v), 1e-12)).tobytes()) for a, v in weighted]
     rows = spark.createDataFrame(shape, "at binary, v binary").repartition(min(parts(spark), max(1, len(shape) // 64)))

@@ -79,3 +79,25 @@ def test_many_blocks_and_empty_tables(spark, docs, no_docs, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leaks(rows, bench).collect()} == {(d, i) for d, i in planted if d < 60 and i < 30}
     assert leaks(no_docs, bench).count() == 0 and leaks(docs, bench.limit(0)).count() == 0
     assert decontaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_thousands_of_items_are_found(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(30000)]
+    weights = [1 / (i + 8) for i in range(30000)]
+    words = lambda n: rng.choices(vocabulary, weights, k=n)
+    items = [words(rng.randint(15, 59)) for _ in range(2500)]
+    texts, planted = [], set()
+    for i in range(0, 2500, 5):
+        text, copy = words(rng.randint(100, 600)), list(items[i])
+        if i % 2:
+            for k in rng.sample(range(len(copy)), int(0.15 * len(copy))):
+                copy[k] = rng.choice(vocabulary)
+        at = rng.randint(0, len(text))
+        text[at:at] = copy
+        planted.add((len(texts), i))
+        texts.append(" ".join(text))
+    docs = spark.createDataFrame([(d, t) for d, t in enumerate(texts)], "doc_id long, text string").repartition(8)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks(docs, bench).collect()}
+    assert len(got & planted) >= 0.98 * len(planted) and len(got - planted) <= 5
