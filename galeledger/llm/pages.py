@@ -32,7 +32,9 @@ ATTRIBUTES = re.compile(r"(?:[^>\"']+|\"[^\"]*\"|'[^']*')*+")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|\sstyle\s*=\s*[\"'][^\"'>]*display\s*:\s*none", re.IGNORECASE)
 BLANK = re.compile(r"\s+")
-LEAST_SHARE, CONSTANT_SHARE, CONSTANT_PAGES = 0.8, 0.95, 20
+LEAST_SHARE, CONSTANT_SHARE = 0.8, 0.95
+# Different pages that a constant node stands on: half of the host's, or as many as this.
+SPREAD, ENOUGH_PAGES = 0.5, 20
 
 
 class Node:
@@ -297,7 +299,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """(page_id, url, text, n_chars) of every page.
 
     Per host, the most frequent skeleton is the wrapper. Every page's skeleton is aligned with it by simple tree matching; the text of
-    aligned nodes is compared over all pages of the host: a node with one text on nearly all pages is template, the others are slots.
+    aligned nodes is compared over all pages of the host: a node with one text on nearly all pages that have it is template, the others are slots. Pages alike in all
+    their text count once, and two different ones are enough; a node must stand on half of them or on ``ENOUGH_PAGES``. A host whose constant nodes hold more text on a page than
+    its slots shows copies of one article and teaches no template. Of equally frequent skeletons the last in text order is the wrapper.
     The content is the container that holds most of the slots' text, with what a role (menu, notice, advert, ...) excludes left out.
     Character references are decoded, white space in a block is one space, blocks are joined by two line feeds. Null, empty and
     text-free pages give an empty text. A page without the container gives the blocks that no role excludes. Pages without host form one group.
@@ -316,28 +320,38 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[tuple, list] = {}
+            out: dict[tuple, int] = {}
             for host, text, wrapper in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "wrapper"))):
                 page = parsed(text or "")
                 nodes = aligned(skeleton(page), wrapper)
+                whole = xxhash.xxh64()
                 mine: dict[int, list[str]] = {}
                 for path, void, _, block in blocks(page):
                     if not void and path in nodes:
                         mine.setdefault(nodes[path], []).append(block)
+                        whole.update(block.encode() + b"\n")
+                copy = whole.intdigest() >> 1
+                if mine:
+                    out[host, -1, copy, copy] = 0
                 for slot, texts in mine.items():
-                    sums = out.setdefault((host, slot, xxhash.xxh64_intdigest("\n".join(texts).encode(), 42) >> 1), [0, 0])
-                    sums[0] += 1
-                    sums[1] += sum(map(len, texts))
+                    out[host, slot, xxhash.xxh64_intdigest("\n".join(texts).encode(), 42) >> 1, copy] = sum(map(len, texts))
             keys = list(out)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in keys], type=pa.string()), pa.array([k[1] for k in keys], type=pa.int64()), pa.array([k[2] for k in keys], type=pa.int64()),
-                 pa.array([out[k][0] for k in keys], type=pa.int64()), pa.array([out[k][1] for k in keys], type=pa.int64())], ["host", "slot", "h", "n", "chars"])
+                 pa.array([k[3] for k in keys], type=pa.int64()), pa.array(list(out.values()), type=pa.int64())], ["host", "slot", "h", "copy", "chars"])
 
-    texts = _join(rows, wrappers, size).select("host", "html", "wrapper").mapInArrow(slots, "host string, slot long, h long, n long, chars long")
-    by_text = texts.groupBy("host", "slot", "h").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    texts = _join(rows, wrappers, size).select("host", "html", "wrapper").mapInArrow(slots, "host string, slot long, h long, copy long, chars long")
+    once = texts.groupBy("host", "slot", "h", "copy").agg(F.max("chars").alias("chars"))
+    by_text = once.groupBy("host", "slot", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     by_slot = by_text.groupBy("host", "slot").agg(F.max("n").alias("top"), F.sum("n").alias("n"), F.sum("chars").alias("chars"))
-    fixed = (F.col("n") >= CONSTANT_PAGES) & (F.col("top") >= CONSTANT_SHARE * F.col("n"))
-    known = by_slot.groupBy("host").agg(F.collect_list(F.struct("slot", fixed.alias("fixed"), "chars")).alias("slots"))  # as many as the wrapper has nodes
+    # As many rows of a host as the wrapper has nodes; node -1 counts the different pages.
+    listed = by_slot.groupBy("host").agg(F.max(F.when(F.col("slot") < 0, F.col("n"))).alias("pages"), F.collect_list(F.struct("slot", "top", "n", "chars")).alias("all"))
+    constant = lambda s: (s["n"] >= 2) & (s["top"] >= CONSTANT_SHARE * s["n"]) & ((s["n"] >= SPREAD * F.col("pages")) | (s["n"] >= ENOUGH_PAGES))
+    slots_of = F.transform(F.filter("all", lambda s: s["slot"] >= 0), lambda s: F.struct(s["slot"].alias("slot"), constant(s).alias("fixed"), s["chars"].alias("chars")))
+    mass = lambda fixed: F.aggregate("slots", F.lit(0).cast("long"), lambda a, s: a + F.when(s["fixed"] == F.lit(fixed), s["chars"]).otherwise(0))
+    varies = mass(False) >= mass(True)
+    known = listed.select("host", slots_of.alias("slots")).withColumn("varies", varies).select(
+        "host", F.transform("slots", lambda s: F.struct(s["slot"].alias("slot"), (s["fixed"] & F.col("varies")).alias("fixed"), s["chars"].alias("chars"))).alias("slots"))
     learned = settle(wrappers.join(known, "host", "left"), "learned")
 
     def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

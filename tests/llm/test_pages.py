@@ -80,3 +80,18 @@ def test_deep_and_broken_pages_end(spark):
     assert time.time() - start < 60
     assert got[0] == "deep text here" and got[1] == "bold text" and got[3].startswith("seen") and got[7] == "three"
     assert "two" in got[6]
+
+
+def test_template_of_small_hosts(spark):
+    page = lambda k, i: (f"<html><body><div class='top'>Welcome to host {k}</div><div class='main'><h2>Title {i}</h2><p>Body of page {i}, a text of its own.</p>"
+                         "<div class='end'>Thank you for reading</div></div></body></html>")
+    article = "<html><body><div class='main'><h2>One title</h2><p>One and the same long text of an article that stands on two pages.</p><p>{}</p></div></body></html>"
+    rows = [(f"http://h{k}.org/{i}", page(k, i)) for k in (2, 5, 15, 40) for i in range(k)]
+    rows += [(f"http://copies.org/{i}", page(7, 1)) for i in range(100)] + [("http://copies.org/other", page(7, 2))]
+    rows += [("http://twins.org/a", article.format("Monday")), ("http://twins.org/b", article.format("Tuesday")), ("http://alone.org/", page(1, 3)), ("http://same.org/1", page(1, 4)), ("http://same.org/2", page(1, 4))]
+    got = {r.url: r.text for r in extract(spark.createDataFrame([(j, *r) for j, r in enumerate(rows)], "page_id long, url string, html string").repartition(6)).collect()}
+    for k in (2, 5, 15, 40):
+        assert all(got[f"http://h{k}.org/{i}"] == f"Title {i}\n\nBody of page {i}, a text of its own." for i in range(k)), k
+    assert got["http://copies.org/5"] == "Title 1\n\nBody of page 1, a text of its own." and got["http://copies.org/other"] == "Title 2\n\nBody of page 2, a text of its own."
+    assert "One and the same long text" in got["http://twins.org/a"] and "Tuesday" in got["http://twins.org/b"]
+    assert "Body of page 3" in got["http://alone.org/"] and "Body of page 4" in got["http://same.org/1"]
