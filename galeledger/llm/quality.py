@@ -7,7 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import BLANKS, let
+from .common import BLANKS, free, let
 
 # Phrases of notices, licences and page furniture; a line with one of them is dropped (fixed values).
 BOILERPLATE = (
@@ -71,20 +71,21 @@ def quality(docs: DataFrame, text: str = "text", least_left: float = 0.5) -> Dat
     """
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    q, line, whole = free(docs, "_q", "_l", "_all")
     judged = F.transform(lines, lambda x: F.struct(x.alias("line"), line_fault(x).alias("fault")))
     counts = docs.withColumns({
-        "_q": let(words_of(body), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeat_words(w).alias("r"))),
-        "_l": judged,
+        q: let(words_of(body), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), repeat_words(w).alias("r"))),
+        line: judged,
         "n_symbols": (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]", ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
     })
-    left = F.filter("_l", lambda x: x["fault"].isNull())
+    left = F.filter(line, lambda x: x["fault"].isNull())
     total = lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + F.length(y["line"]))
     out = counts.withColumns({
-        "n_words": F.col("_q.n"), "word_chars": F.col("_q.c"), "n_repeat_words": F.col("_q.r"),
+        "n_words": F.col(q)["n"], "word_chars": F.col(q)["c"], "n_repeat_words": F.col(q)["r"],
         "clean_text": F.array_join(F.transform(left, lambda x: x["line"]), "\n"), "kept_chars": total(left),
-        "_all": total(F.filter("_l", lambda x: F.coalesce(x["fault"] != "boilerplate", F.lit(True)))),
+        whole: total(F.filter(line, lambda x: F.coalesce(x["fault"] != "boilerplate", F.lit(True)))),
     })
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~failed & (F.col("kept_chars") > 0) & (F.col("kept_chars") >= least_left * F.col("_all"))).drop("_q", "_l", "_all")
+    return out.withColumn("kept", ~failed & (F.col("kept_chars") > 0) & (F.col("kept_chars") >= least_left * F.col(whole))).drop(q, line, whole)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .common import WORD_HASHES, ready, shingle_hashes, signed, slices
+from .common import WORD_HASHES, free, ready, shingle_hashes, signed, slices
 from .graph import components, linked
 from .paragraphs import alike, buckets, tuned
 
@@ -270,12 +270,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grouped = texts.join(components(edges), F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))
     # min_by passes over null ids only where there are none else
     stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "th")).alias("best")).select("best.first", "best.th")
-    stay = settle(stay.withColumnsRenamed({"first": "_first", "th": "_th"}), "stay")
-    keyed = docs.withColumn("_hash", text_hash)
-    kept = keyed.join(stay, (F.col("_hash") == F.col("_th")) & F.col(doc_id).eqNullSafe(F.col("_first")), "left_semi").drop("_hash")
-    again = settle(rows.groupBy("d", "th").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("d").alias("_d"), F.col("th").alias("_t")), "repeated-rows")
+    own, first, th, d, t = free(docs, "_hash", "_first", "_th", "_d", "_t")
+    stay = settle(stay.withColumnsRenamed({"first": first, "th": th}), "stay")
+    keyed = docs.withColumn(own, text_hash)
+    kept = keyed.join(stay, (F.col(own) == F.col(th)) & F.col(doc_id).eqNullSafe(F.col(first)), "left_semi").drop(own)
+    again = settle(rows.groupBy("d", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("d").alias(d), F.col("th").alias(t)), "repeated-rows")
     if again.isEmpty():
         return kept
-    same = lambda df: F.col(doc_id).eqNullSafe(F.col("_d")) & (text_hash == F.col("_t"))
-    once = kept.join(again, same(kept), "left_semi").dropDuplicates([doc_id, text])
-    return kept.join(again, same(kept), "left_anti").unionByName(once)
+    same = F.col(doc_id).eqNullSafe(F.col(d)) & (text_hash == F.col(t))
+    once = kept.join(again, same, "left_semi").dropDuplicates([doc_id, text])
+    return kept.join(again, same, "left_anti").unionByName(once)

@@ -5,6 +5,7 @@ import re
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from galeledger.llm.decontaminate import words_of
@@ -99,3 +100,16 @@ def test_pieces(run):
     *_, before, after = run[1]
     assert {i: list(r["ids"]) for i, r in after.items()} == {i: library.encode(r["text"]) for i, r in before.items()}
     assert all(r["round_trip"] for r in after.values())
+
+
+def test_internal_names_may_clash(spark, docs):
+    from galeledger.llm.quality import quality
+    from galeledger.llm.simhash import near_duplicates
+    names = ["_hash", "_first", "_th", "_d", "_t", "_Q", "_l", "_all"]
+    clashing = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    plain = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in near_duplicates(docs).collect())
+    got = near_duplicates(clashing)
+    assert got.columns == clashing.columns
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in got.collect()) == plain
+    judged = quality(clashing)
+    assert set(names) <= set(judged.columns) and {r["_Q"] for r in judged.collect()} == {5}
