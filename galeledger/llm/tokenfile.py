@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
-from .chunks import Chunks
+from .chunks import Chunks, Coded, coded
 from .common import parts, ready, slices
 
 MAGIC = b"PFR1"
@@ -40,24 +40,26 @@ def encoder(path: str) -> Chunks:
         inner = re.compile(rf"[{SPACE}].*[^{SPACE}]", re.DOTALL).fullmatch
         many = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-        def encode(chunks: list[str]) -> list[list[int]]:
+        def encode(chunks: list[str]) -> Coded:
             """Chunks from white space to a letter can stand one after another in a long text, which costs less than one call each."""
-            joinable = [bool(inner(c)) for c in chunks]
-            out: list[list[int] | None] = [None] * len(chunks)
-            some = [i for i, ok in enumerate(joinable) if ok]
+            begin, size = np.full(len(chunks), -1, dtype=np.int64), np.zeros(len(chunks), dtype=np.int64)
+            flat, used = [], 0
+            some = [i for i, c in enumerate(chunks) if inner(c)]
             for s in range(0, len(some), 2000):
                 group = some[s:s + 2000]
-                ids = many(["".join(chunks[i] for i in group)])[0]
+                ids = np.array(many(["".join([chunks[i] for i in group])])[0], dtype=np.uint32)
                 ends = np.cumsum([len(chunks[i].encode()) for i in group])
                 reached = np.cumsum(width[ids])
                 cuts = np.searchsorted(reached, ends) + 1
                 if cuts[-1] == len(ids) and (reached[cuts - 1] == ends).all():
-                    for i, a, b in zip(group, [0, *cuts[:-1].tolist()], cuts.tolist()):
-                        out[i] = ids[a:b]
-            rest = [i for i, ids in enumerate(out) if ids is None]
-            for i, ids in zip(rest, many([chunks[i] for i in rest])):
-                out[i] = ids
-            return out
+                    size[group] = np.diff(cuts, prepend=0)
+                    begin[group] = used + cuts - size[group]
+                    flat.append(ids)
+                    used += len(ids)
+            rest = np.flatnonzero(begin < 0)
+            ids, at, size[rest] = coded(many([chunks[i] for i in rest.tolist()]))
+            begin[rest] = used + at
+            return np.concatenate([*flat, ids]), begin, size
 
         _ENCODERS[path] = Chunks(CHUNK, encode, end=0)
     return _ENCODERS[path]
