@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import Chunks
+from .chunks import Chunks, coded
 from .common import ready, slices
 
 SPACE = "▁"
@@ -21,13 +22,14 @@ _TRANSDUCERS: dict[str, "Transducer"] = {}
 class Transducer:
     """Normaliser, pieces and byte fallback of a model as one transducer over characters.
 
-    The states of the piece transducer are pieces: an arc from piece a reads the characters of piece b and
-    writes its id at weight -score(b), if the merges of the model leave a and b apart when they meet; all other arcs
-    weigh infinity. A character that is no piece is an arc that writes its bytes. With a text composed, states are (place, last
-    piece); the tropical shortest path to the end is the encoding.
+    The normaliser's arcs read a character and write it, or the space mark for a space. The piece transducer has the pieces as
+    states: an arc from piece a reads the characters of piece b (a way through a tree of characters, compiled once) and writes b's id at
+    weight -score(b), which is the rank of the merge that makes b. The weight is infinite, so the arc is left out, where the
+    model's merges would not leave a and b apart. A character that is no piece is an arc that writes its bytes at weight 0. With a text composed,
+    states are (place, last piece); the tropical shortest path to the end is the encoding.
     """
 
-    def __init__(self, path: str, most_pairs: int = 1 << 17):
+    def __init__(self, path: str, most_pairs: int = 1 << 19):
         import sentencepiece
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
@@ -37,15 +39,20 @@ class Transducer:
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
         self.made = {p for p in self.ids if len(p) == 1 or self.merged(p) == [p]}  # the others no merge ends in
-        self.apart: dict[tuple[str, str], bool] = {}
-        self.most_pairs = most_pairs
+        self.tree: dict = {}
+        for piece in self.made:
+            node = self.tree
+            for character in piece:
+                node = node.setdefault(character, {})
+            node[""] = piece, 0.0 - self.scores[piece], {}  # the piece, its weight, and whether it may follow another
+        self.pairs, self.most_pairs = 0, most_pairs
         self.spines: dict[tuple[str, bool], list[tuple[str, float, float]]] = {}
         self.spelled = [b""] * n
         for piece, i in self.ids.items():
             self.spelled[i] = piece.replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
             self.spelled[i] = bytes([b])
-        self.chunks = Chunks(CHUNK, lambda chunks: [self.path(c) for c in chunks])
+        self.chunks = Chunks(CHUNK, lambda chunks: coded([self.path(c) for c in chunks]))
 
     @staticmethod
     def normalised(text: str) -> str:
@@ -53,18 +60,28 @@ class Transducer:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
     def merged(self, text: str, down_to: int = 1) -> list[str]:
-        """The model's merges on a short string: the pair with the best-scored union first, leftmost on ties."""
-        parts = list(text)
-        while len(parts) > down_to:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.scores.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """The model's merges: the pair with the best-scored union first, leftmost on ties."""
+        scores, n = self.scores, len(text)
+        parts: list[str] = list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(-scores[u], i, u) for i in range(n - 1) if (u := text[i:i + 2]) in scores]
+        heapify(queue)
+        left = n
+        while queue and left > down_to:
+            _, i, union = heappop(queue)
+            j = after[i]
+            if not parts[i] or j >= n or len(parts[i]) + len(parts[j]) != len(union):
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = union, "", after[j]
+            left -= 1
+            if after[i] < n:
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n:
+                    u = parts[a] + parts[b]
+                    if u in scores:
+                        heappush(queue, (-scores[u], a, u))
+        return [p for p in parts if p]
 
     def spine(self, piece: str, right: bool) -> list[tuple[str, float, float]]:
         """The parts at one edge of a piece while it is being merged: part, rank of the merge that makes it, rank of the one that takes it in."""
@@ -83,39 +100,47 @@ class Transducer:
     def arc(self, a: str, b: str) -> bool:
         """Whether b may follow a: when the two meet, no part at the end of a and part at the start of b that exist at the same time have a
         union that is merged before either is taken in. Of equal merges the left one comes first."""
-        ok = self.apart.get((a, b))
-        if ok is None:
-            if len(self.apart) > self.most_pairs:
-                self.apart.clear()
-            scores, ok = self.scores, True
-            for x, x_made, x_until in self.spine(a, True):
-                for y, y_made, y_until in self.spine(b, False):
-                    if x_made < y_until and y_made < x_until:
-                        score = scores.get(x + y)
-                        if score is not None and -score < x_until and -score <= y_until:
-                            ok = False
-            self.apart[a, b] = ok
-        return ok
+        scores = self.scores
+        for x, x_made, x_until in self.spine(a, True):
+            for y, y_made, y_until in self.spine(b, False):
+                if x_made < y_until and y_made < x_until:
+                    score = scores.get(x + y)
+                    if score is not None and -score < x_until and -score <= y_until:
+                        return False
+        return True
 
     def path(self, chunk: str) -> list[int]:
-        """Ids on the shortest path through the transducer composed with one chunk.
+        """Ids on the shortest path through the transducer composed with one chunk: places are relaxed from left to right.
 
-        Merges are deterministic, so every place is reached by one arc of finite weight at most and the first found is the shortest path there.
+        Merges are deterministic, so one last piece at most leads to a place at finite weight, and a place keeps that one alone.
         """
         if chunk.startswith(SPACE * 2):
             # pieces of space marks alone have one common score: the order of merges decides, not a weight
             return self.written(self.merged(chunk))
-        n, made, longest, arc = len(chunk), self.made, self.longest, self.arc
-        last: list[str | None] = [""] + [None] * n
-        for stop in range(1, n + 1):
-            for start in range(max(0, stop - longest), stop):
-                before = last[start]
-                if before is not None:
-                    piece = chunk[start:stop]
-                    if (piece in made or stop - start == 1) and (not before or arc(before, piece)):
-                        last[stop] = piece
-                        break
-        if last[n] is None:
+        n, infinite, tree = len(chunk), float("inf"), self.tree
+        cost: list[float] = [0.0] + [infinite] * n
+        last: list[str] = [""] * (n + 1)
+        for start in range(n):
+            base = cost[start]
+            if base == infinite:
+                continue
+            before, node = last[start], tree.get(chunk[start])
+            if node is None or "" not in node:
+                if base < cost[start + 1]:
+                    cost[start + 1], last[start + 1] = base, chunk[start]
+            stop = start
+            while node is not None:
+                stop += 1
+                if "" in node:
+                    piece, weight, follows = node[""]
+                    if base + weight < cost[stop]:
+                        ok = not before or follows.get(before)
+                        if ok is None:
+                            ok = self.kept(follows, before, piece)
+                        if ok:
+                            cost[stop], last[stop] = base + weight, piece
+                node = node.get(chunk[stop]) if stop < n else None
+        if cost[n] == infinite:
             return self.written(self.merged(chunk))
         at, found = n, []
         while at:
@@ -123,6 +148,14 @@ class Transducer:
             at -= len(last[at])
         return self.written(found[::-1])
 
+    def kept(self, follows: dict[str, bool], before: str, piece: str) -> bool:
+        """Whether ``piece`` may follow ``before``, remembered while there are few pairs."""
+        ok = self.arc(before, piece)
+        if self.pairs < self.most_pairs:
+            self.pairs += 1
+            follows[before] = ok
+        return ok
+
     def written(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for piece in pieces:

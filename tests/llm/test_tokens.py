@@ -78,3 +78,31 @@ def test_pieces_of_a_table(docs, no_docs):
         if r.doc_id is not None:
             assert r.text == (text[r.doc_id] or "").replace("▁", " ")
     assert encoded(no_docs, MODEL).count() == 0
+
+
+def test_every_other_path_weighs_more():
+    """All cuts of short texts into pieces: of those whose neighbours the merges leave apart, the cheapest is the encoding."""
+    own, rng = transducer(MODEL), random.Random(2)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for _ in range(60):
+        text = "".join(rng.choice("theinrsa中") for _ in range(rng.randint(1, 9)))
+        chunk, found = "▁" + text, []
+
+        def cut(at, pieces, cost):
+            if at == len(chunk):
+                found.append((cost, pieces))
+            for stop in range(at + 1, len(chunk) + 1):
+                piece = chunk[at:stop]
+                if (piece in own.made or stop == at + 1) and (not pieces or not {piece, pieces[-1]} <= own.ids.keys() or own.arc(pieces[-1], piece)):
+                    cut(stop, [*pieces, piece], cost - own.scores.get(piece, 0.0))
+
+        cut(0, [], 0.0)
+        assert own.written(min(found)[1]) == own.path(chunk) == library.encode(text)
+
+
+@pytest.mark.parametrize("text", [" " * 100_000, "x" + " " * 30_001 + "y", "a" * 100_000, "é▁▁ b" * 3000])
+def test_long_runs_end(text):
+    import time
+    start = time.time()
+    ids, _ = transducer(MODEL).encode([text])
+    assert time.time() - start < 5 and ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
