@@ -20,6 +20,7 @@ from .common import parts, ready, slices
 MAGIC = b"PFR1"
 BLOCK = 4096
 SEGMENT = 1 << 19
+GROUP = 400  # chunks that are encoded in one call
 # Share of a block's values that the packed width must hold; wider ones go to the exception list.
 PERCENTILE = 97.0
 # Unicode white space; a chunk ends where white space follows a character that is none, as the pre-tokeniser's pieces do.
@@ -45,8 +46,8 @@ def encoder(path: str) -> Chunks:
             begin, size = np.full(len(chunks), -1, dtype=np.int64), np.zeros(len(chunks), dtype=np.int64)
             flat, used = [], 0
             some = [i for i, c in enumerate(chunks) if inner(c)]
-            for s in range(0, len(some), 2000):
-                group = some[s:s + 2000]
+            for s in range(0, len(some), GROUP):
+                group = some[s:s + GROUP]
                 ids = np.array(many(["".join([chunks[i] for i in group])])[0], dtype=np.uint32)
                 ends = np.cumsum([len(chunks[i].encode()) for i in group])
                 reached = np.cumsum(width[ids])
