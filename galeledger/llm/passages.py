@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -54,13 +55,45 @@ def selected(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, h[at]
 
 
-def word_places(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end (code points) and line number of every word."""
-    b = np.frombuffer(body, dtype=np.uint8)
-    dark = np.concatenate([[False], ~((b == 32) | ((b >= 9) & (b <= 13))), [False]])
-    edge = np.flatnonzero(dark[1:] != dark[:-1])
-    points = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
-    return points[edge[::2]], points[edge[1::2]], np.concatenate([[0], np.cumsum(b == 10)])[edge[::2]]
+class Places:
+    """Start and end (code points) and line number of words, by their number in consecutive texts; ``start`` and ``end`` count from the first text."""
+
+    def __init__(self, bodies: list[bytes | None]):
+        size = np.array([len(x or b"") + 1 for x in bodies])
+        body = b" ".join(x or b"" for x in bodies)
+        b = np.frombuffer(body, dtype=np.uint8)
+        dark = np.zeros(len(b) + 2, dtype=bool)
+        dark[1:-1] = (b != 32) & ((b < 9) | (b > 13))
+        edge = np.flatnonzero(dark[1:] != dark[:-1])
+        self.first, self.last, self.breaks = edge[::2], edge[1::2], np.flatnonzero(b == 10)
+        # Bytes that go on a code point: so many fewer code points than bytes.
+        self.inner = None if body.isascii() else np.flatnonzero((b & 0xC0) == 0x80)
+        self.base = np.cumsum(size) - size
+
+    def points(self, at: np.ndarray) -> np.ndarray:
+        return at if self.inner is None else at - np.searchsorted(self.inner, at)
+
+    def start(self, word: np.ndarray) -> np.ndarray:
+        return self.points(self.first[word])
+
+    def end(self, word: np.ndarray) -> np.ndarray:
+        return self.points(self.last[word])
+
+    def line(self, word: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.breaks, self.first[word])
+
+    def origin(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code point and line at which the text begins."""
+        return self.points(self.base[text]), np.searchsorted(self.breaks, self.base[text])
+
+
+def counted(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for every n, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def listed(n: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), type=pa.int32()), pa.array(values.astype(np.int32)))
 
 
 def filter_of(hashes: DataFrame, h: str = "h") -> Broadcast:
@@ -78,7 +111,6 @@ def units(docs: DataFrame, doc_id: str, text: str, only: Broadcast | None = None
     """Selected units of every text: their hashes h; with a filter, those in it with d, th (hash of the text), word, stop (word after), start, end
     and line; with ``around``, d, th, word and 32 bits of the hashes of AROUND words to the left (nearest first) and to the right, with their distances in code points and lines."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    lists = lambda x: pa.array(x, type=pa.list_(pa.int32()))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,6 +119,7 @@ def units(docs: DataFrame, doc_id: str, text: str, only: Broadcast | None = None
                 found = [(x or b"").lower().split() for x in bodies]
                 size = np.array([len(x) for x in found])
                 words = WORD_HASHES.of([w for x in found for w in x])
+                del found
                 at, h = selected(words, size)
                 if only is None:
                     yield pa.RecordBatch.from_arrays([signed(h)], ["h"])
@@ -94,24 +127,28 @@ def units(docs: DataFrame, doc_id: str, text: str, only: Broadcast | None = None
                 low = h & np.uint64(64 * len(only.value) - 1)
                 hit = (only.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
                 at, h = at[hit], h[hit]
+                halves, first, last = (words >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(size) - size, np.cumsum(size)
+                del words
+                row = np.searchsorted(last, at, side="right")
                 if not len(at):
                     continue
-                first = np.cumsum(size) - size
-                row = np.searchsorted(np.cumsum(size), at, side="right")
-                word = at - first[row]
-                places = {i: word_places(bodies[i]) for i in np.unique(row).tolist()}
-                ids = [part.column("d").take(pa.array(row)), part.column("th").take(pa.array(row)), pa.array(word)]
-                if not around:
-                    side = [np.array([places[i][k][w] for i, w in zip(row.tolist(), x.tolist())]) for k, x in ((0, word), (1, word + UNIT - 1), (2, word))]
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array(word + UNIT), *map(pa.array, side), signed(h)], ["d", "th", "word", "stop", "start", "end", "line", "h"])
-                    continue
-                spans = [(first[i], w, max(0, w - AROUND), min(size[i], w + UNIT + AROUND), *places[i]) for i, w in zip(row.tolist(), word.tolist())]
-                halves = (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([
-                    *ids, lists([halves[f + lo:f + w][::-1] for f, w, lo, *_ in spans]), lists([starts[w] - starts[lo:w][::-1] for _, w, lo, _, starts, *_ in spans]),
-                    lists([lines[w] - lines[lo:w][::-1] for _, w, lo, _, _, _, lines in spans]),
-                    lists([halves[f + w + UNIT:f + hi] for f, w, _, hi, *_ in spans]), lists([ends[w + UNIT:hi] - ends[w + UNIT - 1] for _, w, _, hi, _, ends, _ in spans])],
-                    ["d", "th", "word", "left", "starts", "lines", "right", "ends"])
+                places = Places(bodies)
+                for lo in range(0, len(at), 1 << 14):
+                    word, text = at[lo:lo + (1 << 14)], row[lo:lo + (1 << 14)]
+                    left = word - first[text]
+                    ids = [part.column("d").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array(left)]
+                    if not around:
+                        point, line = places.origin(text)
+                        side = places.start(word) - point, places.end(word + UNIT - 1) - point, places.line(word) - line
+                        yield pa.RecordBatch.from_arrays([*ids, pa.array(left + UNIT), *map(pa.array, side), signed(h[lo:lo + (1 << 14)])], ["d", "th", "word", "stop", "start", "end", "line", "h"])
+                        continue
+                    n, m = np.minimum(left, AROUND), np.minimum(last[text] - word - UNIT, AROUND)
+                    before, after = np.repeat(word, n) - 1 - counted(n), np.repeat(word, m) + UNIT + counted(m)
+                    yield pa.RecordBatch.from_arrays([
+                        *ids, listed(n, halves[before]), listed(n, np.repeat(places.start(word), n) - places.start(before)),
+                        listed(n, np.repeat(places.line(word), n) - places.line(before)),
+                        listed(m, halves[after]), listed(m, places.end(after) - np.repeat(places.end(word + UNIT - 1), m))],
+                        ["d", "th", "word", "left", "starts", "lines", "right", "ends"])
 
     body = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t"))
     schema = "h long" if only is None else f"d {kind}, th long, word long, stop long, start long, end long, line long, h long" if not around else (
@@ -132,21 +169,35 @@ def runs(found: DataFrame) -> DataFrame:
     ordered = found.repartition(parts(found.sparkSession), "d", "th").sortWithinPartitions("d", "th", "fd", "fth", F.col("word") - F.col("fword"), "word")
     schema = ordered.select(*kept, "word", "stop", "start", "end", "line", "fword", "h", F.col("word").alias("last"), F.col("fword").alias("flast"), F.col("h").alias("hlast")).schema
 
+    def goes_on(t: pa.Table, k: str) -> np.ndarray:
+        """Which rows, from the second on, have the value of the row before."""
+        x, y = t.column(k).slice(1), t.column(k).slice(0, t.num_rows - 1)
+        return pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy()
+
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = schema.names
+        def joined(first: pa.Table, last: pa.Table) -> pa.Table:
+            columns = [last.column({"last": "word", "flast": "fword", "hlast": "h"}.get(k, k)) if k in ("stop", "end", "last", "flast", "hlast") else first.column(k) for k in schema.names]
+            return pa.Table.from_arrays(columns, schema.names)
+
+        held = None  # the first and the last row of the open run
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if held is not None and all(held[k] == r[k] for k in kept) and held["last"] - held["flast"] == r["word"] - r["fword"] and r["word"] <= held["stop"]:
-                    held |= {"stop": r["stop"], "end": r["end"], "last": r["word"], "flast": r["fword"], "hlast": r["h"]}
-                else:
-                    out += [held] if held is not None else []
-                    held = r | {"last": r["word"], "flast": r["fword"], "hlast": r["h"]}
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], type=batch.schema.field({"last": "word", "flast": "word", "hlast": "h"}.get(k, k)).type) for k in names], names)
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            word, fword, stop = (t.column(k).to_numpy() for k in ("word", "fword", "stop"))
+            on = (word[1:] - fword[1:] == word[:-1] - fword[:-1]) & (word[1:] <= stop[:-1])
+            for k in kept:
+                on &= goes_on(t, k)
+            if held is not None:
+                on[0] = True
+            start = np.flatnonzero(np.concatenate([[True], ~on]))
+            end = np.append(start[1:] - 1, t.num_rows - 1)
+            held = t.take(pa.array([start[-1], end[-1]])).combine_chunks()
+            if len(start) > 1:
+                yield from joined(t.take(pa.array(start[:-1])), t.take(pa.array(end[:-1]))).combine_chunks().to_batches()
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([held[k] for r in [0]], type=batch.schema.field({"last": "word", "flast": "word", "hlast": "h"}.get(k, k)).type) for k in names], names)
+            yield from joined(held.slice(0, 1), held.slice(1)).combine_chunks().to_batches()
 
     return ordered.mapInArrow(merged, schema)
 
