@@ -16,6 +16,7 @@ from .common import WORD_HASHES, mixed, parts, ready, signed, slices
 UNIT = 40  # words of a unit
 PASSAGE = 51  # a passage of so many words always holds a selected unit
 AROUND = PASSAGE - UNIT  # words beside a run in which its true end can lie
+SPREAD = 2654435761  # odd, and below 2^32 so that products with word numbers fit a long
 MOST_BITS = 30  # log2 of the bits of a filter at most; a full one only lets more candidates through
 
 
@@ -107,9 +108,14 @@ def filter_of(hashes: DataFrame, h: str = "h") -> Broadcast:
     return hashes.sparkSession.sparkContext.broadcast(data)
 
 
+def place(th: str, word: str) -> Column:
+    """Hash of a word's place in a text."""
+    return F.col(th).bitwiseXOR(F.col(word) * F.lit(SPREAD))
+
+
 def units(docs: DataFrame, doc_id: str, text: str, only: Broadcast | None = None, around: bool = False) -> DataFrame:
-    """Selected units of every text: their hashes h; with a filter, those in it with d, th (hash of the text), word, stop (word after), start, end
-    and line; with ``around``, d, th, word and 32 bits of the hashes of AROUND words to the left (nearest first) and to the right, with their distances in code points and lines."""
+    """Selected units of every text: their hashes h; with a filter, those in it with d, th (hash of the text), word and stop (word after); with ``around`` and a
+    filter of places (``place``), those units with start, end, line and 32 bits of the hashes of AROUND words to the left (nearest first) and to the right, with their distances in code points and lines."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,35 +130,39 @@ def units(docs: DataFrame, doc_id: str, text: str, only: Broadcast | None = None
                 if only is None:
                     yield pa.RecordBatch.from_arrays([signed(h)], ["h"])
                     continue
-                low = h & np.uint64(64 * len(only.value) - 1)
+                last = np.cumsum(size)
+                first, row = last - size, np.searchsorted(last, at, side="right")
+                if around:
+                    own = part.column("th").to_numpy().view(np.uint64)[row] ^ ((at - first[row]).astype(np.uint64) * np.uint64(SPREAD))
+                else:
+                    own = h
+                low = own & np.uint64(64 * len(only.value) - 1)
                 hit = (only.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-                at, h = at[hit], h[hit]
-                halves, first, last = (words >> np.uint64(32)).astype(np.uint32).view(np.int32), np.cumsum(size) - size, np.cumsum(size)
-                del words
-                row = np.searchsorted(last, at, side="right")
+                at, h, row = at[hit], h[hit], row[hit]
                 if not len(at):
                     continue
-                places = Places(bodies)
+                if around:
+                    places, halves = Places(bodies), (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                del words
                 for lo in range(0, len(at), 1 << 14):
                     word, text = at[lo:lo + (1 << 14)], row[lo:lo + (1 << 14)]
                     left = word - first[text]
                     ids = [part.column("d").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array(left)]
                     if not around:
-                        point, line = places.origin(text)
-                        side = places.start(word) - point, places.end(word + UNIT - 1) - point, places.line(word) - line
-                        yield pa.RecordBatch.from_arrays([*ids, pa.array(left + UNIT), *map(pa.array, side), signed(h[lo:lo + (1 << 14)])], ["d", "th", "word", "stop", "start", "end", "line", "h"])
+                        yield pa.RecordBatch.from_arrays([*ids, pa.array(left + UNIT), signed(h[lo:lo + (1 << 14)])], ["d", "th", "word", "stop", "h"])
                         continue
+                    point, line = places.origin(text)
+                    start, end, own_line = places.start(word), places.end(word + UNIT - 1), places.line(word)
                     n, m = np.minimum(left, AROUND), np.minimum(last[text] - word - UNIT, AROUND)
                     before, after = np.repeat(word, n) - 1 - counted(n), np.repeat(word, m) + UNIT + counted(m)
                     yield pa.RecordBatch.from_arrays([
-                        *ids, listed(n, halves[before]), listed(n, np.repeat(places.start(word), n) - places.start(before)),
-                        listed(n, np.repeat(places.line(word), n) - places.line(before)),
-                        listed(m, halves[after]), listed(m, places.end(after) - np.repeat(places.end(word + UNIT - 1), m))],
-                        ["d", "th", "word", "left", "starts", "lines", "right", "ends"])
+                        *ids, *map(pa.array, (start - point, end - point, own_line - line)), listed(n, halves[before]), listed(n, np.repeat(start, n) - places.start(before)),
+                        listed(n, np.repeat(own_line, n) - places.line(before)), listed(m, halves[after]), listed(m, places.end(after) - np.repeat(end, m))],
+                        ["d", "th", "word", "start", "end", "line", "left", "starts", "lines", "right", "ends"])
 
     body = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t"))
-    schema = "h long" if only is None else f"d {kind}, th long, word long, stop long, start long, end long, line long, h long" if not around else (
-        f"d {kind}, th long, word long, left array<int>, starts array<int>, lines array<int>, right array<int>, ends array<int>")
+    schema = "h long" if only is None else f"d {kind}, th long, word long, stop long, h long" if not around else (
+        f"d {kind}, th long, word long, start long, end long, line long, left array<int>, starts array<int>, lines array<int>, right array<int>, ends array<int>")
     return body.mapInArrow(cut, schema)
 
 
@@ -167,7 +177,7 @@ def runs(found: DataFrame) -> DataFrame:
     """Units of one text whose first places follow each other in the same way, as one run: columns of the first and last unit."""
     kept = ["d", "th", "fd", "fth"]
     ordered = found.repartition(parts(found.sparkSession), "d", "th").sortWithinPartitions("d", "th", "fd", "fth", F.col("word") - F.col("fword"), "word")
-    schema = ordered.select(*kept, "word", "stop", "start", "end", "line", "fword", "h", F.col("word").alias("last"), F.col("fword").alias("flast"), F.col("h").alias("hlast")).schema
+    schema = ordered.select(*kept, "word", "stop", "fword", F.col("word").alias("last"), F.col("fword").alias("flast")).schema
 
     def goes_on(t: pa.Table, k: str) -> np.ndarray:
         """Which rows, from the second on, have the value of the row before."""
@@ -176,7 +186,7 @@ def runs(found: DataFrame) -> DataFrame:
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def joined(first: pa.Table, last: pa.Table) -> pa.Table:
-            columns = [last.column({"last": "word", "flast": "fword", "hlast": "h"}.get(k, k)) if k in ("stop", "end", "last", "flast", "hlast") else first.column(k) for k in schema.names]
+            columns = [last.column({"last": "word", "flast": "fword"}.get(k, k)) if k in ("stop", "last", "flast") else first.column(k) for k in schema.names]
             return pa.Table.from_arrays(columns, schema.names)
 
         held = None  # the first and the last row of the open run
@@ -217,30 +227,30 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     itself = same(("d", "fd"), ("th", "fth"))
     placed = found.hint("merge").join(own, "h").where(~(itself & (F.col("word") != F.col("fword")) & (F.col("word") < F.col("fword") + UNIT)))
     whole = settle(runs(placed), "runs")
-    ends = whole.select("h").unionByName(whole.select(F.col("hlast").alias("h"))).distinct()
+    ends = whole.select(F.explode(F.array(place("th", "word"), place("th", "last"), place("fth", "fword"), place("fth", "flast"))).alias("h")).distinct()
     near = settle(units(docs, doc_id, text, filter_of(ends), around=True), "contexts")
 
     first = itself & (F.col("word") == F.col("fword"))
     heads, others = whole.where(first), whole.where(~first)
     at = lambda p, cols: near.select(F.col("d").alias(f"{p}d"), F.col("th").alias(f"{p}th"), F.col("word").alias(f"{p}w"), *(F.col(c).alias(f"{p}{c}") for c in cols))
     joined = others
-    for p, side, keys in (("a", ["left", "starts", "lines"], ("d", "th", "word")), ("b", ["left"], ("fd", "fth", "fword")), ("y", ["right", "ends"], ("d", "th", "last")), ("z", ["right"], ("fd", "fth", "flast"))):
+    for p, side, keys in (("a", ["left", "start", "starts", "line", "lines"], ("d", "th", "word")), ("b", ["left"], ("fd", "fth", "fword")), ("y", ["right", "end", "ends"], ("d", "th", "last")), ("z", ["right"], ("fd", "fth", "flast"))):
         joined = joined.join(at(p, side), same((f"{p}d", keys[0])) & (F.col(f"{p}th") == F.col(keys[1])) & (F.col(f"{p}w") == F.col(keys[2])), "left").drop(f"{p}d", f"{p}th", f"{p}w")
     agree = lambda x, y: F.coalesce(F.expr(f"case array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false) when 0 then size({x}) else array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false) - 1 end"), F.lit(0)).cast("int")
     longer = lambda places, n, plain, way=-1: F.when(F.col(n) > 0, F.col(plain) + way * F.get(F.col(places), F.col(n) - 1)).otherwise(F.col(plain))
     spans = settle(joined.withColumns({"l": agree("aleft", "bleft"), "r": agree("yright", "zright")}).select(
-        "d", "th", "word", "stop", "fd", "fth", "fword", "flast", "l", "r", longer("alines", "l", "line").alias("line"), longer("astarts", "l", "start").alias("start"), longer("yends", "r", "end", 1).alias("end")).dropDuplicates(["d", "th", "word", "fd", "fth", "fword"]), "spans")  # rows alike in id and text give their contexts twice
+        "d", "th", "word", "stop", "fd", "fth", "fword", "flast", "l", "r", longer("alines", "l", "aline").alias("line"), longer("astarts", "l", "astart").alias("start"), longer("yends", "r", "yend", 1).alias("end")).dropDuplicates(["d", "th", "word", "fd", "fth", "fword"]), "spans")  # rows alike in id and text give their contexts twice
 
-    h = heads.select(*(F.col(c).alias(f"h_{c}") for c in ("d", "th", "word", "stop", "last", "start", "end", "line")))
+    h = heads.select(*(F.col(c).alias(f"h_{c}") for c in ("d", "th", "word", "stop", "last")))
     into = spans.join(h, same(("fd", "h_d")) & (F.col("fth") == F.col("h_th")) & F.col("fword").between(F.col("h_word"), F.col("h_last")))
     key = ["h_d", "h_th", "h_word"]
     sizes = into.groupBy(*key).agg((F.count(F.lit(1)) + 1).alias("class_size"), F.max(F.when(F.col("fword") == F.col("h_word"), F.col("l")).otherwise(0)).alias("l"),
                                    F.max(F.when(F.col("flast") == F.col("h_last"), F.col("r")).otherwise(0)).alias("r"))
     grown = h.join(sizes.withColumnsRenamed({k: f"s{k}" for k in key}), same(*((k, f"s{k}") for k in key))).drop(*(f"s{k}" for k in key))
-    for p, side, k in (("a", ["starts", "lines"], "h_word"), ("y", ["ends"], "h_last")):
+    for p, side, k in (("a", ["start", "starts", "line", "lines"], "h_word"), ("y", ["end", "ends"], "h_last")):
         grown = grown.join(at(p, side), same((f"{p}d", "h_d")) & (F.col(f"{p}th") == F.col("h_th")) & (F.col(f"{p}w") == F.col(k)), "left").drop(f"{p}d", f"{p}th", f"{p}w")
     grown = settle(grown.select(*key, "class_size", (F.col("h_stop") - F.col("h_word") + F.col("l") + F.col("r")).alias("h_n"),
-                                longer("alines", "l", "h_line").alias("h_line"), longer("astarts", "l", "h_start").alias("h_start"), longer("yends", "r", "h_end", 1).alias("h_end")).dropDuplicates(key), "heads")
+                                longer("alines", "l", "aline").alias("h_line"), longer("astarts", "l", "astart").alias("h_start"), longer("yends", "r", "yend", 1).alias("h_end")).dropDuplicates(key), "heads")
     # What lies in a run that stands in an earlier text has its class there.
     within = grown.join(spans.select("d", "th", "start", "end"), same(("h_d", "d")) & (F.col("h_th") == F.col("th")) & (F.col("h_start") >= F.col("start")) & (F.col("h_end") <= F.col("end")))
     within = within.select(*(F.col(k).alias(f"w{k}") for k in key)).distinct()
