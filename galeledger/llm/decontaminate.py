@@ -36,7 +36,10 @@ def answer_of(text: str, answer: str | None) -> list[bytes]:
 
 
 def common_order(a: list, b: list) -> list[int]:
-    """Places in ``b`` of a longest common subsequence, ascending."""
+    """Places in ``b`` of a longest common subsequence, ascending; words that only one has are left out first."""
+    both = set(a) & set(b)
+    a, at = [x for x in a if x in both], [j for j, y in enumerate(b) if y in both]
+    b = [b[j] for j in at]
     rows = [[0] * (len(b) + 1)]
     for x in a:
         last, row = rows[-1], [0]
@@ -46,7 +49,7 @@ def common_order(a: list, b: list) -> list[int]:
     i, j, used = len(a), len(b), []
     while i and j:
         if a[i - 1] == b[j - 1]:
-            used.append(j - 1)
+            used.append(at[j - 1])
             i, j = i - 1, j - 1
         elif rows[i - 1][j] >= rows[i][j - 1]:
             i -= 1
@@ -244,10 +247,12 @@ class Finder:
             most = common_length(self.masks[item], n, region)
             if most < SHARE_WITH_ANSWER * n:
                 continue
-            places = compact(common_order(own, region), 3 * n // 2 + 5)  # words in common order, but scattered, are no copy
-            size, first, last = len(places), places[0], places[-1]
             answer = self.items.answers[item]
             found = bool(answer) and any(region[k:k + len(answer)] == answer for k in range(len(region) - len(answer) + 1))
+            if most < SHARE * n and not found:
+                continue
+            places = compact(common_order(own, region), 3 * n // 2 + 5)  # words in common order, but scattered, are no copy
+            size, first, last = len(places), places[0], places[-1]
             if size >= SHARE * n or size >= SHARE_WITH_ANSWER * n and found:
                 row = (size / n, cosine, found, lo - begin + first, lo - begin + last + 1)
                 best[t, item] = max(best.get((t, item), row), row)
