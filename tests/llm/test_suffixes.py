@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from galeledger.llm import suffixes
 from galeledger.llm.suffixes import COVER, PERIOD, difference_cover, names, without_repeats
+from galeledger.session import scratch_path
 
 
 def brute(rows, span=400):
@@ -90,3 +91,21 @@ def test_cover_and_names():
         for p, x in zip(places.tolist(), h.tolist()):
             assert first.setdefault(body[p:p + n].tobytes(), x) == x
         assert len(set(first.values())) == len(first)
+
+
+def test_files_of_few_slices(spark, monkeypatch):
+    """A file that many slices share is held whole by its writer and its reader."""
+    made = []
+
+    def noted(session, label):
+        made.append((label, scratch_path(session, label)))
+        return made[-1][1]
+
+    monkeypatch.setattr(suffixes, "scratch_path", noted)
+    block = np.random.default_rng(3).integers(97, 123, suffixes.SLICE + 9, dtype=np.uint8).tobytes().decode()
+    docs = spark.createDataFrame([(i, block) for i in range(5)], "doc_id long, text string").coalesce(1)
+    assert {r.n_removed for r in suffixes.without_repeats(docs).collect()} == {len(block)}
+    for label, path in made:
+        if label in ("slices", "neighbours"):
+            files = spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()
+            assert sum(r["count"] for r in files) == 5 and max(r["count"] for r in files) <= suffixes.FILE_SLICES
