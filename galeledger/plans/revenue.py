@@ -69,7 +69,7 @@ def rejected_scenarios(scenarios: DataFrame, production: DataFrame | None, panel
         first = month_index("cod")
         wanted = F.sequence(first, first + (months - 1))
         gap = F.array_min(F.array_except(wanted, F.coalesce("_have", F.array().cast("array<int>"))))
-        gaps = scenarios.join(have, key, "left").withColumn("_gap", gap).where("_gap IS NOT NULL")
+        gaps = scenarios.join(have.hint("merge"), key, "left").withColumn("_gap", gap).where("_gap IS NOT NULL")
         missing = F.make_date(F.floor(F.col("_gap") / 12).cast("int"), F.col("_gap") % 12 + 1, F.lit(1))
         out = out.unionByName(gaps.select(key, F.lit("production month missing").alias("reject_reason"), missing.alias("first_missing")))
     return out
@@ -85,8 +85,9 @@ def monthly_revenue(
     month for the whole horizon.
     """
     if production is not None:
-        # Production meets its scenario first: one shuffle by key, which the yearly sums reuse.
-        rows = scenarios.join(production.select(key, "date", F.col("mwh").alias("mwh_gross_park")), key).join(panel, [*PANEL_KEYS, "date"])
+        # Production meets its scenario first: one shuffle by key, which the yearly sums reuse. It has a row for every month, but the planner may take it
+        # for as small as the table it was exploded from and broadcast it through the driver; the hint forbids that.
+        rows = scenarios.join(production.select(key, "date", F.col("mwh").alias("mwh_gross_park")).hint("merge"), key).join(panel, [*PANEL_KEYS, "date"])
     else:
         rows = scenarios.join(panel, PANEL_KEYS).withColumn("mwh_gross_park", F.col("mwh_constant"))
     on = F.col("eeg_on") == 1

@@ -10,6 +10,7 @@ from conftest import rows
 from galeledger.operators import checks
 from galeledger.operators.timeline import month_horizon
 from galeledger.plans import costs, finance, revenue
+from galeledger.session import settle
 from galeledger.sources import sinks
 
 SCHEMA = """scenario_id long, tso string, cod date, eeg_on int, manual_eeg_strike double, mwh_constant double, n_turbines int, turbine_type_id int,
@@ -145,6 +146,21 @@ def test_summary_and_json(monthly):
     assert text == '{"date":"2026-01-01","x":null}'
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_production_is_never_broadcast(spark, scenarios, drivers):
+    """The planner takes exploded months for as small as their scenarios."""
+    scenarios = settle(scenarios)  # a file, so that the planner knows its size
+    panel = settle(revenue.driver_panel(scenarios, *drivers))
+    production = month_horizon(scenarios.select("scenario_id", "cod"), "cod", 240, "date").select("scenario_id", "date", F.lit(7.0).alias("mwh"))
+    alone = scenarios.select("scenario_id", "tso", "cod", "eeg_on", "manual_eeg_strike")
+    out = revenue.monthly_revenue(alone, panel, production)
+    assert out.count() == 6 * 240
+    assert any("SortMergeJoin" in line and "scenario_id" in line for line in plan_of(out).splitlines())
+
+
 def test_partition_count_does_not_matter(scenarios, drivers):
     one = revenue.monthly_revenue(scenarios.repartition(1), revenue.driver_panel(scenarios, *drivers))
     many = revenue.monthly_revenue(scenarios.repartition(7), revenue.driver_panel(scenarios, *drivers))
