@@ -59,13 +59,17 @@ def json_rows(df: DataFrame, name: str = "record") -> DataFrame:
 def revenue_summary(monthly: DataFrame, keys: Sequence[str], tso: str = "tso") -> DataFrame:
     """(keys, metric, value as text): operator, support flag, first month, strike, total, yearly mean; NULL where unknown."""
     text = lambda c, n: F.when(c.isNotNull(), F.format_string(f"%.{n}f", c))
-    one = monthly.groupBy(*keys).agg(
-        F.max(tso).alias("TSO"),
-        F.max("eeg_on").cast("string").alias("EEG_ON"),
-        F.min("date").cast("string").alias("COD"),
-        text(F.max("strike_cod_fixed"), 4).alias("EEG_strike_fixed_eur_mwh"),
-        text(F.sum("revenue_eur"), 2).alias("Total_revenue_eur"),
-        text(F.sum("revenue_eur") / (F.count(F.lit(1)) / 12.0), 2).alias("Average_annual_revenue_eur"),
+    # Text has no place in a hash aggregate: a maximum of it next to the sums would sort all months. So it is a key of the sums, and only the few rows of a key are sorted.
+    sums = monthly.groupBy(*keys, F.col(tso).alias("_tso")).agg(
+        F.max("eeg_on").alias("_on"), F.min("date").alias("_first"), F.max("strike_cod_fixed").alias("_strike"), F.sum("revenue_eur").alias("_revenue"), F.count(F.lit(1)).alias("_months"),
+    )
+    one = sums.groupBy(*keys).agg(
+        F.max("_tso").alias("TSO"),
+        F.max("_on").cast("string").alias("EEG_ON"),
+        F.min("_first").cast("string").alias("COD"),
+        text(F.max("_strike"), 4).alias("EEG_strike_fixed_eur_mwh"),
+        text(F.sum("_revenue"), 2).alias("Total_revenue_eur"),
+        text(F.sum("_revenue") / (F.sum("_months") / 12.0), 2).alias("Average_annual_revenue_eur"),
     )
     metrics = [c for c in one.columns if c not in keys]
     return one.unpivot(list(keys), metrics, "metric", "value")

@@ -150,6 +150,19 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_summary_sorts_no_months(spark):
+    """Sums of months are hashed; what is sorted is what is left of a key. Several operators and unknown ones count together."""
+    rows = [(1, "a", 1, COD, 50.0, 10.0), (1, "b", 0, dt.date(2025, 12, 1), None, 30.0), (1, None, 0, dt.date(2026, 5, 1), 70.0, None), (2, None, 0, COD, None, None), (None, "c", 1, COD, 1.0, 2.0)]
+    many = spark.createDataFrame(rows, "scenario_id long, tso string, eeg_on int, date date, strike_cod_fixed double, revenue_eur double")
+    out = sinks.revenue_summary(many, ["scenario_id"])
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["scenario_id"], []).append(r["value"])
+    assert got == {1: ["b", "1", "2025-12-01", "70.0000", "40.00", "160.00"], 2: [None, "0", "2026-01-01", None, None, None], None: ["c", "1", "2026-01-01", "1.0000", "2.00", "24.00"]}
+    below = plan_of(out).rsplit("HashAggregate", 1)
+    assert len(below) == 2 and "Sort" not in below[1]
+
+
 def test_production_is_never_broadcast(spark, scenarios, drivers):
     """The planner takes exploded months for as small as their scenarios."""
     scenarios = settle(scenarios)  # a file, so that the planner knows its size
