@@ -233,11 +233,13 @@ def _smallest(own: DataFrame, edges: DataFrame) -> DataFrame:
     return settle(own.join(linked_fps, "fp", "left").select("fp", F.coalesce("_all", "_least").alias("component_id")), "components")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.999) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.999, radius: int = 2) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when of each group of near-duplicates only the first does.
 
-    Texts are linked where the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more, by nothing else. MinHash
-    bands find the candidates: a pair at the threshold is among them with a probability of ``recall``, a closer one with a higher one.
+    Texts are linked where the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or more. Candidates are texts whose fingerprints
+    (majority bits of that set) are joined at ``radius`` or fewer differing bits, through any chain, as :func:`similar` finds them. Fingerprints of pairs near the threshold
+    lie further apart, so MinHash bands add candidates: a pair at the threshold is among them with a probability of ``recall``, a closer one with a higher one.
+    Every candidate is verified.
     Of each connected group the row with the smallest doc_id stays (nulls last, ties by a hash of the text); of rows alike in id and text, one. Texts
     without words are alike.
     """
@@ -253,18 +255,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 size = np.array([len(x) for x in found])
                 h, n = shingle_hashes(WORD_HASHES.of([w for x in found for w in x]), np.cumsum(size) - size, size, shingle)
                 ends = np.cumsum(n)
-                sets = [np.unique((h[e - k:e] >> np.uint64(32)).astype(np.uint32)).tobytes() for e, k in zip(ends.tolist(), n.tolist())]
+                distinct = [np.unique(h[e - k:e]) for e, k in zip(ends.tolist(), n.tolist())]
+                sets = [np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes() for x in distinct]
+                marks = pa.array([majority(x) for x in distinct], type=pa.int64())
                 keys = np.zeros((len(n), bands), dtype=np.uint64)  # texts without words meet in one bucket
                 if len(h):
                     keys[n > 0] = buckets(h, n[n > 0], bands, rows_each)
                 yield pa.RecordBatch.from_arrays([
-                    part.column("d"), part.column("th"), pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), type=pa.int32()), signed(keys.ravel())),
-                    pa.array(sets, type=pa.binary())], ["d", "th", "buckets", "shingles"])
+                    part.column("d"), part.column("th"), marks, pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), type=pa.int32()), signed(keys.ravel())),
+                    pa.array(sets, type=pa.binary())], ["d", "th", "fp", "buckets", "shingles"])
 
     rows = settle(docs.select(F.col(doc_id).alias("d"), text_hash.alias("th"), F.col(text).cast("binary").alias("t")).mapInArrow(
-        described, f"d {kind}, th long, buckets array<long>, shingles binary"), "described")
+        described, f"d {kind}, th long, fp long, buckets array<long>, shingles binary"), "described")
     texts = settle(rows.groupBy("th").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n")), "texts")
-    candidates = rows.select(F.explode("buckets").alias("bucket"), F.col("th").alias("id")).distinct()
+    fps = settle(rows.select("fp").distinct(), "distinct")
+    near = components(near_fingerprints(fps, radius)).withColumnRenamed("node", "fp")
+    close = rows.select("fp", "th").join(near, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp")).alias("bucket"), F.col("th").alias("id"))
+    candidates = rows.select(F.explode("buckets").alias("bucket"), F.col("th").alias("id")).unionByName(close).distinct()
     sets = rows.groupBy("th").agg(F.max("shingles").alias("shingles")).withColumnRenamed("th", "id")
     edges = linked(candidates, ["bucket"], ["shingles"], alike(similarity), block=128, more=sets)
     grouped = texts.join(components(edges), F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))

@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from galeledger.llm import simhash
 from galeledger.llm.graph import components
 from galeledger.llm.simhash import allocated, near_duplicates, near_fingerprints, similar
 
@@ -117,3 +118,16 @@ def test_near_duplicates_equal_pure_jaccard(spark):
     root = joined(range(len(texts)), [(a, b) for b in range(len(texts)) for a in range(b) if near(a, b)])
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in near_duplicates(df).collect()} == set(root.values())
+
+
+def test_close_fingerprints_are_candidates(spark, monkeypatch):
+    """Near copies that no band brings together are found by their fingerprints; what is close but no copy stays."""
+    monkeypatch.setattr(simhash, "tuned", lambda *_: (1, 1500))
+    rng = random.Random(7)
+    texts = []
+    for _ in range(20):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(3000)]
+        texts += [base, [*base[:1500], "changed", *base[1501:]]]
+    kept = {r.doc_id for r in near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    gone = set(range(40)) - kept
+    assert len(gone) >= 10 and gone <= set(range(1, 40, 2))
