@@ -35,23 +35,39 @@ def answer_of(text: str, answer: str | None) -> list[bytes]:
     return words_of(answer.encode())
 
 
+def places_of(words: list) -> dict:
+    """Bits of the places of each word."""
+    out: dict = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` numbers from ``begin`` on, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def common_order(a: list, b: list) -> list[int]:
     """Places in ``b`` of a longest common subsequence, ascending; words that only one has are left out first."""
     both = set(a) & set(b)
     a, at = [x for x in a if x in both], [j for j, y in enumerate(b) if y in both]
     b = [b[j] for j in at]
-    rows = [[0] * (len(b) + 1)]
-    for x in a:
-        last, row = rows[-1], [0]
-        for j, y in enumerate(b):
-            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-        rows.append(row)
+    masks = places_of(a)
+    full = (1 << len(a)) - 1
+    v, after = full, [full]  # a bit that is 0 in after[j]: a[i] makes the common subsequence with b[:j] longer
+    for y in b:
+        u = v & masks[y]
+        v = ((v + u) | (v - u)) & full
+        after.append(v)
+    common = lambda i, j: i - (after[j] & ((1 << i) - 1)).bit_count()
     i, j, used = len(a), len(b), []
     while i and j:
         if a[i - 1] == b[j - 1]:
             used.append(at[j - 1])
             i, j = i - 1, j - 1
-        elif rows[i - 1][j] >= rows[i][j - 1]:
+        elif common(i - 1, j) >= common(i, j - 1):
             i -= 1
         else:
             j -= 1
@@ -142,8 +158,9 @@ def _subspace(spark: SparkSession, items: Items, idf: np.ndarray, rounds: int =
     """
     n, rank = len(idf), min(len(items.ids), max(RANK, len(items.ids) // ITEMS_A_DIMENSION))
     weighted = [(at := np.array(sorted(c)), np.array([c[w] for w in at.tolist()]) * idf[at]) for c in map(Counter, items.words)]
-    shape = [(a.astype(np.int64).tobytes(), (v / max(np.linalg.norm(v), 1e-12)).tobytes()) for a, v in weighted]
-    rows = spark.createDataFrame(shape, "at binary, v binary").repartition(min(parts(spark), max(1, len(shape) // 64)))
+    shape = pa.table({"at": pa.array([a.astype(np.int64).tobytes() for a, _ in weighted], type=pa.binary()),
+                      "v": pa.array([(v / max(np.linalg.norm(v), 1e-12)).tobytes() for _, v in weighted], type=pa.binary())})
+    rows = spark.createDataFrame(shape).repartition(min(parts(spark), max(1, shape.num_rows // 64)))
     m = np.random.default_rng(11).standard_normal((n, rank))
     step = 4096
     for _ in range(rounds):
@@ -185,13 +202,35 @@ class Finder:
 
     def __init__(self, items: Items, cosine: float = COSINE):
         self.items, self.cosine = items, cosine
-        self.masks, self.bags = [], [frozenset(words) for words in items.words]
+        self.masks = [places_of(words) for words in items.words]
         self.longest = max(map(len, items.words))
-        for words in items.words:
-            own: dict[int, int] = {}
-            for i, w in enumerate(words):
-                own[w] = own.get(w, 0) | 1 << i
-            self.masks.append(own)
+        self.size = np.array([len(words) for words in items.words])
+        self.bag_size = np.array([len(own) for own in self.masks])
+        self.bag_begin = np.cumsum(self.bag_size) - self.bag_size
+        self.bags = np.array([w for own in self.masks for w in own])
+
+    def complete(self, inside: np.ndarray, upto: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which candidates have enough of their item's words, in any order, in the words lo to hi. ``inside``: the vocabulary
+        numbers of the words that have one; ``upto``: how many of them stand in front of each word."""
+        out = np.empty(len(lo), dtype=bool)
+        fresh = np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]) if len(lo) else out
+        first = np.append(np.flatnonzero(fresh), len(lo))
+        # bounded gathers
+        step = max(1, min(1024, (1 << 23) // len(self.items.vocabulary), (1 << 20) // (self.longest + HALF)))
+        some = max(1, (1 << 19) // int(self.bag_size.max()))
+        for s in range(0, len(first) - 1, step):
+            own = first[s:s + step + 1]
+            begin = upto[lo[own[:-1]]]
+            size = upto[hi[own[:-1]]] - begin
+            seen = np.zeros((len(size), len(self.items.vocabulary)), dtype=bool)
+            seen[np.repeat(np.arange(len(size)), size), inside[ranges(begin, size)]] = True
+            row = np.repeat(np.arange(len(size)), np.diff(own))
+            for x in range(own[0], own[-1], some):
+                at = item[x:min(x + some, own[-1])]
+                n = self.bag_size[at]
+                there = seen[np.repeat(row[x - own[0]:x - own[0] + len(at)], n), self.bags[ranges(self.bag_begin[at], n)]]
+                out[x:x + len(at)] = n - np.add.reduceat(there, np.cumsum(n) - n, dtype=np.int64) <= (1 - SHARE_WITH_ANSWER) * self.size[at]
+        return out
 
     def candidates(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, first word, item and cosine of all windows near an item. ``words``: vocabulary numbers, -1 for others."""
@@ -232,16 +271,12 @@ class Finder:
         numbers = np.fromiter(map(self.items.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         counts = np.diff(stops, prepend=0)
         best: dict[tuple[int, int], tuple] = {}
-        around, place = frozenset(), None
-        for t, start, item, cosine in zip(*(a.tolist() for a in self.candidates(numbers, counts))):
-            own, n = self.items.words[item], len(self.items.words[item])
-            begin = int(stops[t] - counts[t])
-            if place != (t, start):
-                place = t, start
-                around = frozenset(numbers[begin + max(0, start - self.longest):begin + min(int(counts[t]), start + 2 * HALF + self.longest)].tolist())
-            bag = self.bags[item]
-            if len(bag) - len(bag & around) > (1 - SHARE_WITH_ANSWER) * n:  # more words are missing than may be
-                continue
+        text, start, item, cosine = self.candidates(numbers, counts)
+        known, begins = numbers >= 0, stops - counts
+        near = self.complete(numbers[known], np.append(0, np.cumsum(known)), begins[text] + np.maximum(0, start - self.longest),
+                             begins[text] + np.minimum(counts[text], start + 2 * HALF + self.longest), item)
+        for t, start, item, cosine in zip(*(a[near].tolist() for a in (text, start, item, cosine))):
+            own, n, begin = self.items.words[item], len(self.items.words[item]), int(begins[t])
             lo, hi = begin + max(0, start - n), begin + min(int(counts[t]), start + 2 * HALF + n)
             region = numbers[lo:hi].tolist()
             most = common_length(self.masks[item], n, region)

@@ -1,6 +1,10 @@
+import cProfile
+import pstats
 import random
 
-from galeledger.llm.decontaminate import Finder, _blocks, _prepared, _bodies, common_length, common_order, compact, decontaminated, leaks, words_of
+import numpy as np
+
+from galeledger.llm.decontaminate import Finder, Items, _blocks, _prepared, _bodies, common_length, common_order, compact, decontaminated, leaks, words_of
 
 
 def lcs(a, b):
@@ -70,6 +74,29 @@ def test_candidates_reach_the_recall_of_brute_force(spark):
     assert len(found & brute) >= 0.9 * len(brute) and len(brute) >= 20
 
 
+def test_windows_without_the_words_take_no_python_step():
+    """Windows that point to an item but lack its words are left out by arrays: fewer function calls than such windows, and nothing lost."""
+    rng = random.Random(3)
+    words = [[rng.randrange(300) for _ in range(40)] for _ in range(60)]
+    block = Items(list(range(60)), words, [[] for _ in words], {f"w{i}".encode(): i for i in range(300)})
+    block.basis = np.eye(300, dtype=np.float32)
+    block.latent = np.stack([block.basis[w].sum(axis=0) / np.linalg.norm(block.basis[w].sum(axis=0)) for w in words])
+    finder = Finder(block, 0.1)
+    texts = [[rng.randrange(300) for _ in range(rng.randint(0, 400))] for _ in range(40)]
+    texts[7][100:100] = words[5]
+    bodies = [" ".join(f"w{i}" for i in t).encode() for t in texts]
+    numbers = np.array([i for t in texts for i in t])
+    counts = np.array([len(t) for t in texts])
+    text, start, item, _ = finder.candidates(numbers, counts)
+    begin = (np.cumsum(counts) - counts)[text]
+    lo, hi = begin + np.maximum(0, start - 40), begin + np.minimum(counts[text], start + 72)
+    want = [len(set(words[i]) - set(numbers[a:b].tolist())) <= 0.4 * 40 for a, b, i in zip(lo, hi, item)]
+    assert finder.complete(numbers, np.arange(len(numbers) + 1), lo, hi, item).tolist() == want and sum(want) < len(want) / 5
+    profile = cProfile.Profile()
+    assert {h[:2] for h in profile.runcall(finder.hits, bodies)} == {(7, 5)}
+    assert pstats.Stats(profile).total_calls < len(want)
+
+
 def test_many_blocks_and_empty_tables(spark, docs, no_docs, monkeypatch):
     from galeledger.llm import decontaminate
     items, texts, planted = corpus()
