@@ -37,14 +37,18 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, thin: bool = True) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b: long): the smallest node that edges lead to.
 
+    With ``thin`` only a spanning forest of each batch of edges is kept first. Edges of :func:`linked` are thinned where they are made: a second Python
+    step in that stage would double the workers of every executor, and all of them would be used, and fill their caches, from then on.
+
     Alternating large-star and small-star steps on tables; each round is written to the shared
     folder. Minima are combined before the shuffle, so a centre with very many neighbours is
     no hot key. Nodes of no edge, and edges from a node to itself, give no row. Null nodes are left out.
     """
-    now = edges.where("a is not null and b is not null and a != b").select("a", "b").mapInArrow(_forest, "a long, b long")
+    now = edges.where("a is not null and b is not null and a != b").select("a", "b")
+    now = now.mapInArrow(_forest, "a long, b long") if thin else now
     now, mark = settle(now.where("a != b").distinct(), "edges"), None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -67,7 +71,7 @@ def linked(rows: DataFrame, keys: list[str], columns: list[str], links: Callable
     ``rows``: key columns, ``id`` long and some of ``columns``; the others come from ``more``, by id, for rows with company only.
     ``links(ids, columns)`` gets the rows of one block and returns two index arrays of linked rows. A bucket of any size is
     cut into blocks of about ``block`` rows and each pair of blocks is one unit of work, so every pair is looked at while no
-    task holds more than a few blocks; only a spanning forest of a unit's links leaves it.
+    task holds more than a few blocks; only a spanning forest of a batch's links leaves it.
     """
     spark = rows.sparkSession
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
@@ -95,7 +99,9 @@ def linked(rows: DataFrame, keys: list[str], columns: list[str], links: Callable
                         xs.append(nodes[nodes != root])
                         ys.append(root[nodes != root])
             none = np.empty(0, dtype=np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs or [none])), pa.array(np.concatenate(ys or [none]))], ["a", "b"])
+            nodes, root = roots(np.concatenate(xs or [none]), np.concatenate(ys or [none]))
+            far = nodes != root
+            return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], ["a", "b"])
 
         held = None
         for batch in batches:

@@ -134,7 +134,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_
     keyed = found.select(F.explode("buckets").alias("bucket"), F.col("h").alias("id")).distinct()
     sets = found.groupBy("h").agg(F.max("shingles").alias("shingles")).withColumnRenamed("h", "id")
     edges = linked(keyed, ["bucket"], ["shingles"], alike(similarity), block=128, more=sets)
-    roots = components(edges)
+    roots = components(edges, thin=False)
     joined = own.join(roots, F.col("h") == F.col("node"), "left").withColumn("root", F.coalesce("root", "h"))
     classes = joined.groupBy("root").agg(F.min("first").alias("class"), F.sum("n").alias("class_size")).where("class_size > 1")
     named = settle(joined.select("h", "root").join(classes, "root").select("h", "class", "class_size"), "classes")

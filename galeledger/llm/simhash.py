@@ -227,7 +227,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
 def _smallest(own: DataFrame, edges: DataFrame) -> DataFrame:
     """(fp, component_id) for every distinct fingerprint."""
-    joined = components(edges).join(own, F.col("node") == F.col("fp"))
+    joined = components(edges, thin=False).join(own, F.col("node") == F.col("fp"))
     least = joined.groupBy("root").agg(F.min("_least").alias("_all"))
     linked_fps = joined.join(least, "root").select("fp", "_all")
     return settle(own.join(linked_fps, "fp", "left").select("fp", F.coalesce("_all", "_least").alias("component_id")), "components")
@@ -269,12 +269,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         described, f"d {kind}, th long, fp long, buckets array<long>, shingles binary"), "described")
     texts = settle(rows.groupBy("th").agg(F.min("d").alias("first"), F.count(F.lit(1)).alias("n")), "texts")
     fps = settle(rows.select("fp").distinct(), "distinct")
-    near = components(near_fingerprints(fps, radius)).withColumnRenamed("node", "fp")
+    near = components(near_fingerprints(fps, radius), thin=False).withColumnRenamed("node", "fp")
     close = rows.select("fp", "th").join(near, "fp", "left").select(F.xxhash64(F.coalesce("root", "fp")).alias("bucket"), F.col("th").alias("id"))
     candidates = rows.select(F.explode("buckets").alias("bucket"), F.col("th").alias("id")).unionByName(close).distinct()
     sets = rows.groupBy("th").agg(F.max("shingles").alias("shingles")).withColumnRenamed("th", "id")
     edges = linked(candidates, ["bucket"], ["shingles"], alike(similarity), block=128, more=sets)
-    grouped = texts.join(components(edges), F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))
+    grouped = texts.join(components(edges, thin=False), F.col("th") == F.col("node"), "left").withColumn("root", F.coalesce("root", "th"))
     # min_by passes over null ids only where there are none else
     stay = grouped.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "th")).alias("best")).select("best.first", "best.th")
     own, first, th, d, t = free(docs, "_hash", "_first", "_th", "_d", "_t")

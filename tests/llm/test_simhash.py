@@ -6,7 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from galeledger.llm import simhash
+from galeledger.llm import graph, simhash
 from galeledger.llm.graph import components
 from galeledger.llm.simhash import allocated, near_duplicates, near_fingerprints, similar
 
@@ -91,6 +91,21 @@ def test_one_of_each_group_stays(spark, docs, no_docs):
     assert near_duplicates(no_docs).count() == 0
 
 
+def test_links_are_thinned_where_they_are_made(spark, docs, monkeypatch):
+    """One Python step a stage at most: a second one doubles the workers of every executor."""
+    plans, settled = [], graph.settle
+
+    def kept(df, label="settled"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1])
+        return settled(df, label)
+
+    monkeypatch.setattr(graph, "settle", kept)
+    near_duplicates(docs)
+    similar(docs)
+    steps = [part.count("MapInArrow") for plan in plans for part in plan.split("Exchange")]
+    assert sum(steps) >= 3 and max(steps) == 1
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = random.Random(5)
     words = lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
