@@ -15,7 +15,9 @@ from .common import ready, slices
 
 SPACE = "▁"
 # No piece has a space mark after another character, so a path always passes the state in front of one.
-CHUNK = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+CHUNK = " *[^ ]+| +"  # a chunk is kept with spaces for the marks, in half the memory
+# What a worker holds beside the caches of other steps: chunks of its store and bytes of text that are encoded at a time.
+MOST_CHUNKS, MOST_TEXT = 300_000, 1 << 20
 _TRANSDUCERS: dict[str, "Transducer"] = {}
 
 
@@ -52,7 +54,7 @@ class Transducer:
             self.spelled[i] = piece.replace(SPACE, " ").encode()
         for b, i in enumerate(self.bytes):
             self.spelled[i] = bytes([b])
-        self.chunks = Chunks(CHUNK, lambda chunks: coded([self.path(c) for c in chunks]))
+        self.chunks = Chunks(CHUNK, lambda chunks: coded([self.path(c.replace(" ", SPACE)) for c in chunks]), most=MOST_CHUNKS)
 
     @staticmethod
     def normalised(text: str) -> str:
@@ -164,7 +166,7 @@ class Transducer:
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        return self.chunks.encode([self.normalised(t or "") for t in texts])
+        return self.chunks.encode([self.normalised(t or "").replace(SPACE, " ") for t in texts])
 
     def decode(self, ids: list[int]) -> bytes:
         """UTF-8 bytes of the ids without the space put in front."""
@@ -189,7 +191,7 @@ def encoded(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "te
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(model)
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", MOST_TEXT):
                 texts = part.column("t").to_pylist()
                 ids, n = own.encode(texts)
                 ends = np.cumsum(n)

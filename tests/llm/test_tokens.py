@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from galeledger.llm import tokenfile
-from galeledger.llm.pieces import decoded, encoded, transducer
+from galeledger.llm.pieces import Transducer, decoded, encoded, transducer
 
 BPE, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 texts = st.text(alphabet=st.sampled_from(list(" \t\n\r▁\x85\xa0 　\x1cabcdeéß́中😀.,!'s 1239#<|>")), max_size=60)
@@ -106,3 +106,17 @@ def test_long_runs_end(text):
     start = time.time()
     ids, _ = transducer(MODEL).encode([text])
     assert time.time() - start < 5 and ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=MODEL).encode(text)
+
+
+def test_store_of_chunks_stays_small():
+    """Plain text is kept as such, in one byte a character, and no more than a fixed number of chunks; marks and spaces are one."""
+    own = Transducer(MODEL)
+    texts = ["one two  three", "one▁two▁▁three", " ".join(f"w{i:x}" for i in range(2000)), "", "né 中"]
+    first = [own.encode([t])[0].tolist() for t in texts]
+    assert first[0] == first[1]
+    assert all(c.isascii() for c in own.chunks if not {"é", "中"} & set(c))
+    assert own.chunks.most <= 300_000
+    own.chunks.most = 50
+    assert [own.encode([t])[0].tolist() for t in texts] == first
+    own.encode(["last"])
+    assert len(own.chunks) < 50
