@@ -233,13 +233,19 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     first = itself & (F.col("word") == F.col("fword"))
     heads, others = whole.where(first), whole.where(~first)
     at = lambda p, cols: near.select(F.col("d").alias(f"{p}d"), F.col("th").alias(f"{p}th"), F.col("word").alias(f"{p}w"), *(F.col(c).alias(f"{p}{c}") for c in cols))
-    joined = others
-    for p, side, keys in (("a", ["left", "start", "starts", "line", "lines"], ("d", "th", "word")), ("b", ["left"], ("fd", "fth", "fword")), ("y", ["right", "end", "ends"], ("d", "th", "last")), ("z", ["right"], ("fd", "fth", "flast"))):
-        joined = joined.join(at(p, side), same((f"{p}d", keys[0])) & (F.col(f"{p}th") == F.col(keys[1])) & (F.col(f"{p}w") == F.col(keys[2])), "left").drop(f"{p}d", f"{p}th", f"{p}w")
     agree = lambda x, y: F.coalesce(F.expr(f"case array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false) when 0 then size({x}) else array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false) - 1 end"), F.lit(0)).cast("int")
     longer = lambda places, n, plain, way=-1: F.when(F.col(n) > 0, F.col(plain) + way * F.get(F.col(places), F.col(n) - 1)).otherwise(F.col(plain))
-    spans = settle(joined.withColumns({"l": agree("aleft", "bleft"), "r": agree("yright", "zright")}).select(
-        "d", "th", "word", "stop", "fd", "fth", "fword", "flast", "l", "r", longer("alines", "l", "aline").alias("line"), longer("astarts", "l", "astart").alias("start"), longer("yends", "r", "yend", 1).alias("end")).dropDuplicates(["d", "th", "word", "fd", "fth", "fword"]), "spans")  # rows alike in id and text give their contexts twice
+
+    def met(rows: DataFrame, p: str, cols: list[str], d: str, th: str, word: str) -> DataFrame:
+        """With columns of the context at a place, where there is one."""
+        return rows.join(at(p, cols), same((f"{p}d", d)) & (F.col(f"{p}th") == F.col(th)) & (F.col(f"{p}w") == F.col(word)), "left").drop(f"{p}d", f"{p}th", f"{p}w")
+
+    # One end after the other: contexts are dealt out for one end at a time, and the second end's joins carry numbers, not the first end's arrays.
+    joined = met(met(others, "b", ["left"], "fd", "fth", "fword"), "a", ["left", "start", "starts", "line", "lines"], "d", "th", "word").withColumn("l", agree("aleft", "bleft"))
+    joined = settle(joined.select(*others.columns, "l", longer("alines", "l", "aline").alias("line"), longer("astarts", "l", "astart").alias("start")), "left-ends")
+    joined = met(met(joined, "z", ["right"], "fd", "fth", "flast"), "y", ["right", "end", "ends"], "d", "th", "last").withColumn("r", agree("yright", "zright"))
+    spans = settle(joined.select("d", "th", "word", "stop", "fd", "fth", "fword", "flast", "l", "r", "line", "start", longer("yends", "r", "yend", 1).alias("end")).dropDuplicates(
+        ["d", "th", "word", "fd", "fth", "fword"]), "spans")  # rows alike in id and text give their contexts twice
 
     h = heads.select(*(F.col(c).alias(f"h_{c}") for c in ("d", "th", "word", "stop", "last")))
     into = spans.join(h, same(("fd", "h_d")) & (F.col("fth") == F.col("h_th")) & F.col("fword").between(F.col("h_word"), F.col("h_last")))
@@ -247,10 +253,9 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     sizes = into.groupBy(*key).agg((F.count(F.lit(1)) + 1).alias("class_size"), F.max(F.when(F.col("fword") == F.col("h_word"), F.col("l")).otherwise(0)).alias("l"),
                                    F.max(F.when(F.col("flast") == F.col("h_last"), F.col("r")).otherwise(0)).alias("r"))
     grown = h.join(sizes.withColumnsRenamed({k: f"s{k}" for k in key}), same(*((k, f"s{k}") for k in key))).drop(*(f"s{k}" for k in key))
-    for p, side, k in (("a", ["start", "starts", "line", "lines"], "h_word"), ("y", ["end", "ends"], "h_last")):
-        grown = grown.join(at(p, side), same((f"{p}d", "h_d")) & (F.col(f"{p}th") == F.col("h_th")) & (F.col(f"{p}w") == F.col(k)), "left").drop(f"{p}d", f"{p}th", f"{p}w")
-    grown = settle(grown.select(*key, "class_size", (F.col("h_stop") - F.col("h_word") + F.col("l") + F.col("r")).alias("h_n"),
-                                longer("alines", "l", "aline").alias("h_line"), longer("astarts", "l", "astart").alias("h_start"), longer("yends", "r", "yend", 1).alias("h_end")).dropDuplicates(key), "heads")
+    grown = met(grown, "a", ["start", "starts", "line", "lines"], "h_d", "h_th", "h_word").withColumns({"h_line": longer("alines", "l", "aline"), "h_start": longer("astarts", "l", "astart")})
+    grown = met(grown.drop("astart", "astarts", "aline", "alines"), "y", ["end", "ends"], "h_d", "h_th", "h_last")
+    grown = settle(grown.select(*key, "class_size", (F.col("h_stop") - F.col("h_word") + F.col("l") + F.col("r")).alias("h_n"), "h_line", "h_start", longer("yends", "r", "yend", 1).alias("h_end")).dropDuplicates(key), "heads")
     # What lies in a run that stands in an earlier text has its class there.
     within = grown.join(spans.select("d", "th", "start", "end"), same(("h_d", "d")) & (F.col("h_th") == F.col("th")) & (F.col("h_start") >= F.col("start")) & (F.col("h_end") <= F.col("end")))
     within = within.select(*(F.col(k).alias(f"w{k}") for k in key)).distinct()
