@@ -40,7 +40,7 @@ def fold_medians(rows: DataFrame, fold: str, features: Sequence[str]) -> DataFra
     # One row per fold; the order is that of the folds.
     ordered = Window.partitionBy(F.lit(0)).orderBy(fold)
     before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
-    merged = own.select(fold, *[F.kll_merge_agg_double(f"_s{i}").over(w).alias(f"_{n}{i}") for i in range(len(features)) for n, w in (("b", before), ("a", after))])
+    merged = own.select(fold, *[F.kll_merge_agg_double(f"_s{i}", F.lit(ACCURACY)).over(w).alias(f"_{n}{i}") for i in range(len(features)) for n, w in (("b", before), ("a", after))])
     both = lambda i: F.when(F.col(f"_b{i}").isNull(), F.col(f"_a{i}")).when(F.col(f"_a{i}").isNull(), F.col(f"_b{i}")).otherwise(F.kll_sketch_merge_double(f"_b{i}", f"_a{i}"))
     return merged.select(fold, F.array(*[_median(both(i)) for i in range(len(features))]).alias("medians"))
 
