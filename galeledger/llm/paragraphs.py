@@ -53,6 +53,12 @@ def buckets(h: np.ndarray, n: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; short arrays sort faster than ``np.unique`` hashes them."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def paragraphs(docs: DataFrame, doc_id: str, text: str, least_words: int = LEAST_WORDS, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """Every line with ``least_words`` or more words: doc_id, para (line number from 0), start, end (code points), n_words, h (XXH64
     of its words, A-Z lower-cased), buckets, shingles (sorted distinct 32-bit hashes)."""
@@ -79,7 +85,8 @@ def paragraphs(docs: DataFrame, doc_id: str, text: str, least_words: int = LEAST
                 h, n = shingle_hashes(WORD_HASHES.of(words), np.cumsum(size) - size, size, shingle)
                 keys = buckets(h, n, bands, rows)
                 ends = np.cumsum(n)
-                sets = [np.unique((h[e - k:e] >> np.uint64(32)).astype(np.uint32)).tobytes() for e, k in zip(ends.tolist(), n.tolist())]
+                halves = (h >> np.uint64(32)).astype(np.uint32)
+                sets = [distinct(halves[e - k:e]).tobytes() for e, k in zip(ends.tolist(), n.tolist())]
                 place = np.array(at)
                 yield pa.RecordBatch.from_arrays([
                     part.column("d").take(pa.array(place[:, 0])), *(pa.array(place[:, c]) for c in (1, 2, 3)), pa.array(size), pa.array(np.array(ids, dtype=np.uint64).view(np.int64)),

@@ -11,7 +11,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .common import WORD_HASHES, mixed, parts, ready, signed, slices
+from .common import WORD_HASHES, as_list, mixed, parts, ready, signed, slices, word_codes
 
 UNIT = 40  # words of a unit
 PASSAGE = 51  # a passage of so many words always holds a selected unit
@@ -94,7 +94,41 @@ def counted(n: np.ndarray) -> np.ndarray:
 
 
 def listed(n: np.ndarray, values: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), type=pa.int32()), pa.array(values.astype(np.int32)))
+    """``n`` values each, 32 bits a value, as binary."""
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(4 * np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.py_buffer(values.astype("<i4"))])
+
+
+def unlisted(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values of ``listed``, filled up to AROUND each, and their numbers; none for null."""
+    column = pc.fill_null(column, b"")
+    n = pc.binary_length(column).to_numpy() // 4
+    out = np.zeros((len(n), AROUND), dtype=np.int64)
+    out[np.repeat(np.arange(len(n)), n), counted(n)] = joined_bytes(column, "<i4")
+    return out, n
+
+
+def moved(rows: DataFrame, n: str, contexts: tuple[str, str] | None, places: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """``rows`` without their context columns, with ``n`` (how many words of the two ``contexts`` agree, nearest first; as it is if none are given) and
+    ``places``: by the name, a place, the distances of the words beside it and the way (1 or -1) it moves past ``n`` of them."""
+    used = {*(contexts or ()), *(x for p in places.values() for x in p[:2])}
+    kept = [c for c in rows.columns if c not in used]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if contexts:
+                (x, k), (y, m) = (unlisted(batch.column(c)) for c in contexts)
+                alike = (x == y) & (np.arange(AROUND) < np.minimum(k, m)[:, None])
+                count = np.logical_and.accumulate(alike, axis=1).sum(axis=1)
+            else:
+                count = batch.column(n).to_numpy()
+            out = [batch.column(c) for c in kept] + ([pa.array(count.astype(np.int32))] if contexts else [])
+            for place, away, way in places.values():
+                far = unlisted(batch.column(away))[0][np.arange(len(count)), np.maximum(count - 1, 0)]
+                out.append(pc.add(batch.column(place), pa.array(np.where(count > 0, way * far, 0).astype(np.int64))))
+            yield pa.RecordBatch.from_arrays(out, [*kept, *([n] if contexts else []), *places])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept] + [f"{n} int"] * bool(contexts) + [f"{p} long" for p in places]
+    return rows.mapInArrow(cut, ", ".join(fields))
 
 
 def filter_of(hashes: DataFrame, h: str = "h") -> Broadcast:
@@ -113,57 +147,111 @@ def place(th: str, word: str) -> Column:
     return F.col(th).bitwiseXOR(F.col(word) * F.lit(SPREAD))
 
 
-def units(docs: DataFrame, doc_id: str, text: str, only: Broadcast | None = None, around: bool = False) -> DataFrame:
-    """Selected units of every text: their hashes h; with a filter, those in it with d, th (hash of the text), word and stop (word after); with ``around`` and a
-    filter of places (``place``), those units with start, end, line and 32 bits of the hashes of AROUND words to the left (nearest first) and to the right, with their distances in code points and lines."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of consecutive texts and how many each text has."""
+    found, at, size = word_codes(texts)
+    return WORD_HASHES.of(as_list(found))[at], size
+
+
+def inside(values: np.ndarray, filter_: np.ndarray) -> np.ndarray:
+    """Which values' bits are set in a filter."""
+    low = values & np.uint64(64 * len(filter_) - 1)
+    return (filter_[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
+
+
+def texts_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t"))
+
+
+def units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Selected units of every text that has some: d, th (hash of the text), words (their first words' numbers, 32 bits each) and hashes (64 bits each)."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                bodies = part.column("t").to_pylist()
-                found = [(x or b"").lower().split() for x in bodies]
-                size = np.array([len(x) for x in found])
-                words = WORD_HASHES.of([w for x in found for w in x])
-                del found
+                words, size = word_hashes(part.column("t"))
                 at, h = selected(words, size)
-                if only is None:
-                    yield pa.RecordBatch.from_arrays([signed(h)], ["h"])
-                    continue
+                last = np.cumsum(size)
+                row = np.searchsorted(last, at, side="right")
+                left, h = (at - (last - size)[row]).astype("<i4"), h.astype("<u8")
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                own = row[first]
+                bounds = list(zip(first.tolist(), [*first[1:].tolist(), len(row)]))
+                yield pa.RecordBatch.from_arrays([
+                    part.column("d").take(pa.array(own)), part.column("th").take(pa.array(own)), *(pa.array([a[i:j].tobytes() for i, j in bounds], type=pa.binary()) for a in (left, h))],
+                    ["d", "th", "words", "hashes"])
+
+    return texts_of(docs, doc_id, text).mapInArrow(cut, f"d {kind}, th long, words binary, hashes binary")
+
+
+def joined_bytes(column: pa.Array, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(as_list(column)), dtype=kind)
+
+
+def unit_keys(packed: DataFrame) -> DataFrame:
+    """(h) of every unit of every text."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "hashes"):
+                yield pa.RecordBatch.from_arrays([signed(joined_bytes(part.column("hashes"), "<u8"))], ["h"])
+
+    return packed.select("hashes").mapInArrow(cut, "h long")
+
+
+def units_in(packed: DataFrame, only: Broadcast) -> DataFrame:
+    """(d, th, word, stop, h) of the units whose hash is in the filter; ``stop`` is the word after."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "hashes", 1 << 20):
+                h, word = joined_bytes(part.column("hashes"), "<u8"), joined_bytes(part.column("words"), "<i4").astype(np.int64)
+                hit = np.flatnonzero(inside(h, only.value))
+                row = pa.array(np.repeat(np.arange(part.num_rows), pc.binary_length(part.column("hashes")).to_numpy() // 8)[hit])
+                yield pa.RecordBatch.from_arrays([part.column("d").take(row), part.column("th").take(row), pa.array(word[hit]), pa.array(word[hit] + UNIT), signed(h[hit])], ["d", "th", "word", "stop", "h"])
+
+    return packed.mapInArrow(cut, f"d {packed.schema['d'].dataType.simpleString()}, th long, word long, stop long, h long")
+
+
+def contexts(docs: DataFrame, doc_id: str, text: str, starts: Broadcast, ends: Broadcast) -> DataFrame:
+    """Words beside the selected units whose places (``place``) are in a filter: of ``starts`` those before (``left``), of ``ends`` those after.
+
+    Columns d, th, word, left, point (start or end of the unit) and line (of its start), 32 bits of the hashes of AROUND words (nearest first), their distances in code points
+    and, before the unit, in lines."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                words, size = word_hashes(part.column("t"))
+                at, _ = selected(words, size)
                 last = np.cumsum(size)
                 first, row = last - size, np.searchsorted(last, at, side="right")
-                if around:
-                    own = part.column("th").to_numpy().view(np.uint64)[row] ^ ((at - first[row]).astype(np.uint64) * np.uint64(SPREAD))
-                else:
-                    own = h
-                low = own & np.uint64(64 * len(only.value) - 1)
-                hit = (only.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) == 1
-                at, h, row = at[hit], h[hit], row[hit]
-                if not len(at):
+                own = part.column("th").to_numpy().view(np.uint64)[row] ^ ((at - first[row]).astype(np.uint64) * np.uint64(SPREAD))
+                hits = [np.flatnonzero(inside(own, f.value)) for f in (starts, ends)]
+                if not any(map(len, hits)):
                     continue
-                if around:
-                    places, halves = Places(bodies), (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                places, halves = Places(part.column("t").to_pylist()), (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 del words
-                for lo in range(0, len(at), 1 << 14):
-                    word, text = at[lo:lo + (1 << 14)], row[lo:lo + (1 << 14)]
-                    left = word - first[text]
-                    ids = [part.column("d").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array(left)]
-                    if not around:
-                        yield pa.RecordBatch.from_arrays([*ids, pa.array(left + UNIT), signed(h[lo:lo + (1 << 14)])], ["d", "th", "word", "stop", "h"])
-                        continue
-                    point, line = places.origin(text)
-                    start, end, own_line = places.start(word), places.end(word + UNIT - 1), places.line(word)
-                    n, m = np.minimum(left, AROUND), np.minimum(last[text] - word - UNIT, AROUND)
-                    before, after = np.repeat(word, n) - 1 - counted(n), np.repeat(word, m) + UNIT + counted(m)
-                    yield pa.RecordBatch.from_arrays([
-                        *ids, *map(pa.array, (start - point, end - point, own_line - line)), listed(n, halves[before]), listed(n, np.repeat(start, n) - places.start(before)),
-                        listed(n, np.repeat(own_line, n) - places.line(before)), listed(m, halves[after]), listed(m, places.end(after) - np.repeat(end, m))],
-                        ["d", "th", "word", "start", "end", "line", "left", "starts", "lines", "right", "ends"])
-
-    body = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("th"), F.col(text).cast("binary").alias("t"))
-    schema = "h long" if only is None else f"d {kind}, th long, word long, stop long, h long" if not around else (
-        f"d {kind}, th long, word long, start long, end long, line long, left array<int>, starts array<int>, lines array<int>, right array<int>, ends array<int>")
-    return body.mapInArrow(cut, schema)
+                for left, hit in zip((True, False), hits):
+                    for lo in range(0, len(hit), 1 << 14):
+                        word, text = at[hit[lo:lo + (1 << 14)]], row[hit[lo:lo + (1 << 14)]]
+                        origin, origin_line = places.origin(text)
+                        line = places.line(word)
+                        if left:
+                            point, n = places.start(word), np.minimum(word - first[text], AROUND)
+                            beside = np.repeat(word, n) - 1 - counted(n)
+                            away, lines = np.repeat(point, n) - places.start(beside), np.repeat(line, n) - places.line(beside)
+                        else:
+                            point, n = places.end(word + UNIT - 1), np.minimum(last[text] - word - UNIT, AROUND)
+                            beside = np.repeat(word, n) + UNIT + counted(n)
+                            away, lines = places.end(beside) - np.repeat(point, n), np.empty(0, dtype=np.int64)
+                        yield pa.RecordBatch.from_arrays([
+                            part.column("d").take(pa.array(text)), part.column("th").take(pa.array(text)), pa.array(word - first[text]), pa.array(np.full(len(word), left)),
+                            pa.array(point - origin), pa.array(line - origin_line), listed(n, halves[beside]), listed(n, away), listed(n if left else np.zeros_like(n), lines)],
+                            ["d", "th", "word", "left", "point", "line", "hashes", "points", "lines"])
+
+    return texts_of(docs, doc_id, text).mapInArrow(
+        cut, f"d {kind}, th long, word long, left boolean, point long, line long, hashes binary, points binary, lines binary")
 
 
 def same(*pairs: tuple[str, str]) -> Column:
@@ -221,30 +309,31 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     a run of first places and all that repeat a part of it; the first stays, the others are ``removed``.
     """
     ready(docs.sparkSession)
-    again = settle(units(docs, doc_id, text).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-units")
-    found = settle(units(docs, doc_id, text, filter_of(again)), "units")
+    packed = settle(units(docs, doc_id, text), "packed-units")
+    again = settle(unit_keys(packed).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "repeated-units")
+    found = settle(units_in(packed, filter_of(again)), "units")
     own = found.groupBy("h").agg(F.min(F.struct("d", "th", "word")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.col("f.d").alias("fd"), F.col("f.th").alias("fth"), F.col("f.word").alias("fword"))
     itself = same(("d", "fd"), ("th", "fth"))
     placed = found.hint("merge").join(own, "h").where(~(itself & (F.col("word") != F.col("fword")) & (F.col("word") < F.col("fword") + UNIT)))
     whole = settle(runs(placed), "runs")
-    ends = whole.select(F.explode(F.array(place("th", "word"), place("th", "last"), place("fth", "fword"), place("fth", "flast"))).alias("h")).distinct()
-    near = settle(units(docs, doc_id, text, filter_of(ends), around=True), "contexts")
+    ends = [whole.select(F.explode(F.array(place("th", a), place("fth", b))).alias("h")).distinct() for a, b in (("word", "fword"), ("last", "flast"))]
+    near = settle(contexts(docs, doc_id, text, *map(filter_of, ends)), "contexts")
 
     first = itself & (F.col("word") == F.col("fword"))
     heads, others = whole.where(first), whole.where(~first)
-    at = lambda p, cols: near.select(F.col("d").alias(f"{p}d"), F.col("th").alias(f"{p}th"), F.col("word").alias(f"{p}w"), *(F.col(c).alias(f"{p}{c}") for c in cols))
-    agree = lambda x, y: F.coalesce(F.expr(f"case array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false) when 0 then size({x}) else array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false) - 1 end"), F.lit(0)).cast("int")
-    longer = lambda places, n, plain, way=-1: F.when(F.col(n) > 0, F.col(plain) + way * F.get(F.col(places), F.col(n) - 1)).otherwise(F.col(plain))
-
+    sides = {"left": ("left", "hashes"), "start": ("left", "point"), "starts": ("left", "points"), "line": ("left", "line"), "lines": ("left", "lines"),
+             "right": ("right", "hashes"), "end": ("right", "point"), "ends": ("right", "points")}
+    at = lambda p, cols: near.where(F.col("left") == F.lit(sides[cols[0]][0] == "left")).select(F.col("d").alias(f"{p}d"), F.col("th").alias(f"{p}th"), F.col("word").alias(f"{p}w"), *(F.col(sides[c][1]).alias(f"{p}{c}") for c in cols))
     def met(rows: DataFrame, p: str, cols: list[str], d: str, th: str, word: str) -> DataFrame:
         """With columns of the context at a place, where there is one."""
         return rows.join(at(p, cols), same((f"{p}d", d)) & (F.col(f"{p}th") == F.col(th)) & (F.col(f"{p}w") == F.col(word)), "left").drop(f"{p}d", f"{p}th", f"{p}w")
 
     # One end after the other: contexts are dealt out for one end at a time, and the second end's joins carry numbers, not the first end's arrays.
-    joined = met(met(others, "b", ["left"], "fd", "fth", "fword"), "a", ["left", "start", "starts", "line", "lines"], "d", "th", "word").withColumn("l", agree("aleft", "bleft"))
-    joined = settle(joined.select(*others.columns, "l", longer("alines", "l", "aline").alias("line"), longer("astarts", "l", "astart").alias("start")), "left-ends")
-    joined = met(met(joined, "z", ["right"], "fd", "fth", "flast"), "y", ["right", "end", "ends"], "d", "th", "last").withColumn("r", agree("yright", "zright"))
-    spans = settle(joined.select("d", "th", "word", "stop", "fd", "fth", "fword", "flast", "l", "r", "line", "start", longer("yends", "r", "yend", 1).alias("end")).dropDuplicates(
+    joined = met(met(others, "b", ["left"], "fd", "fth", "fword"), "a", ["left", "start", "starts", "line", "lines"], "d", "th", "word")
+    joined = settle(moved(joined, "l", ("aleft", "bleft"), {"line": ("aline", "alines", -1), "start": ("astart", "astarts", -1)}), "left-ends")
+    joined = met(met(joined, "z", ["right"], "fd", "fth", "flast"), "y", ["right", "end", "ends"], "d", "th", "last")
+    joined = moved(joined, "r", ("yright", "zright"), {"end": ("yend", "yends", 1)})
+    spans = settle(joined.select("d", "th", "word", "stop", "fd", "fth", "fword", "flast", "l", "r", "line", "start", "end").dropDuplicates(
         ["d", "th", "word", "fd", "fth", "fword"]), "spans")  # rows alike in id and text give their contexts twice
 
     h = heads.select(*(F.col(c).alias(f"h_{c}") for c in ("d", "th", "word", "stop", "last")))
@@ -253,9 +342,9 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     sizes = into.groupBy(*key).agg((F.count(F.lit(1)) + 1).alias("class_size"), F.max(F.when(F.col("fword") == F.col("h_word"), F.col("l")).otherwise(0)).alias("l"),
                                    F.max(F.when(F.col("flast") == F.col("h_last"), F.col("r")).otherwise(0)).alias("r"))
     grown = h.join(sizes.withColumnsRenamed({k: f"s{k}" for k in key}), same(*((k, f"s{k}") for k in key))).drop(*(f"s{k}" for k in key))
-    grown = met(grown, "a", ["start", "starts", "line", "lines"], "h_d", "h_th", "h_word").withColumns({"h_line": longer("alines", "l", "aline"), "h_start": longer("astarts", "l", "astart")})
-    grown = met(grown.drop("astart", "astarts", "aline", "alines"), "y", ["end", "ends"], "h_d", "h_th", "h_last")
-    grown = settle(grown.select(*key, "class_size", (F.col("h_stop") - F.col("h_word") + F.col("l") + F.col("r")).alias("h_n"), "h_line", "h_start", longer("yends", "r", "yend", 1).alias("h_end")).dropDuplicates(key), "heads")
+    grown = moved(met(grown, "a", ["start", "starts", "line", "lines"], "h_d", "h_th", "h_word"), "l", None, {"h_line": ("aline", "alines", -1), "h_start": ("astart", "astarts", -1)})
+    grown = moved(met(grown, "y", ["end", "ends"], "h_d", "h_th", "h_last"), "r", None, {"h_end": ("yend", "yends", 1)})
+    grown = settle(grown.select(*key, "class_size", (F.col("h_stop") - F.col("h_word") + F.col("l") + F.col("r")).alias("h_n"), "h_line", "h_start", "h_end").dropDuplicates(key), "heads")
     # What lies in a run that stands in an earlier text has its class there.
     within = grown.join(spans.select("d", "th", "start", "end"), same(("h_d", "d")) & (F.col("h_th") == F.col("th")) & (F.col("h_start") >= F.col("start")) & (F.col("h_end") <= F.col("end")))
     within = within.select(*(F.col(k).alias(f"w{k}") for k in key)).distinct()

@@ -41,3 +41,32 @@ def test_odd_texts(docs, no_docs):
     # a text that repeats itself: its first words stay
     rows = passages(docs).collect()
     assert {r.doc_id for r in rows} == {11} and any(not r.removed for r in rows)
+
+
+def test_contexts_as_binary(spark):
+    from galeledger.llm.passages import listed, moved, unlisted
+    rng = random.Random(4)
+    lists = [[rng.choice([1, 2, -3]) for _ in range(rng.randrange(0, AROUND + 1))] for _ in range(60)]
+    values, n = unlisted(listed(np.array([len(x) for x in lists]), np.array([v for x in lists for v in x])))
+    assert [v[:k].tolist() for v, k in zip(values, n)] == lists
+    raw = [None if i % 9 == 8 else np.array(x, dtype="<i4").tobytes() for i, x in enumerate(lists)]
+    away = np.arange(1, AROUND + 1, dtype="<i4").tobytes()
+    rows = [(i, raw[i], raw[i // 2], 100, away) for i in range(len(lists))]
+    got = {r.id: r for r in moved(spark.createDataFrame(rows, "id long, x binary, y binary, p long, far binary"), "n", ("x", "y"), {"start": ("p", "far", -1)}).collect()}
+    for i, x, y, p, _ in rows:
+        a, b = (np.frombuffer(v or b"", dtype="<i4").tolist() for v in (x, y))
+        n = next((k for k, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+        assert (got[i].n, got[i].start) == (n, 100 - n)
+
+
+def test_units_are_packed_by_text(spark):
+    from galeledger.llm.passages import UNIT, unit_keys, units, units_in, filter_of
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefgh", k=k)) for k in (300, 39, 60, 300)] + [None, ""]
+    packed = units(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text")
+    sizes = {r.d: (len(r.words) // 4, len(r.hashes) // 8) for r in packed.collect()}
+    assert set(sizes) == {0, 2, 3} and all(a == b > 0 for a, b in sizes.values())
+    keys = unit_keys(packed)
+    found = units_in(packed, filter_of(keys)).collect()
+    assert sorted(r.h for r in found) == sorted(r.h for r in keys.collect())
+    assert all(r.stop == r.word + UNIT and r.stop <= len(texts[r.d].split()) for r in found)
