@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -14,7 +13,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .common import WORD_HASHES, mixed, parts, ready, slices
+from .common import WORD_HASHES, as_list, mixed, parts, ready, slices, word_codes
 
 END = b""  # the end of a text; no word is empty
 START = np.uint64(0x5851F42D4C957F2D)
@@ -26,6 +25,7 @@ BITS_PER_ENTRY = 10
 HASHES = 5
 SEGMENT_BYTES = 256 << 20  # most bytes of filter broadcast at a time
 FLUSH = 3 << 20  # tokens whose n-grams are counted in memory before they are sent on
+HELD = 1 << 22  # counts of n-grams that a task holds before it sums those of the same n-gram
 START_CLASS, CLASSES = 63, 64  # of contexts: 0 rare words, their count's level for frequent ones, text start
 _LOG_BASE = np.log(BASE)
 
@@ -59,21 +59,24 @@ def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return (context_part(before) << np.uint64(32)) | (mixed(before * np.uint64(3) + word) >> np.uint64(32))
 
 
-def place(key: np.ndarray, level: int, hash_no: int, bits: np.ndarray) -> np.ndarray:
+def places(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place of each key at a level, before the modulus, and the step from one place to the next."""
     h = mixed(key + np.uint64(0x9E3779B97F4A7C15 * level & 0xFFFFFFFFFFFFFFFF))
-    step = mixed(h ^ np.uint64(0x94D049BB133111EB)) | np.uint64(1)
-    return (h + np.uint64(hash_no) * step) % bits
+    return h, mixed(h ^ np.uint64(0x94D049BB133111EB)) | np.uint64(1)
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, dtype=np.int64)
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
 def tokenised(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     """Words and ends of all texts and the tokens of each: A-Z lower-cased, split at ASCII white space."""
-    tokens: list[bytes] = []
-    stops = np.empty(len(texts), dtype=np.int64)
-    for i, text in enumerate(texts):
-        tokens += (text or b"").lower().split()
-        tokens.append(END)
-        stops[i] = len(tokens)
-    return tokens, np.diff(stops, prepend=0)
+    found, at, counts = word_codes(pa.array(texts, type=pa.binary()), end=True)
+    return found.take(pa.array(at)).to_pylist(), counts
 
 
 def neighbours(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -125,13 +128,16 @@ def levels_of(keys: np.ndarray, sections: int, filter_: tuple[np.ndarray, np.nda
     out = np.zeros(len(keys), dtype=np.uint8)
     alive = np.flatnonzero(start[section] >= 0)
     for j in range(1, CLASSES + 1):
+        h, step = places(keys[alive], j)
         for k in range(HASHES):
             if not len(alive):
                 return out
             s = section[alive]
-            at = place(keys[alive], j, k, bits[s])
+            at = h % bits[s]
             byte = data[start[s] + (at >> np.uint64(3)).astype(np.int64)]
-            alive = alive[(byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            hit = (byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            alive, step = alive[hit], step[hit]
+            h = h[hit] + step
         out[alive] = j
     return out
 
@@ -146,15 +152,21 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     body = docs.select(F.col(text).cast("binary").alias("t"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.binary()), pa.array(list(seen.values()), type=pa.int64())], ["word", "n"])
+        held: list[pa.Table] = []
+
+        def summed_words() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
+
         for batch in batches:
             for part in slices(batch, "t"):
-                seen.update(tokenised(part.column("t").to_pylist())[0])
-                if len(seen) > HOT_WORDS:
-                    yield out()
-                    seen.clear()
-        yield out()
+                found, at, _ = word_codes(part.column("t"), end=True)
+                held.append(pa.Table.from_arrays([found, pa.array(np.bincount(at, minlength=len(found)))], ["word", "n"]))
+                if sum(t.num_rows for t in held) > HOT_WORDS:
+                    held = [summed_words()]
+                    if held[0].num_rows > HOT_WORDS // 2:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from summed_words().to_batches()
 
     counts = settle(body.mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
@@ -170,17 +182,27 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     mass[0] = tokens - texts - mass.sum()
     mass[START_CLASS] = texts
 
+    n_sections = 4 * parts(spark)
+
+    def packed(keys: np.ndarray, n: np.ndarray, pair: bool) -> pa.RecordBatch:
+        """One row for each section, with all its keys and their counts."""
+        section = (keys % np.uint64(n_sections)).astype(np.int64)
+        order = np.argsort(section, kind="stable")
+        own, first = np.unique(section[order], return_index=True)
+        keys, n = keys[order].astype("<u8"), n[order].astype("<i8")
+        cut = lambda a: pa.array([a[i:j].tobytes() for i, j in zip(first.tolist(), [*first[1:].tolist(), len(a)])], type=pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(len(own), pair)), cut(keys), cut(n)], ["section", "pair", "keys", "counts"])
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
+            return packed(*np.unique(np.concatenate(held), return_counts=True), True)
 
         for batch in batches:
             for part in slices(batch, "t"):
-                tokens, counts = tokenised(part.column("t").to_pylist())
-                h = WORD_HASHES.of(tokens)
+                found, at, counts = word_codes(part.column("t"), end=True)
+                h = WORD_HASHES.of(as_list(found))[at]
                 held.append(pair_key(neighbours(h, counts), h))
                 size += len(h)
                 if size > FLUSH:
@@ -191,20 +213,32 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = word_key(WORD_HASHES.of(batch.column("word").to_pylist()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("n")], ["key", "n"])
+            yield packed(word_key(WORD_HASHES.of(as_list(batch.column("word")))), batch.column("n").to_numpy(), False)
 
-    n_sections = 4 * parts(spark)
     start_part = context_part(np.array([START]))[0]
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, section, count, pair = [], [], [], []
+        held, rows = {False: [], True: []}, 0  # of words, of pairs
+
+        def sums(kind: bool) -> tuple[np.ndarray, np.ndarray]:
+            key, n = (np.concatenate(x) for x in zip((np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)), *held[kind]))
+            return summed(key, n)
+
+        limit = HELD
         for batch in batches:
-            for name, into in (("key", keys), ("section", section), ("n", count), ("pair", pair)):
-                into.append(batch.column(name).to_numpy(zero_copy_only=False))
-        if not keys:
-            return
-        key, section, count, pair = np.concatenate(keys).view(np.uint64), np.concatenate(section), np.concatenate(count), np.concatenate(pair)
+            for kind, keys, n in zip(*(batch.column(c).to_pylist() for c in ("pair", "keys", "counts"))):
+                held[kind].append((np.frombuffer(keys, dtype="<u8"), np.frombuffer(n, dtype="<i8")))
+                rows += len(n) // 8
+            if rows > limit:
+                for kind in held:
+                    held[kind] = [sums(kind)]
+                rows = sum(len(k) for got in held.values() for k, _ in got)
+                limit = max(HELD, 2 * rows)
+        (word_keys, word_counts), (pair_keys, pair_counts) = sums(False), sums(True)
+        held.clear()
+        key, count = np.concatenate([word_keys, pair_keys]), np.concatenate([word_counts, pair_counts])
+        section = (key % np.uint64(n_sections)).astype(np.int64)
+        pair = np.arange(len(key)) >= len(word_keys)
         parts_, class_ = classes.value
         for s in np.unique(section):
             own = section == s
@@ -212,9 +246,10 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             bits = max(64, -(-int(top.sum()) * BITS_PER_ENTRY // 64) * 64)
             data = np.zeros(bits, dtype=bool)
             for j in range(1, int(top.max()) + 1):
-                some = k[top >= j]
-                for i in range(HASHES):
-                    data[place(some, j, i, np.uint64(bits)).astype(np.int64)] = True
+                at, step = places(k[top >= j], j)
+                for _ in range(HASHES):
+                    data[(at % np.uint64(bits)).astype(np.int64)] = True
+                    at = at + step
             before = k[pair[own]] >> np.uint64(32)
             at = np.minimum(np.searchsorted(parts_, before), max(len(parts_) - 1, 0))
             kind = np.where(parts_[at] == before, class_[at], 0) if len(parts_) else np.zeros(len(before), dtype=np.int64)
@@ -224,12 +259,9 @@ def train(docs: DataFrame, text: str = "text") -> Model:
                 pa.array([int(s)]), pa.array([bits]), pa.array([np.packbits(data, bitorder="little").tobytes()]), pa.array([int((n == 1).sum())]), pa.array([int((n == 2).sum())]),
                 pa.array([np.bincount(kind, minlength=CLASSES).tolist()], type=pa.list_(pa.int64()))], ["section", "bits", "data", "ones", "twos", "types"])
 
-    rows = body.mapInArrow(pairs, "key long, n long").withColumn("pair", F.lit(True)).unionByName(
-        counts.mapInArrow(keyed, "key long, n long").withColumn("pair", F.lit(False)))
-    # the key as an unsigned number, modulo the sections
-    dealt = rows.withColumn("section", F.pmod(F.pmod("key", F.lit(n_sections)) + F.when(F.col("key") < 0, F.lit((1 << 64) % n_sections)).otherwise(F.lit(0)), F.lit(n_sections)))
-    summed = dealt.repartition(parts(spark), "section").groupBy("section", "key", "pair").agg(F.sum("n").alias("n"))
-    sections = settle(summed.mapInArrow(built, "section long, bits long, data binary, ones long, twos long, types array<long>"), "filter")
+    schema = "section long, pair boolean, keys binary, counts binary"
+    dealt = body.mapInArrow(pairs, schema).unionByName(counts.mapInArrow(keyed, schema)).repartition(parts(spark), "section")
+    sections = settle(dealt.mapInArrow(built, "section long, bits long, data binary, ones long, twos long, types array<long>"), "filter")
     about = sections.select("section", "bits", "ones", "twos", "types").collect()  # a few numbers for each section
     ones, twos = sum(r.ones for r in about), sum(r.twos for r in about)
     discount = ones / (ones + 2 * twos) if ones else 0.5
@@ -270,18 +302,19 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         (F.col("hot_score") + F.coalesce("_s", F.lit(0.0))).alias("base_score"), "score")
 
 
-def _levels(tokens: list[bytes], counts: np.ndarray, rare: np.ndarray, sections: int, filter_: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Levels of the words that are ``rare`` (0 for the others, whose counts are exact) and of all pairs."""
-    h = WORD_HASHES.of(tokens)
-    words = np.zeros(len(tokens), dtype=np.uint8)
-    words[rare] = levels_of(word_key(h[rare]), sections, filter_)
-    pairs, at = np.unique(pair_key(neighbours(h, counts), h), return_inverse=True)
-    return words, levels_of(pairs, sections, filter_)[at]
+def _levels(words: list[bytes], at: np.ndarray, counts: np.ndarray, rare: np.ndarray, sections: int, filter_: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of the words that are ``rare`` (0 for the others, whose counts are exact) and of all pairs; ``at`` is the number of each token's word."""
+    h = WORD_HASHES.of(words)
+    own = np.zeros(len(words), dtype=np.uint8)
+    own[rare] = levels_of(word_key(h[rare]), sections, filter_)
+    h = h[at]
+    pairs, place = np.unique(pair_key(neighbours(h, counts), h), return_inverse=True)
+    return own[at], levels_of(pairs, sections, filter_)[place]
 
 
-def _exact(tokens: list[bytes], hot: dict[bytes, int]) -> np.ndarray:
+def _exact(words: list[bytes], hot: dict[bytes, int]) -> np.ndarray:
     """Counts of frequent words, -1 for others."""
-    return np.fromiter(map(hot.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+    return np.fromiter(map(hot.get, words, repeat(-1)), dtype=np.int64, count=len(words))
 
 
 def _merged(part: pa.RecordBatch, now: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -296,9 +329,10 @@ def _prober(model: Model, filter_: Broadcast):
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "t"):
-                tokens, counts = tokenised(part.column("t").to_pylist())
-                rare = _exact(tokens, hot.value) < 0
-                words, pairs = _merged(part, _levels(tokens, counts, rare, sections, filter_.value))
+                found, at, counts = word_codes(part.column("t"), end=True)
+                found = as_list(found)
+                rare = _exact(found, hot.value) < 0
+                words, pairs = _merged(part, _levels(found, at, counts, rare, sections, filter_.value))
                 ends = np.cumsum(counts)
                 cut = lambda a: pa.array([a[e - n:e].tobytes() for e, n in zip(ends, counts)], type=pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), cut(words), cut(pairs)], ["d", "t", "w", "p"])
@@ -314,16 +348,18 @@ def _scorer(model: Model, filter_: Broadcast):
         floor = np.log10(max(n + v + 1, 1))
         for batch in batches:
             for part in slices(batch, "t", 2 << 20):
-                tokens, counts = tokenised(part.column("t").to_pylist())
-                count = _exact(tokens, exact)
+                found, at, counts = word_codes(part.column("t"), end=True)
+                words = as_list(found)
+                count = _exact(words, exact)
+                word, pair = _merged(part, _levels(words, at, counts, count < 0, sections, filter_.value))
+                count = count[at]
                 known, ends = count >= 0, np.cumsum(counts)
-                word, pair = _merged(part, _levels(tokens, counts, ~known, sections, filter_.value))
                 first = ends - counts
                 base = np.where(known, np.log10(np.maximum(count, 0) + 1.0) - floor, 0.0)
                 # the context of each token: its exact count if frequent, else the filter's; the text start has as many as texts
                 estimate = np.where(known, count, MEANS[word])
                 kind = np.where(known, np.minimum(level(count), START_CLASS - 1), 0)
-                before, before_kind = np.empty(len(tokens)), np.empty(len(tokens), dtype=np.int64)
+                before, before_kind = np.empty(len(at)), np.empty(len(at), dtype=np.int64)
                 before[1:], before_kind[1:] = estimate[:-1], kind[:-1]
                 before[first], before_kind[first] = texts, START_CLASS
                 alone = (estimate + 1.0) / max(n + v + 1, 1)
@@ -331,14 +367,14 @@ def _scorer(model: Model, filter_: Broadcast):
                 mixed_p = np.where(before > 0, np.maximum(seen - discount, 0) / np.maximum(before, 1) + rest[before_kind] * alone, alone)
                 logs = np.log10(np.maximum(mixed_p, 1e-300))
                 cold_at = np.flatnonzero(~known)
-                cold = [Counter() for _ in counts]
-                for i, d in zip(cold_at.tolist(), np.searchsorted(ends, cold_at, side="right").tolist()):
-                    cold[d][tokens[i]] += 1
+                cold, n_cold = np.unique(np.searchsorted(ends, cold_at, side="right") * len(words) + at[cold_at], return_counts=True)
+                cold_rows = np.searchsorted(cold, np.arange(len(counts) + 1) * len(words)).astype(np.int32)
+                cold_words = pa.StructArray.from_arrays([found.take(pa.array(cold % max(len(words), 1))), pa.array(n_cold)], ["word", "n"])
                 k = len(counts)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + k)), part.column("d"), pa.array(counts), pa.array(np.add.reduceat(known.astype(np.int64), first)), pa.array(np.add.reduceat(base, first)),
                     pa.array(np.add.reduceat(logs, first)),
-                    pa.array([[{"word": w, "n": c} for w, c in one.items()] for one in cold], type=pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
+                    pa.ListArray.from_arrays(pa.array(cold_rows), cold_words)],
                     ["r", "d", "n_tokens", "hot_known", "hot_score", "score", "cold"])
                 row += k
 

@@ -82,3 +82,19 @@ def test_empty_tables(spark, docs, no_docs):
     model = lm.train(no_docs)
     assert lm.score(no_docs, model).count() == 0
     assert all(r.base_score <= 0 for r in lm.score(docs, model).collect())
+
+
+def test_words_by_bytes_and_sums():
+    import pyarrow as pa
+    from galeledger.llm.common import word_codes
+    rng = random.Random(3)
+    for _ in range(200):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices("aAbÉ日 \t\n\r\x0b\x0c\x85\xa0", k=rng.randrange(0, 25))).encode() for _ in range(rng.randrange(0, 8))]
+        for end in (False, True):
+            found, at, n = word_codes(pa.array([b"left out", *texts], type=pa.binary()).slice(1), end)
+            want = [(t or b"").lower().split() + [b""] * end for t in texts]
+            assert found.take(pa.array(at)).to_pylist() == [w for x in want for w in x] and n.tolist() == [len(x) for x in want]
+            assert len(set(found.to_pylist())) == len(found)
+    keys, n = lm.summed(np.array([5, 1 << 63, 5, 7], dtype=np.uint64), np.array([1, 2, 3, 4]))
+    assert keys.tolist() == [5, 7, 1 << 63] and n.tolist() == [4, 4, 2]
+    assert [len(x) for x in lm.summed(np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))] == [0, 0]
