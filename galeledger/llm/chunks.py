@@ -95,10 +95,32 @@ class Chunks(dict):
             if self.end is not None:
                 chunks.append(None)
             stops[i] = len(chunks)
+        return self._joined(self._known(chunks), stops)
+
+    def encode_cut(self, chunks: list[str], at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that are cut already: distinct chunks, the number of each chunk in them, and how many chunks each text has."""
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            if len(self) > self.most:
+                self.forget()
+            own, stops = self._known(chunks)[at], np.cumsum(counts)
+            if self.end is not None:
+                own, stops = np.insert(own, stops, self[None]), stops + np.arange(1, len(stops) + 1)
+            return self._joined(own, stops)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _known(self, chunks: list[str | None]) -> np.ndarray:
+        """Numbers of chunks; new ones are encoded."""
         at = np.fromiter(map(self.__getitem__, chunks), dtype=np.int64, count=len(chunks))
         if self.new:
             self._keep(self.encode_chunks(self.new))
             self.new = []
+        return at
+
+    def _joined(self, at: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         self.uses[:self.known] += np.bincount(at, minlength=self.known)
         size = self.count[at]
         upto = np.concatenate([[0], np.cumsum(size)])[stops]

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import scratch_path
 from .chunks import Chunks, Coded, coded
-from .common import parts, ready, slices
+from .common import as_list, body_of, parts, ready, slices
 
 MAGIC = b"PFR1"
 BLOCK = 4096
@@ -66,6 +66,31 @@ def encoder(path: str) -> Chunks:
     return _ENCODERS[path]
 
 
+def white(b: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space, the characters of SPACE."""
+    out = (b == 32) | ((b >= 9) & (b <= 13))
+    for lead, rest in ((0xC2, [(0x85,), (0xA0,)]), (0xE1, [(0x9A, 0x80)]), (0xE2, [(0x80, x) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)] + [(0x81, 0x9F)]), (0xE3, [(0x80, 0x80)])):
+        at = np.flatnonzero(b == lead)
+        at = at[at + len(rest[0]) < len(b)]
+        for tail in rest if len(at) else ():
+            hit = at[np.logical_and.reduce([b[at + 1 + k] == x for k, x in enumerate(tail)])]
+            for k in range(len(tail) + 1):
+                out[hit + k] = True
+    return out
+
+
+def chunk_codes(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts cut as by CHUNK: distinct chunks, the number of each chunk in them, and how many chunks each text has."""
+    body, first = body_of(texts)
+    blank = white(body)
+    cut = np.zeros(len(body) + 1, dtype=bool)
+    cut[1:-1] = blank[1:] & ~blank[:-1]
+    cut[first] = True
+    bounds = np.flatnonzero(cut)
+    chunks = pa.Array.from_buffers(pa.string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(body)]).dictionary_encode()
+    return as_list(chunks.dictionary), chunks.indices.to_numpy(), np.diff(np.searchsorted(bounds, first))
+
+
 def packed(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bits of every value, least significant first."""
     if not width:
@@ -151,7 +176,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id"
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
         for batch in batches:
             for part in slices(batch, "t"):
-                got, n = own.encode(part.column("t").to_pylist())
+                got, n = own.encode_cut(*chunk_codes(part.column("t")))
                 ids.append(got)
                 names += part.column("d").to_pylist()
                 counts += n.tolist()

@@ -120,3 +120,19 @@ def test_store_of_chunks_stays_small():
     assert [own.encode([t])[0].tolist() for t in texts] == first
     own.encode(["last"])
     assert len(own.chunks) < 50
+
+
+def test_chunks_by_bytes_equal_those_of_the_pattern():
+    import re
+
+    import pyarrow as pa
+    rng = random.Random(5)
+    letters = ["a", "B", "é", "日", "𝄞", "、", "​", "﻿", "\x1c", *" \t\n\r\x0b\x0c\x85\xa0       　"]
+    for _ in range(200):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices(letters, k=rng.randrange(0, 25))) for _ in range(rng.randrange(0, 8))]
+        found, at, n = tokenfile.chunk_codes(pa.array(["left out", *texts], type=pa.string()).slice(1))
+        want = [re.findall(tokenfile.CHUNK, t or "") for t in texts]
+        assert [found[i] for i in at] == [c for w in want for c in w] and n.tolist() == [len(w) for w in want]
+        ids, counts = tokenfile.encoder(BPE).encode(texts)
+        own, sizes = tokenfile.encoder(BPE).encode_cut(found, at, n)
+        assert own.tolist() == ids.tolist() and sizes.tolist() == counts.tolist()
